@@ -1,0 +1,5 @@
+"""No streaming operator exists in the workload this library covers.
+
+Time frames are plain rows keyed by a time column, so the batch operators in
+``arborlake.operators`` work on them.  The package is kept for the layout only.
+"""
