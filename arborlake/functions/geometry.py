@@ -2,7 +2,7 @@
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 from arborlake.functions.vectors import Triple, clamp, dot, norm, plus, scale, sub
 
@@ -38,39 +38,50 @@ def point_segment(q: Triple, p: Triple, d: Triple) -> Column:
     return F.sqrt(point_segment_sq(q, p, d))
 
 
-def with_segment_gap_sq(df: DataFrame, p1: Triple, q1: Triple, p2: Triple, q2: Triple, name: str) -> DataFrame:
-    """Adds the squared distance between two segments (closest-point method of Ericson 2005, 5.1.9).
+def _bind(values: dict[str, Column], body) -> Column:
+    """``body`` over named intermediate values, each computed once per row."""
+    row = F.struct(*[v.alias(n) for n, v in values.items()])
+    return F.transform(F.array(row), body)[0]
 
-    Written in steps, because the parts are used many times over.
-    """
+
+def segment_segment_sq(p1: Triple, q1: Triple, p2: Triple, q2: Triple) -> Column:
+    """Squared distance between two segments (closest-point method of Ericson 2005, 5.1.9)."""
     d1, d2, r = sub(q1, p1), sub(q2, p2), sub(p1, p2)
-    dots = {"_a": dot(d1, d1), "_e": dot(d2, d2), "_b": dot(d1, d2), "_c": dot(d1, r), "_f": dot(d2, r)}
-    a, e, b, c, f = (F.col(n) for n in dots)
-    zero, flat1, flat2 = F.lit(0.0), F.col("_a") < DEGENERATE_SQ, F.col("_e") < DEGENERATE_SQ
-    denom = a * e - b * b
-    # s on the first segment, then t on the second; when t leaves [0, 1] it is
-    # clamped and s is found again for that end.
-    s_free = (
-        F.when(flat1, zero)
-        .when(flat2, clamp(-c / a, 0.0, 1.0))
-        .when(denom > DEGENERATE_SQ, clamp((b * f - c * e) / denom, 0.0, 1.0))
-        .otherwise(zero)
-    )
-    t_free = F.when(flat2, zero).otherwise((b * F.col("_s0") + f) / e)
-    s = (
-        F.when(flat1 | flat2, F.col("_s0"))
-        .when(F.col("_t0") < 0, clamp(-c / a, 0.0, 1.0))
-        .when(F.col("_t0") > 1, clamp((b - c) / a, 0.0, 1.0))
-        .otherwise(F.col("_s0"))
-    )
-    away = sub(plus(p1, scale(d1, F.col("_s"))), plus(p2, scale(d2, F.col("_t"))))
-    return (
-        df.withColumns(dots)
-        .withColumn("_s0", s_free)
-        .withColumn("_t0", t_free)
-        .withColumns({"_s": s, "_t": clamp(F.col("_t0"), 0.0, 1.0)})
-        .withColumn(name, dot(away, away))
-        .drop(*dots, "_s0", "_t0", "_s", "_t")
+    zero = F.lit(0.0)
+
+    def on_first(v: Column) -> Column:
+        a, e, b, c, f = v["a"], v["e"], v["b"], v["c"], v["f"]
+        denom = a * e - b * b
+        s = (
+            F.when(a < DEGENERATE_SQ, zero)
+            .when(e < DEGENERATE_SQ, clamp(-c / a, 0.0, 1.0))
+            .when(denom > DEGENERATE_SQ, clamp((b * f - c * e) / denom, 0.0, 1.0))
+            .otherwise(zero)
+        )
+        return _bind({"s": s}, lambda w: on_second(v, w["s"]))
+
+    def on_second(v: Column, s: Column) -> Column:
+        a, e, b, c, f = v["a"], v["e"], v["b"], v["c"], v["f"]
+        t = F.when(e < DEGENERATE_SQ, zero).otherwise((b * s + f) / e)
+
+        # When t leaves [0, 1] it is clamped and s is found again for that end.
+        def fitted(w: Column) -> Column:
+            again = (
+                F.when((a < DEGENERATE_SQ) | (e < DEGENERATE_SQ), s)
+                .when(w["t"] < 0, clamp(-c / a, 0.0, 1.0))
+                .when(w["t"] > 1, clamp((b - c) / a, 0.0, 1.0))
+                .otherwise(s)
+            )
+            return _bind({"s": again, "t": clamp(w["t"], 0.0, 1.0)}, gap)
+
+        return _bind({"t": t}, fitted)
+
+    def gap(at: Column) -> Column:
+        away = sub(plus(p1, scale(d1, at["s"])), plus(p2, scale(d2, at["t"])))
+        return dot(away, away)
+
+    return _bind(
+        {"a": dot(d1, d1), "e": dot(d2, d2), "b": dot(d1, d2), "c": dot(d1, r), "f": dot(d2, r)}, on_first
     )
 
 

@@ -131,7 +131,7 @@ def intersections(segs: DataFrame, min_distance: float, hop_limit: int = 8) -> D
     a_lo = tuple(F.least(u, v) for u, v in zip(ap, ad))
     a_hi = tuple(F.greatest(u, v) for u, v in zip(ap, ad))
     pairs = boxes.within(mine, ["a_tree", "a_id"], a_lo, a_hi, index, F.lit(min_distance),
-                         lambda df: g.with_segment_gap_sq(df, ap, ad, P, D, "d_sq"), strict=True)
+                         g.segment_segment_sq(ap, ad, P, D), strict=True)
     ordered = F.struct("a_tree", "a_id") < F.struct(F.col("tree").alias("a_tree"), F.col("id").alias("a_id"))
     pairs = pairs.where(ordered).select("a_tree", "a_id", F.col("tree").alias("b_tree"), F.col("id").alias("b_id"),
                                         F.sqrt("d_sq").alias("distance"))

@@ -100,3 +100,55 @@ def order_statistic(df: DataFrame, keys: list[str], value: str, ranks: dict[str,
 def lower_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Element (n + 1) div 2 of the sorted values."""
     return order_statistic(df, keys, value, {name: F.floor((F.col("total") + 1) / 2)}).drop("total")
+
+
+def neighbour(df: DataFrame, keys: list[str], pos: str, offset: int, cols: list[str], prefix: str) -> DataFrame:
+    """Adds the columns of the row ``offset`` positions further along (null at the ends)."""
+    longest = df.agg(F.max(pos)).first()[0] or 0
+    if longest <= SLICE:
+        w = Window.partitionBy(*keys).orderBy(pos)
+        return df.withColumns({f"{prefix}{c}": F.lead(c, offset).over(w) if offset > 0 else F.lag(c, -offset).over(w) for c in cols})
+    # (key, position) is unique, so this join has no hot key however long a line is.
+    other = df.select(*keys, (F.col(pos) - offset).alias(pos), *[F.col(c).alias(f"{prefix}{c}") for c in cols])
+    return df.join(other, [*keys, pos], "left")
+
+
+def as_of(
+    asked: DataFrame, samples: DataFrame, keys: list[str], time: str, value: str, plain_group: int = PLAIN_GROUP
+) -> DataFrame:
+    """For every asked time the last sample at or before it and the first one after it.
+
+    Adds prev_t, prev_v, next_t, next_v.  Long series are cut into time slices;
+    the last (first) sample of earlier (later) slices is carried over.
+    """
+    q_cols = [c for c in asked.columns]
+    sample = F.when(F.col("_is"), F.struct(F.col(time).alias("t"), F.col("_v").alias("v")))
+    both = asked.withColumns({"_v": F.lit(None).cast(samples.schema[value].dataType), "_is": F.lit(False)}).unionByName(
+        samples.select(*keys, time, F.col(value).alias("_v"), F.lit(True).alias("_is")), allowMissingColumns=True
+    )
+    sizes = both.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if sizes <= plain_group:
+        both, part, carried = both.withColumn("_s", sample), list(keys), False
+    else:
+        both = cut(both.withColumn("_s", sample), "asof")
+        steps = [i / EDGES for i in range(1, EDGES)]
+        edges = sorted(set(both.agg(F.percentile_approx(time, steps, 100 * EDGES)).first()[0]))
+        both = both.withColumn("_slice", F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(time))))
+        part, carried = [*keys, "_slice"], True
+    # At equal times samples come first, so a sample at the asked time counts as the last one.
+    w = Window.partitionBy(*part).orderBy(time, F.col("_is").cast("int").desc())
+    out = both.withColumns({
+        "_prev": F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "_next": F.first("_s", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+    })
+    if carried:
+        edge = both.groupBy(*part).agg(F.max_by("_s", F.when(F.col("_is"), F.col(time))).alias("_l"),
+                                       F.min_by("_s", F.when(F.col("_is"), F.col(time))).alias("_f"))
+        o = Window.partitionBy(*keys).orderBy("_slice")
+        edge = edge.select(*part,
+                           F.last("_l", ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, -1)).alias("_cl"),
+                           F.first("_f", ignorenulls=True).over(o.rowsBetween(1, Window.unboundedFollowing)).alias("_cf"))
+        out = out.join(edge, part).withColumns({"_prev": F.coalesce("_prev", "_cl"), "_next": F.coalesce("_next", "_cf")})
+    return out.where(~F.col("_is")).select(
+        *q_cols, F.col("_prev.t").alias("prev_t"), F.col("_prev.v").alias("prev_v"),
+        F.col("_next.t").alias("next_t"), F.col("_next.v").alias("next_v"))
