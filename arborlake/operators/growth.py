@@ -21,3 +21,11 @@ def blend_prefix(segs: DataFrame, targets: DataFrame, alpha: float) -> DataFrame
     joined = segs.join(targets, ["tree", "id"], "left")
     mixed = (1 - alpha) * F.col("radius_mm") + alpha * F.col("target_mm")
     return joined.withColumn("radius_mm", F.coalesce(mixed, F.col("radius_mm"))).drop("target_mm")
+
+
+def ranked_siblings(segs: DataFrame, by: Column, tie: str) -> DataFrame:
+    """Rank of every child among its siblings, 1 for the largest; a parent has at most three children."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("tree", "parent_id").orderBy(by, tie)
+    return segs.where(F.col("parent_id") > 0).withColumn("rank", F.row_number().over(w))
