@@ -2,10 +2,13 @@
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from arborlake.functions import domains, draws, geometry as g
+from arborlake.functions.vectors import cross, norm, perpendicular, sub, triple
 from arborlake.operators import trees
-from arborlake.plans.lookup import lookup
+from arborlake.plans.cut import cut, cut_counted
+from arborlake.plans.hierarchy import Fold, path_fold
 
 
 def scaled_prefix(segs: DataFrame, n_fixed: int, root_diameter_um: Column) -> DataFrame:
@@ -25,7 +28,174 @@ def blend_prefix(segs: DataFrame, targets: DataFrame, alpha: float) -> DataFrame
 
 def ranked_siblings(segs: DataFrame, by: Column, tie: str) -> DataFrame:
     """Rank of every child among its siblings, 1 for the largest; a parent has at most three children."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("tree", "parent_id").orderBy(by, tie)
     return segs.where(F.col("parent_id") > 0).withColumn("rank", F.row_number().over(w))
+
+
+def terminal_flows(segs: DataFrame, root_pa: float, terminal_pa: float) -> DataFrame:
+    """(tree, id, flow_m3_s): the tree's whole flow shared among its terminals by the volume each serves, summed upwards."""
+    from arborlake.operators.spatial import nearest_other_terminal
+
+    typed = cut(trees.with_children(segs), "typed")
+    weights = nearest_other_terminal(typed.where("is_terminal"))
+    root = trees.subtree_resistance(segs).join(
+        segs.where(~(F.coalesce("parent_id", F.lit(-1)) > 0)).select("tree", "id"), ["tree", "id"])
+    total = root.select("tree", ((root_pa - terminal_pa) / F.col("r_sub")).alias("_total"))
+    own = weights.join(total, "tree").select("tree", "id", (F.col("weight") * F.col("_total")).alias("_own"))
+    ready = typed.join(own, ["tree", "id"], "left").withColumn("_own", F.coalesce("_own", F.lit(0.0)))
+    return trees.subtree_sums(ready, {"flow_m3_s": F.col("_own")})
+
+
+def radii_from_flow(segs: DataFrame, gamma: float) -> DataFrame:
+    """Leaf radius = flow^(1/g), summed upwards with the power law."""
+    leaf = trees.with_children(segs).withColumn(
+        "radius_mm", F.when(F.col("is_terminal"), F.pow("flow_m3_s", 1 / gamma)).otherwise(F.col("radius_mm")))
+    return trees.power_radii(leaf, gamma)
+
+
+def redrawn_radii(segs: DataFrame, gamma: float, seed: int, alpha: float = 2.5, beta: float = 0.8, floor_mm: float = 0.004) -> DataFrame:
+    """(tree, id, radius_mm) after a top-down redraw of daughter ratios, larger radius to the larger subtree.
+
+    A junction maps the radius above to max(factor * radius, floor), and such maps
+    compose to the same form, so the whole way down is one path fold.
+    """
+    sizes = trees.subtree_sums(segs, {"_size": F.lit(1.0)})
+    typed = cut(trees.with_children(segs).join(sizes, ["tree", "id"]), "sized")
+    kids = typed.where(F.col("parent_id") > 0)
+    w = Window.partitionBy("tree", "parent_id").orderBy(F.desc("_size"), "id")
+    ranked = kids.withColumn("_rank", F.row_number().over(w)).withColumn(
+        "_sibs", F.count("*").over(Window.partitionBy("tree", "parent_id")))
+    junction = [F.col("tree"), F.col("parent_id")]
+    a1 = draws.beta(draws.uniform(junction, seed, 1), alpha, beta)
+    a2 = draws.beta(draws.uniform(junction, seed, 2), alpha, beta)
+    ranked = ranked.withColumns({"_a1": a1, "_a2": a2})
+    one = F.lit(1.0)
+    large, small = g.split_radii(one, F.col("_a1"), gamma)
+    first, second = g.split_radii(large, F.col("_a2"), gamma)
+    three = F.array_sort(F.array(first, second, small))
+    factor = (
+        F.when(F.col("_sibs") == 2, F.when(F.col("_rank") == 1, large).otherwise(small))
+        .when(F.col("_sibs") == 3, F.get(three, 3 - F.col("_rank")))
+    )
+    # A single child, like the root, keeps its own radius whatever lies above.
+    drawn = ranked.withColumn("_factor", factor).select("tree", "id", "_factor")
+    maps = cut(typed.join(drawn, ["tree", "id"], "left").withColumns({
+        "_a": F.coalesce("_factor", F.lit(0.0)),
+        "_b": F.when(F.col("_factor").isNull(), F.col("radius_mm")).otherwise(F.lit(floor_mm)),
+        "_ptr": trees.parent_or_null()}), "maps")
+    # low after up: max(a max(A x, B), b) = max(a A x, max(a B, b))
+    folds = [
+        Fold("_a", F.col("_a"), lambda up, low: low("_a") * up("_a")),
+        Fold("_b", F.col("_b"), lambda up, low: F.greatest(low("_a") * up("_b"), low("_b"))),
+    ]
+    # The root's map has factor 0, so the constant is the radius.
+    down = path_fold(maps, ["tree"], "id", "_ptr", folds).select("tree", "id", F.col("_b").alias("_r"))
+    redrawn = cut(segs.join(down, ["tree", "id"]).withColumn("radius_mm", F.col("_r")).drop("_r"), "redrawn")
+    risen = trees.power_radii(redrawn, gamma)
+    return risen.withColumn("radius_mm", F.greatest("radius_mm", F.lit(floor_mm)))
+
+
+def valid_child_radii(segs: DataFrame, params: DataFrame, rates: DataFrame, gamma: float) -> DataFrame:
+    """(tree, id, radius_mm) with child orders that the reference never pairs moved to the nearest order it does.
+
+    ``segs`` carries artery and strahler_order.  Only two-way junctions are looked
+    at; trees in which something moved get their inner radii from the power law again.
+    """
+    typed = trees.with_children(segs)
+    edges = trees.parent_child(typed, ["strahler_order", "n_children", "artery"], ["strahler_order"])
+    edges = edges.where("p_n_children = 2 AND p_strahler_order >= 1 AND c_strahler_order >= 0")
+    known = rates.where("rate > 0").groupBy("artery", "parent_order").agg(F.collect_set("child_order").alias("_valid"))
+    met = edges.join(F.broadcast(known), (F.col("p_artery") == F.col("artery")) & (F.col("p_strahler_order") == F.col("parent_order")))
+    own = F.col("c_strahler_order")
+    # Nearest valid order, the lower one first.
+    near = F.array_min(F.transform("_valid", lambda o: F.struct(F.abs(o - own).alias("d"), o.alias("o"))))["o"]
+    moved = met.where(~F.array_contains("_valid", own)).withColumn("ord", near)
+    goal = F.broadcast(params.select("artery", "ord", (F.col("d_mean") / 2000).alias("_new")))
+    moved = cut(moved.join(goal, ["artery", "ord"]).select("tree", F.col("child_id").alias("id"), "_new"), "moved")
+    changed = segs.join(moved, ["tree", "id"], "left").withColumn("radius_mm", F.coalesce("_new", "radius_mm"))
+    touched = moved.select("tree").distinct()
+    risen = trees.power_radii(changed.join(touched, "tree", "left_semi").drop("_new"), gamma)
+    same = changed.join(touched, "tree", "left_anti").select("tree", "id", "radius_mm")
+    return risen.unionByName(same)
+
+
+def junction_geometry(segs: DataFrame, gamma: float, rho_th: float = g.RHO_TH) -> DataFrame:
+    """Segments with daughters turned to the angles of their junction, top down, lengths kept.
+
+    Each level of all trees is placed from the ends and directions of the level
+    above; rows of a level are read from a table cut by depth.  A single child
+    keeps its direction and follows its parent's end.
+    """
+    slotted = trees.with_child_slot(segs.drop("child_slot"))
+    w = Window.partitionBy("tree", "parent_id")
+    sibs = slotted.withColumns({
+        "_n": F.count("*").over(w), "_r": F.array_sort(F.collect_list(F.struct("child_slot", "radius_mm")).over(w))["radius_mm"]})
+    levels = sibs.join(trees.depths(segs), ["tree", "id"])
+    table, tally = cut_counted(levels, "levels", deepest=F.coalesce(F.max("depth"), F.lit(-1)))
+    d, p = triple("dx", "dy", "dz"), triple("px", "py", "pz")
+    keep = ["tree", "id", "px", "py", "pz", "dx", "dy", "dz"]
+    out = above = cut(table.where("depth = 0").select(*keep), "placed")
+    for level in range(1, tally["deepest"] + 1):
+        up = above.select("tree", F.col("id").alias("parent_id"), *[F.col(c).alias(f"u{c}") for c in keep[2:]])
+        met = table.where(F.col("depth") == level).join(up, ["tree", "parent_id"])
+        axis = sub(triple("udx", "udy", "udz"), triple("upx", "upy", "upz"))
+        met = met.withColumns({**{f"_a{c}": v for c, v in zip("xyz", axis)}, "_al": norm(axis), "_len": g.segment_length(p, d)})
+        unit = tuple(F.col(f"_a{c}") / F.col("_al") for c in "xyz")
+        met = met.withColumns({f"_u{c}": v for c, v in zip("xyz", unit)})
+        u = triple("_ux", "_uy", "_uz")
+        met = met.withColumns({f"_p{c}": v for c, v in zip("xyz", perpendicular(u))})
+        perp = triple("_px", "_py", "_pz")
+        perp2 = cross(u, perp)
+        r = [F.get("_r", F.lit(i)) for i in range(3)]
+        first_large = r[0] >= r[1]
+        rho = g.radius_ratio(F.least(r[0], r[1]), F.greatest(r[0], r[1]))
+        big, little = g.junction_angles(rho, gamma, rho_th)
+        is_large = F.when(F.col("child_slot") == 1, first_large).otherwise(~first_large)
+        three = g.three_way_angles(r)
+        slot3 = F.when(F.col("child_slot") == 1, three[0]).when(F.col("child_slot") == 2, three[1]).otherwise(three[2])
+        met = met.withColumns({
+            "_angle": F.when(F.col("_n") == 2, F.when(is_large, big).otherwise(little)).when(F.col("_n") == 3, slot3),
+            "_turn": F.when(F.col("_n") == 2, F.when(is_large, 0.0).otherwise(math.pi)).otherwise((F.col("child_slot") - 1) * (2 * math.pi / 3)),
+        })
+        ca, sa = F.cos("_angle"), F.sin("_angle")
+        ct, st = F.cos("_turn"), F.sin("_turn")
+        still = F.col("_angle").isNull() | ~(F.col("_al") > 0)
+        start = triple("udx", "udy", "udz")
+        own = sub(d, p)
+        way = tuple(F.when(still, o).otherwise((a * ca + (b * ct + c * st) * sa) * F.col("_len")) for o, a, b, c in zip(own, u, perp, perp2))
+        above = cut(met.select("tree", "id", *[F.col(f"ud{c}").alias(f"p{c}") for c in "xyz"],
+                               *[(s + v).alias(f"d{c}") for s, v, c in zip(start, way, "xyz")]), "placed")
+        out = out.unionByName(above)
+    rest = segs.drop("px", "py", "pz", "dx", "dy", "dz", "length_mm")
+    return rest.join(out, ["tree", "id"]).withColumn("length_mm", g.segment_length(triple("px", "py", "pz"), triple("dx", "dy", "dz")))
+
+
+def pulled_inside(segs: DataFrame, domain: domains.Domain, passes: int | None = None) -> DataFrame:
+    """Segments whose ends lie in the domain: outside ends are projected and children follow their parent.
+
+    In a shell an outside end is first turned along the wall.  Stops when a pass moves nothing.
+    """
+    shell = isinstance(domain, domains.EllipsoidShell)
+    p, d = triple("px", "py", "pz"), triple("dx", "dy", "dz")
+    state = segs
+    for _ in range(passes or (5 if shell else 3)):
+        out_p, out_d = ~domain.inside(p), ~domain.inside(d)
+        moved = state.withColumns({"_op": out_p, "_od": out_d})
+        moved = moved.withColumns({f"p{c}": F.when(F.col("_op"), v).otherwise(F.col(f"p{c}")) for c, v in zip("xyz", domain.project(p))})
+        goal = d
+        if shell:
+            span = sub(d, p)
+            moved = moved.withColumns({**{f"_v{c}": v for c, v in zip("xyz", span)}, "_l": norm(span)})
+            unit = tuple(F.col(f"_v{c}") / F.col("_l") for c in "xyz")
+            along = tuple(a + t * F.col("_l") for a, t in zip(p, domain.tangent(p, unit)))
+            moved = moved.withColumns({f"_t{c}": F.when(F.col("_l") > 1e-15, v).otherwise(F.col(f"d{c}")) for c, v in zip("xyz", along)})
+            goal = triple("_tx", "_ty", "_tz")
+        moved = moved.withColumns({f"d{c}": F.when(F.col("_od"), v).otherwise(F.col(f"d{c}")) for c, v in zip("xyz", domain.project(goal))})
+        moved = moved.drop("_vx", "_vy", "_vz", "_l", "_tx", "_ty", "_tz")
+        moved, tally = cut_counted(moved, "pulled", n=F.count_if(F.col("_op") | F.col("_od")))
+        ends = moved.where("_od").select("tree", F.col("id").alias("parent_id"), *[F.col(f"d{c}").alias(f"_n{c}") for c in "xyz"])
+        state = moved.drop("_op", "_od").join(ends, ["tree", "parent_id"], "left")
+        state = state.withColumns({f"p{c}": F.coalesce(f"_n{c}", f"p{c}") for c in "xyz"}).drop("_nx", "_ny", "_nz")
+        if tally["n"] == 0:
+            break
+    return state.withColumn("length_mm", g.segment_length(p, d))
