@@ -8,10 +8,10 @@ from arborlake.catalog.q_trees import FLOW_SQL, KIDS_SQL, flowing
 from arborlake.functions import domains, flow, geometry as g, morphometry, text
 from arborlake.functions.vectors import triple
 from arborlake.operators import filters, stats, trees
+from arborlake.operators.spatial import end, place, start
 
 QUERIES, ORACLE = {}, {}
 GAMMA = flow.GAMMA
-P, D, Q = triple("px", "py", "pz"), triple("dx", "dy", "dz"), triple("x", "y", "z")
 
 
 def register(name, sql=None):
@@ -27,8 +27,8 @@ def register(name, sql=None):
 SELECT tree, id, round(length_mm, 6) AS length_mm, round((px+dx)/2, 6) AS mx, round((py+dy)/2, 6) AS my, round((pz+dz)/2, 6) AS mz FROM seg"""))
 def length_midpoint(spark, sf):
     segs = forest(spark, sf)
-    m = g.midpoint(P, D)
-    return segs.select("tree", "id", F.round(g.segment_length(P, D), 6).alias("length_mm"), *[F.round(v, 6).alias(f"m{a}") for v, a in zip(m, "xyz")])
+    m = g.midpoint(start(), end())
+    return segs.select("tree", "id", F.round(g.segment_length(start(), end()), 6).alias("length_mm"), *[F.round(v, 6).alias(f"m{a}") for v, a in zip(m, "xyz")])
 
 
 @register("tube_formulas", with_sql(FOREST_SQL, f"""
@@ -180,8 +180,8 @@ def _toward(center, r, limit):
 def domain_tests(spark, sf):
     pts, out = points(spark, sf), None
     for name, dom in SHAPES.items():
-        x, y, z = dom.project(Q)
-        part = pts.select(F.lit(name).alias("shape"), "qid", dom.inside(Q).alias("inside"), F.round(dom.signed_distance(Q), 6).alias("signed_distance"),
+        x, y, z = dom.project(place())
+        part = pts.select(F.lit(name).alias("shape"), "qid", dom.inside(place()).alias("inside"), F.round(dom.signed_distance(place()), 6).alias("signed_distance"),
                           F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(z, 6).alias("z"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -190,7 +190,7 @@ def domain_tests(spark, sf):
 @register("segment_leaves_domain", with_sql(FOREST_SQL, body="""
 SELECT tree, id, list_bool_or([pow(px+i/11.0*(dx-px)-50,2)+pow(py+i/11.0*(dy-py)-50,2)+pow(pz+i/11.0*(dz-pz)-50,2) > 30.0*30.0 FOR i IN range(1, 11)]) AS crossing FROM seg"""))
 def crossing(spark, sf):
-    return forest(spark, sf).select("tree", "id", SHAPES["sphere"].crossed_by(P, D).alias("crossing"))
+    return forest(spark, sf).select("tree", "id", SHAPES["sphere"].crossed_by(start(), end()).alias("crossing"))
 
 
 @register("nearest_bin_index", with_sql(FOREST_SQL, "bn AS (SELECT unnest([0.0, 10.0, 20.0, 40.0, 80.0, 160.0]) AS b, unnest(range(1, 7)) AS i)", body="""
@@ -238,7 +238,7 @@ sq AS (SELECT *, sqrt(pow(50-(px+t*(dx-px)),2)+pow(50-(py+t*(dy-py)),2)+pow(50-(
 SELECT tree, id, t > 0.05 AND t < 0.95 AND length_mm >= greatest(0.2, 0.5*radius_mm) AND t*length_mm >= 0.05 AND (1-t)*length_mm >= 0.05 AND nl >= 0.05 AS valid FROM sq"""))
 def split_validity(spark, sf):
     t = (F.col("id") % 20) / 20.0
-    at = tuple(p + t * (d - p) for p, d in zip(P, D))
+    at = tuple(p + t * (d - p) for p, d in zip(start(), end()))
     new = g.segment_length(at, tuple(F.lit(50.0) for _ in "xyz"))
     return twigs(spark, sf).select("tree", "id", g.split_point_valid(t, F.col("length_mm"), F.col("radius_mm"), new).alias("valid"))
 
@@ -272,7 +272,7 @@ lm AS (SELECT line, 0.6*median(radius_mm) AS m FROM ln WHERE radius_mm > 0 GROUP
 lf AS (SELECT l.line, min(pos) FILTER (radius_mm >= m) AS a, max(pos) FILTER (radius_mm >= m) AS b FROM ln l JOIN lm ON lm.line = l.line GROUP BY 1)""",
  body="SELECT l.line, l.pos FROM ln l LEFT JOIN lf ON lf.line = l.line WHERE a IS NULL OR pos BETWEEN a AND b"))
 def end_caps(spark, sf):
-    return filters.trim_end_caps(lines(spark, sf), 0.6).select("line", "pos")
+    return filters.trim_end_caps(lines(spark, sf), 0.6).select("line", F.col("pos").cast("bigint").alias("pos"))
 
 
 @register("line_root_cap", with_sql(LINES_SQL, """
@@ -280,7 +280,7 @@ lw AS (SELECT line, count(*) AS n, max(radius_mm) * 0.75 AS m FROM ln GROUP BY 1
 lk AS (SELECT l.line, min(pos) FILTER (n > 4 AND radius_mm >= m AND pos <= greatest(1, least(n - 3, CAST(floor(n*0.25) AS BIGINT) + 1))) AS k FROM ln l JOIN lw ON lw.line = l.line GROUP BY 1)""",
  body="SELECT l.line, l.pos FROM ln l JOIN lk ON lk.line = l.line WHERE pos >= coalesce(k, 1)"))
 def root_cap(spark, sf):
-    return filters.trim_root_cap(lines(spark, sf)).select("line", "pos")
+    return filters.trim_root_cap(lines(spark, sf)).select("line", F.col("pos").cast("bigint").alias("pos"))
 
 
 @register("dynamic_label_filter", "SELECT DISTINCT p_size AS label FROM part WHERE contains(lower(p_name || CASE p_size % 7 WHEN 0 THEN '_Blood' ELSE '' END), '_blood') OR contains(lower(p_name), 'iodine') ORDER BY 1")

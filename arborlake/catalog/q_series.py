@@ -127,10 +127,10 @@ def bounded(spark, sf):
 ps AS (SELECT *, (t - (0.013 + (id % 11) * 0.07) - 0.0) / 0.1 AS p FROM ser),
 lk AS (SELECT p.tree, p.id, p.t_idx, p.p, a.value AS va, b.value AS vb FROM ps p LEFT JOIN ser a ON a.tree = p.tree AND a.id = p.id AND a.t_idx = floor(p.p)
   LEFT JOIN ser b ON b.tree = p.tree AND b.id = p.id AND b.t_idx = least(ceil(p.p), p.t_idx))""", body=f"""
-SELECT tree, id, t_idx, {sig_sql('CASE WHEN p < 0 THEN 0 ELSE (1-(p-floor(p)))*va + (p-floor(p))*vb END', 8)} AS delayed FROM lk"""))
+SELECT tree, id, t_idx, {sig_sql('CASE WHEN p < 0 THEN 0 ELSE (1-(p-floor(p)))*va + (p-floor(p))*vb END', 6)} AS delayed FROM lk"""))
 def delayed(spark, sf):
     d = S.delayed(long_series(spark, sf), ["tree", "id"], 0.013 + (F.col("id") % 11) * 0.07, 0.0, 0.1)
-    return d.select("tree", "id", "t_idx", sig(F.col("delayed"), 8).alias("delayed"))
+    return d.select("tree", "id", "t_idx", sig(F.col("delayed"), 6).alias("delayed"))
 
 
 @register("series_summaries", with_sql(FOREST_SQL, TIMES, SERIES, body=f"""

@@ -9,11 +9,22 @@ from arborlake.functions.vectors import Triple, dot, lit3, sub, triple
 from arborlake.operators.trees import hop_distance, recent_ancestors
 from arborlake.plans import boxes
 
-P, D, Q = triple("px", "py", "pz"), triple("dx", "dy", "dz"), triple("x", "y", "z")
+
+def start() -> Triple:
+    return triple("px", "py", "pz")
+
+
+def end() -> Triple:
+    return triple("dx", "dy", "dz")
+
+
+def place() -> Triple:
+    return triple("x", "y", "z")
+
 
 
 def _seg_box() -> tuple[Triple, Triple]:
-    return tuple(F.least(a, b) for a, b in zip(P, D)), tuple(F.greatest(a, b) for a, b in zip(P, D))
+    return tuple(F.least(a, b) for a, b in zip(start(), end())), tuple(F.greatest(a, b) for a, b in zip(start(), end()))
 
 
 def segment_index(segs: DataFrame, scope: list[str] = (), extras: dict[str, Column] | None = None) -> boxes.BoxIndex:
@@ -21,22 +32,22 @@ def segment_index(segs: DataFrame, scope: list[str] = (), extras: dict[str, Colu
     return boxes.build(segs.select("tree", "id", "px", "py", "pz", "dx", "dy", "dz", "radius_mm"), lo, hi, scope, extras)
 
 
-def distance_to_place(segs: DataFrame, place: tuple[float, float, float]) -> DataFrame:
+def distance_to_place(segs: DataFrame, at: tuple[float, float, float]) -> DataFrame:
     """Distance of one place to every segment."""
-    return segs.withColumn("distance", g.point_segment(lit3(place), P, D))
+    return segs.withColumn("distance", g.point_segment(lit3(at), start(), end()))
 
 
 def nearest_segments(points: DataFrame, segs: DataFrame, k: int) -> DataFrame:
     """The k nearest segments of every point (qid, x, y, z), ascending; fewer when there are fewer."""
     index = segment_index(segs)
-    out = boxes.k_nearest(points, ["qid"], Q, Q, index, k, g.point_segment_sq(Q, P, D), ["tree", "id"])
+    out = boxes.k_nearest(points, ["qid"], place(), place(), index, k, g.point_segment_sq(place(), start(), end()), ["tree", "id"])
     return out.withColumn("distance", F.sqrt("d_sq")).drop("d_sq")
 
 
 def segments_in_range(points: DataFrame, segs: DataFrame, radius: float) -> DataFrame:
     """All (point, segment) pairs at most ``radius`` apart."""
     index = segment_index(segs)
-    out = boxes.within(points, ["qid"], Q, Q, index, F.lit(radius), g.point_segment_sq(Q, P, D))
+    out = boxes.within(points, ["qid"], place(), place(), index, F.lit(radius), g.point_segment_sq(place(), start(), end()))
     return out.withColumn("distance", F.sqrt("d_sq")).drop("d_sq")
 
 
@@ -49,8 +60,8 @@ def nearest_surface_point(points: DataFrame, surfaces: DataFrame) -> DataFrame:
                             F.col("z").alias("sz"), "nx", "ny", "nz")
     s = triple("sx", "sy", "sz")
     index = boxes.build(cloud, s, s, ["surface"])
-    away = sub(Q, s)
-    out = boxes.k_nearest(points, ["qid", "surface"], Q, Q, index, 1, dot(away, away), ["sid"])
+    away = sub(place(), s)
+    out = boxes.k_nearest(points, ["qid", "surface"], place(), place(), index, 1, dot(away, away), ["sid"])
     return out.withColumn("offset", dot(away, triple("nx", "ny", "nz"))).drop("rank")
 
 
@@ -64,7 +75,7 @@ def project_to_surface(points: DataFrame, surfaces: DataFrame, repeats: int = 3)
         push = F.col("offset") + (0.0 if turn == 0 else 1e-6)
         out = F.col("offset") > 0
         back = moved.select("qid", "surface", *[
-            F.when(out, q - push * v).otherwise(q).alias(a) for a, q, v in zip("xyz", Q, n)
+            F.when(out, q - push * v).otherwise(q).alias(a) for a, q, v in zip("xyz", place(), n)
         ])
         if turn < repeats:
             moved = nearest_surface_point(back, surfaces)
@@ -113,7 +124,7 @@ def collisions(segs: DataFrame, min_distance: float) -> DataFrame:
                        F.col("dx").alias("x"), F.col("dy").alias("y"), F.col("dz").alias("z"))
     foreign = (F.col("b_t0") != F.col("q_tree")) | (F.col("b_t1") != F.col("q_tree"))
     found = boxes.k_nearest(
-        ends, ["q_tree", "q_id"], Q, Q, index, 1, g.point_segment_sq(Q, P, D), ["tree", "id"],
+        ends, ["q_tree", "q_id"], place(), place(), index, 1, g.point_segment_sq(place(), start(), end()), ["tree", "id"],
         usable=foreign, admit=F.col("tree") != F.col("q_tree"),
     )
     return found.where(F.col("d_sq") < min_distance**2).select(
@@ -131,7 +142,7 @@ def intersections(segs: DataFrame, min_distance: float, hop_limit: int = 8) -> D
     a_lo = tuple(F.least(u, v) for u, v in zip(ap, ad))
     a_hi = tuple(F.greatest(u, v) for u, v in zip(ap, ad))
     pairs = boxes.within(mine, ["a_tree", "a_id"], a_lo, a_hi, index, F.lit(min_distance),
-                         g.segment_segment_sq(ap, ad, P, D), strict=True)
+                         g.segment_segment_sq(ap, ad, start(), end()), strict=True)
     ordered = F.struct("a_tree", "a_id") < F.struct(F.col("tree").alias("a_tree"), F.col("id").alias("a_id"))
     pairs = pairs.where(ordered).select("a_tree", "a_id", F.col("tree").alias("b_tree"), F.col("id").alias("b_id"),
                                         F.sqrt("d_sq").alias("distance"))
@@ -149,9 +160,9 @@ def nearest_other_terminal(terminals: DataFrame) -> DataFrame:
     e = triple("ex", "ey", "ez")
     index = boxes.build(ends, e, e, ["tree"], {"b_i0": F.min("id"), "b_i1": F.max("id")})
     asked = terminals.select("tree", F.col("id").alias("q_id"), F.col("dx").alias("x"), F.col("dy").alias("y"), F.col("dz").alias("z"))
-    away = sub(Q, e)
+    away = sub(place(), e)
     found = boxes.k_nearest(
-        asked, ["tree", "q_id"], Q, Q, index, 1, dot(away, away), ["id"],
+        asked, ["tree", "q_id"], place(), place(), index, 1, dot(away, away), ["id"],
         usable=(F.col("b_i0") != F.col("q_id")) | (F.col("b_i1") != F.col("q_id")),
         admit=F.col("id") != F.col("q_id"),
     )
@@ -179,7 +190,7 @@ def best_connection(points: DataFrame, segs: DataFrame, gamma: float, t_range=(0
     length = F.col("seg_length")
     lo, hi = _seg_box()
     items = segs.select("tree", "id", "px", "py", "pz", "dx", "dy", "dz", "radius_mm").withColumn(
-        "seg_length", g.segment_length(P, D))
+        "seg_length", g.segment_length(start(), end()))
     index = boxes.build(items, lo, hi, extras={
         "b_r0": F.min("radius_mm"), "b_r1": F.max("radius_mm"), "b_l0": F.min("seg_length"), "b_l1": F.max("seg_length")})
 
@@ -188,13 +199,13 @@ def best_connection(points: DataFrame, segs: DataFrame, gamma: float, t_range=(0
         return 2 * math.pi * r * (share * r) if junction_term else F.lit(0.0)
 
     cell_lo, cell_hi = boxes.cell_box()
-    gap = F.sqrt(g.box_gap_sq(Q, Q, cell_lo, cell_hi))
-    reach_to = F.sqrt(g.box_reach_sq(Q, Q, cell_lo, cell_hi))
+    gap = F.sqrt(g.box_gap_sq(place(), place(), cell_lo, cell_hi))
+    reach_to = F.sqrt(g.box_reach_sq(place(), place(), cell_lo, cell_hi))
     least = share * F.col("b_r0") * (F.col("b_l0") + gap) + junction(F.col("b_r0"))
     most = F.col("b_r1") * F.col("b_l1") + share * F.col("b_r1") * reach_to + junction(F.col("b_r1"))
 
     def reach(t):
-        return g.segment_length(tuple(p + t * (d - p) for p, d in zip(P, D)), Q)
+        return g.segment_length(tuple(p + t * (d - p) for p, d in zip(start(), end())), place())
 
     def tubes(t):
         return radius * t * length + daughter * (1 - t) * length + daughter * reach(t)
@@ -212,7 +223,7 @@ def best_connection(points: DataFrame, segs: DataFrame, gamma: float, t_range=(0
         found = df.withColumn("_s", span).withColumn("t", (F.col("_s.a") + F.col("_s.b")) / 2)
         return found.withColumn("d_sq", tubes(F.col("t")) + junction(radius))
 
-    found = boxes.k_nearest(points, ["qid"], Q, Q, index, 1, scored, ["tree", "id"], least=least, most=most)
+    found = boxes.k_nearest(points, ["qid"], place(), place(), index, 1, scored, ["tree", "id"], least=least, most=most)
     return found.select(
         "qid", "tree", "id", "t", F.col("d_sq").alias("cost"),
         g.split_point_valid(F.col("t"), length, radius, reach(F.col("t"))).alias("valid"),
@@ -229,9 +240,9 @@ def merge_candidates(points: DataFrame, junctions: DataFrame, chi_th: float = g.
     lo = tuple(v - reach for v in spot)
     hi = tuple(v + reach for v in spot)
     index = boxes.build(junctions.select("tree", "id", "dx", "dy", "dz", "radius_mm"), lo, hi)
-    away = sub(Q, spot)
+    away = sub(place(), spot)
     # A point can only matter to junctions whose reach box it lies in: range 0 to the boxes.
-    pairs = boxes.within(points, ["qid"], Q, Q, index, F.lit(0.0), F.lit(0.0))
+    pairs = boxes.within(points, ["qid"], place(), place(), index, F.lit(0.0), F.lit(0.0))
     dist = F.sqrt(dot(away, away))
     scored = pairs.withColumn("chi", g.closeness(F.col("radius_mm"), dist)).where(F.col("chi") > chi_th)
     best = Window.partitionBy("qid").orderBy(F.desc("chi"), "tree", "id")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from arborlake.functions import domains, geometry as g
 from arborlake.functions.vectors import clamp, lit3, norm, scale, sub, triple
 from arborlake.operators import ranking, voxels
-from arborlake.operators.spatial import D, P, Q
+from arborlake.operators.spatial import end, place, start
 from arborlake.plans import boxes
 from arborlake.plans.cut import cut
 
@@ -23,7 +23,7 @@ def cells_of(spark: SparkSession, domain: domains.Domain, per_side: int = 20) ->
         (n % dims[0] + 1).cast("int").alias("i"), (F.floor(n / dims[0]) % dims[1] + 1).cast("int").alias("j"),
         (F.floor(n / (dims[0] * dims[1])) + 1).cast("int").alias("k"))
     placed = cells.withColumns({a: o + (F.col(v) - 0.5) * size for a, v, o in zip("xyz", ("i", "j", "k"), lo)})
-    return placed.withColumn("inside", domain.inside(Q)), grid
+    return placed.withColumn("inside", domain.inside(place())), grid
 
 
 def anchors(config: DataFrame, domain: domains.Domain, share: float = 0.35) -> DataFrame:
@@ -56,15 +56,15 @@ def territories(config: DataFrame, segs: DataFrame | None, domain: domains.Domai
 
     def anchor_distance(name: str) -> Column:
         a = F.element_at("_anchors", F.lit(name))
-        return norm(sub(Q, (a["ax"], a["ay"], a["az"])))
+        return norm(sub(place(), (a["ax"], a["ay"], a["az"])))
 
     scored = based.withColumn("_d", F.array(*[F.lit(1 - weight) * anchor_distance(n) for n in names])).drop("_anchors")
     if weight > 0:
         asked = scored.select("i", "j", "k", "x", "y", "z", F.explode(F.array(*[F.lit(n) for n in names])).alias("tree"))
-        lo = tuple(F.least(a, b) for a, b in zip(P, D))
-        hi = tuple(F.greatest(a, b) for a, b in zip(P, D))
+        lo = tuple(F.least(a, b) for a, b in zip(start(), end()))
+        hi = tuple(F.greatest(a, b) for a, b in zip(start(), end()))
         index = boxes.build(segs.select("tree", "id", "px", "py", "pz", "dx", "dy", "dz"), lo, hi, ["tree"])
-        near = boxes.k_nearest(asked, ["i", "j", "k", "tree"], Q, Q, index, 1, g.point_segment_sq(Q, P, D), ["id"])
+        near = boxes.k_nearest(asked, ["i", "j", "k", "tree"], place(), place(), index, 1, g.point_segment_sq(place(), start(), end()), ["id"])
         by_cell = near.groupBy("i", "j", "k").agg(F.map_from_entries(F.collect_list(F.struct("tree", F.sqrt("d_sq")))).alias("_t"))
         scored = scored.join(by_cell, ["i", "j", "k"]).withColumn("_d", F.array(*[
             F.get("_d", F.lit(n)) + weight * F.coalesce(F.try_element_at("_t", F.lit(t)), F.lit(float("inf"))) for n, t in enumerate(names)])).drop("_t")
@@ -101,7 +101,7 @@ def cell_of(q, grid: voxels.Grid) -> list[Column]:
 
 def owner_of(points: DataFrame, owned: DataFrame, grid: voxels.Grid) -> DataFrame:
     """Adds the owner of the cell a point lies in."""
-    at = points.withColumns(dict(zip(("i", "j", "k"), cell_of(Q, grid))))
+    at = points.withColumns(dict(zip(("i", "j", "k"), cell_of(place(), grid))))
     return at.join(owned.select("i", "j", "k", "owner"), ["i", "j", "k"]).drop("i", "j", "k")
 
 
