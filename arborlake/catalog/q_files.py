@@ -58,7 +58,7 @@ TEXT_SQL = """sl AS (SELECT *, row_number() OVER (PARTITION BY tree, parent_id O
 
 @register("edge_text_round_trip", with_sql(FOREST_SQL, TEXT_SQL, body="""
 SELECT tree, id - 1 AS id, CASE WHEN parent_id > 0 THEN parent_id - 1 ELSE -1 END AS parent_id, CASE WHEN parent_id > 0 AND slot >= 2 THEN 'l' ELSE 'r' END AS side,
- round(radius_mm*2000, 5) AS diameter_um, round(length_mm*0.1, 6) AS length_cm, round(dz*0.1, 6) AS z FROM sl"""))
+ CAST(printf('%.6f', radius_mm*2000) AS DOUBLE) AS diameter_um, CAST(printf('%.9f', length_mm*0.1) AS DOUBLE) AS length_cm, CAST(printf('%.9f', dz*0.1) AS DOUBLE) AS z FROM sl"""))
 def edge_text(spark, sf):
     path = fresh(spark, "edges")
     S.write_edge_text(forest(spark, sf), path)
@@ -66,7 +66,7 @@ def edge_text(spark, sf):
 
     parts = [S.read_edge_text(spark, f"{path}/tree={t}", t) for t in ("LAD", "LCX", "RCA")]
     rows = reduce(lambda a, b: a.unionByName(b), parts)
-    return rows.select("tree", "id", "parent_id", "side", F.round("diameter_um", 5).alias("diameter_um"), F.round("length_cm", 6).alias("length_cm"), F.round("z", 6).alias("z"))
+    return rows.select("tree", "id", "parent_id", "side", "diameter_um", "length_cm", "z")
 
 
 @register("rows_with_missing_parent", with_sql(FOREST_SQL, body="""
@@ -97,8 +97,8 @@ def xyz(spark, sf):
 ORACLE["xyz_points_and_normals"] = ORACLE["xyz_points_and_normals"].replace("o_totalprice / 10 AS x", "round(o_totalprice / 10, 6) AS x")
 
 
-@register("centerline_csv_round_trip", with_sql(LINES_SQL, body="SELECT line, count(*) AS n, round(sum(x * pos), 5) AS checksum FROM ln WHERE line < 3 GROUP BY 1").replace("WHERE line < 3", "")
-          .replace("SELECT line, count(*) AS n, round(sum(x * pos), 5) AS checksum FROM ln  GROUP BY 1", "SELECT grp, count(*) AS n, round(sum(x * pos), 4) AS checksum FROM (SELECT line % 8 AS grp, row_number() OVER (PARTITION BY line % 8 ORDER BY line, pos) AS pos, x FROM ln) GROUP BY 1"))
+@register("centerline_csv_round_trip", with_sql(LINES_SQL, body="""
+SELECT grp, count(*) AS n, round(sum(x * pos), 4) AS checksum FROM (SELECT line % 8 AS grp, row_number() OVER (PARTITION BY line % 8 ORDER BY line, pos) AS pos, x FROM ln) GROUP BY 1"""))
 def centerline_csv(spark, sf):
     """Eight long lines: all lines with the same remainder, one after the other."""
     from arborlake.plans.running import cumulative
@@ -107,7 +107,6 @@ def centerline_csv(spark, sf):
     long = cumulative(pts.drop("pos"), ["grp"], "_o").select(F.col("grp").alias("line"), F.col("upto").alias("pos"), "x", "y", "z", "radius_mm")
     path = fresh(spark, "centerlines")
     S.write_centerlines(long, path)
-    back = spark.read.schema("x double, y double, z double, radius_mm double, line bigint").csv(path)
     from arborlake.sources.lines import numbered
 
     out = None
@@ -129,7 +128,6 @@ SELECT surface, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(
 def net_text(spark, sf):
     path = fresh(spark, "nets")
     net_files.write_nets(*nets(spark, sf), path)
-    whole = spark.read.text(path)
     _, _, points = net_files.parse_nets(_in_order(spark, path))
     return points.select("surface", "row", "col", *[F.round(a, 6).alias(a) for a in "xyz"])
 
@@ -181,7 +179,7 @@ def snapshot(spark, sf):
     stored = spark.read.schema("tree string, id bigint, run_ts string").parquet(f"{path}/segments")
     doc = spark.read.text(f"{path}/manifest").select(F.from_json("value", "trees array<struct<tree:string,segments:bigint>>, segments bigint, n_times bigint, active_voxels bigint").alias("d"))
     lad = F.filter("d.trees", lambda t: t["tree"] == "LAD")[0]["segments"]
-    return doc.select(F.lit(stored.select("run_ts").first()[0]).alias("run"), F.col("d.segments").cast("decimal(38,0)").alias("segments"), lad.alias("lad"), F.col("d.n_times").cast("int").alias("n_times"), F.col("d.active_voxels").alias("active_voxels"))
+    return doc.select(F.lit(stored.select("run_ts").first()[0]).alias("run"), F.col("d.segments").alias("segments"), lad.alias("lad"), F.col("d.n_times").cast("int").alias("n_times"), F.col("d.active_voxels").alias("active_voxels"))
 
 
 ORACLE["run_snapshot_manifest"] = ORACLE["run_snapshot_manifest"].replace("sum(n) AS segments", "CAST(sum(n) AS BIGINT) AS segments")

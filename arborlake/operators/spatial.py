@@ -191,7 +191,12 @@ def best_connection(points: DataFrame, segs: DataFrame, gamma: float, t_range=(0
     lo, hi = _seg_box()
     items = segs.select("tree", "id", "px", "py", "pz", "dx", "dy", "dz", "radius_mm").withColumn(
         "seg_length", g.segment_length(start(), end()))
-    index = boxes.build(items, lo, hi, extras={
+    # Cost scales with the radius, so cells hold one class of radii each; there are
+    # only about four classes per doubling between the thinnest and the widest.
+    items = items.withColumn("r_class", F.floor(4 * F.log2("radius_mm")))
+    classes = [r[0] for r in items.select("r_class").distinct().collect()]
+    asked = points.withColumn("r_class", F.explode(F.array(*[F.lit(c) for c in classes])))
+    index = boxes.build(items, lo, hi, ["r_class"], extras={
         "b_r0": F.min("radius_mm"), "b_r1": F.max("radius_mm"), "b_l0": F.min("seg_length"), "b_l1": F.max("seg_length")})
 
     def junction(r):
@@ -223,7 +228,7 @@ def best_connection(points: DataFrame, segs: DataFrame, gamma: float, t_range=(0
         found = df.withColumn("_s", span).withColumn("t", (F.col("_s.a") + F.col("_s.b")) / 2)
         return found.withColumn("d_sq", tubes(F.col("t")) + junction(radius))
 
-    found = boxes.k_nearest(points, ["qid"], place(), place(), index, 1, scored, ["tree", "id"], least=least, most=most)
+    found = boxes.k_nearest(asked, ["qid"], place(), place(), index, 1, scored, ["tree", "id"], least=least, most=most)
     return found.select(
         "qid", "tree", "id", "t", F.col("d_sq").alias("cost"),
         g.split_point_valid(F.col("t"), length, radius, reach(F.col("t"))).alias("valid"),
