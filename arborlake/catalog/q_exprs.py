@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from arborlake.catalog.bed import FOREST_SQL, LINES_SQL, POINTS_SQL, TWIGS_SQL, forest, lines, points, sig, sig_sql, table, twigs, with_sql
 from arborlake.catalog.q_stats import ORD_SQL, PRM, ranked
-from arborlake.catalog.q_trees import FLOW_SQL, KIDS_SQL, flowing
+from arborlake.catalog.q_trees import CLOSURE_SQL, FLOW_SQL, KIDS_SQL, flowing
 from arborlake.functions import domains, flow, geometry as g, morphometry, text
 from arborlake.functions.vectors import triple
 from arborlake.operators import filters, stats, trees
@@ -48,12 +48,16 @@ def tube(spark, sf):
         sig(flow.resistance_by_diameter(l, r * 2000), 8).alias("resistance_small"), sig(flow.volume_ml(l, r)).alias("volume_ml"))
 
 
-@register("transit_time", with_sql(*FLOW_SQL, """
-tt AS (SELECT f.tree, f.id, greatest(pi()*s.radius_mm*s.radius_mm*s.length_mm/1000*1e-6/abs(f.q*1e6), 1e-9) AS tau FROM flw f JOIN seg s ON s.tree=f.tree AND s.id=f.id)""",
+# Flow in proportion to r^gamma of the leaves below, so that every segment carries some at any depth.
+@register("transit_time", with_sql(FOREST_SQL, KIDS_SQL, CLOSURE_SQL, f"""
+fq AS (SELECT u.tree, u.id, 1e-9 * sum(pow(l.radius_mm, {GAMMA!r})) AS q FROM up u JOIN top l ON l.tree = u.tree AND l.id = u.leaf AND l.n_children = 0 GROUP BY 1, 2),
+tt AS (SELECT f.tree, f.id, greatest(pi()*s.radius_mm*s.radius_mm*s.length_mm/1000*1e-6/abs(f.q), 1e-9) AS tau FROM fq f JOIN seg s ON s.tree=f.tree AND s.id=f.id)""",
  recursive=True, body=f"SELECT tree, id, {sig_sql('tau', 7)} AS transit_s FROM tt"))
 def transit(spark, sf):
-    tau = flow.transit_time_s(flow.volume_ml(F.col("length_mm"), F.col("radius_mm")), F.col("flow_m3_s") * 1e6, F.col("id"))
-    return flowing(spark, sf).select("tree", "id", sig(tau, 7).alias("transit_s"))
+    segs = trees.with_children(forest(spark, sf))
+    own = F.when(F.col("is_terminal"), 1e-9 * F.pow("radius_mm", GAMMA)).otherwise(F.lit(0.0))
+    tau = flow.transit_time_s(flow.volume_ml(F.col("length_mm"), F.col("radius_mm")), F.col("q"), F.col("id"))
+    return segs.join(trees.subtree_sums(segs, {"q": own}), ["tree", "id"]).select("tree", "id", sig(tau, 7).alias("transit_s"))
 
 
 @register("flow_per_tree_base_and_dilated", with_sql(FOREST_SQL, """

@@ -83,6 +83,7 @@ def merge_chain(points: DataFrame, tolerance: float = 2.0) -> DataFrame:
 
 
 RESAMPLE_SLICE = 500_000  # points of one line handled in one task at a time
+LINES_BUCKET = 200_000
 
 
 def resample(points: DataFrame, low: float = 0.75, high: float = 1.5, per_radius: float = 0.75,
@@ -107,13 +108,8 @@ def resample(points: DataFrame, low: float = 0.75, high: float = 1.5, per_radius
     line_type = points.schema["line"].dataType.simpleString()
     schema = schema.replace("line long", f"line {line_type}")
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        s, total = pdf["s"].to_numpy(), float(pdf["total"].iloc[0])
-        cols = pdf[POINT].to_numpy()
-        is_last = int(pdf["pos"].iloc[-1]) == int(pdf["n"].iloc[0])
-        k, at = int(pdf["c_k"].iloc[0]), float(pdf["c_s"].iloc[0])
-        point = pdf[[f"c_{c}" for c in POINT]].iloc[0].to_numpy(dtype=float)
+    def walk_line(s: np.ndarray, cols: np.ndarray, total: float, is_last: bool, k: int, at: float, point: np.ndarray) -> list[tuple]:
+        """Kept points (k, s, x, y, z, radius, carry) of one line or slice, and the state it ends in."""
         rows = []
         if k == 0:
             k, at, point = 1, 0.0, cols[0]
@@ -122,8 +118,12 @@ def resample(points: DataFrame, low: float = 0.75, high: float = 1.5, per_radius
             nxt = at + min(max(per_radius * max(point[3], 1e-6), low), high)
             if nxt >= total - low or (nxt > s[-1] and not is_last):
                 break
-            new = np.array([np.interp(nxt, s, cols[:, j]) for j in range(4)])
-            if np.linalg.norm(new[:3] - point[:3]) >= 0.5 * low:
+            hi = max(int(np.searchsorted(s, nxt)), 1)
+            gap = s[hi] - s[hi - 1]
+            w = (nxt - s[hi - 1]) / gap if gap > 0 else 1.0
+            new = (1 - w) * cols[hi - 1] + w * cols[hi]
+            step = new - point
+            if step[0] * step[0] + step[1] * step[1] + step[2] * step[2] >= (0.5 * low) ** 2:
                 k, at, point = k + 1, nxt, new
                 rows.append((k, at, *point, False))
             else:
@@ -136,12 +136,28 @@ def resample(points: DataFrame, low: float = 0.75, high: float = 1.5, per_radius
             else:
                 rows.append((k + 1, total, *end, False))
         rows.append((k, at, *point, True))
+        return rows
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["line", "pos"], ignore_index=True)
+        names = pdf["line"].to_numpy()
+        s, total, pos, n = (pdf[c].to_numpy() for c in ("s", "total", "pos", "n"))
+        cols, start_k, start_s = pdf[POINT].to_numpy(), pdf["c_k"].to_numpy(), pdf["c_s"].to_numpy()
+        start_point = pdf[[f"c_{c}" for c in POINT]].to_numpy(dtype=float)
+        cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(names)]
+        lines, rows = [], []
+        for i, j in zip(cuts, cuts[1:]):
+            got = walk_line(s[i:j], cols[i:j], float(total[i]), pos[j - 1] == n[i], int(start_k[i]), float(start_s[i]), start_point[i])
+            lines += [names[i]] * len(got)
+            rows += got
         out = pd.DataFrame(rows, columns=["k", "s", *POINT, "carry"])
-        out.insert(0, "line", pdf["line"].iloc[0])
+        out.insert(0, "line", lines)
         return out
 
+    # Many short lines share a task; a bucket holds about LINES_BUCKET points.
+    buckets = max(32, n_rows // LINES_BUCKET)
     state = None
-    found = [kept]
+    found = [kept.withColumn("_part", F.lit(0))]
     for start in range(0, max(longest, 1), slice_points):
         # One point of overlap lets a step end between two slices.
         part = work.where(F.col("pos").between(start, start + slice_points))
@@ -149,15 +165,17 @@ def resample(points: DataFrame, low: float = 0.75, high: float = 1.5, per_radius
             part = part.withColumns({"c_k": F.lit(0), "c_s": F.lit(0.0), **{f"c_{c}": F.lit(0.0) for c in POINT}})
         else:
             part = lookup(part, state, ["line"], n_rows)
-        done = cut(part.groupBy("line").applyInPandas(walk, schema), "walk")
-        found.append(done.where(~F.col("carry")).select("line", "k", *POINT))
+        done = cut(part.groupBy(F.pmod(F.xxhash64("line"), F.lit(buckets)).alias("_b")).applyInPandas(walk, schema), "walk")
+        found.append(done.where(~F.col("carry")).select("line", "k", *POINT, F.lit(start).alias("_part")))
         state = done.where("carry").select("line", F.col("k").alias("c_k"), F.col("s").alias("c_s"),
                                            *[F.col(c).alias(f"c_{c}") for c in POINT])
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    # The end point may replace a point kept in an earlier slice: the later row wins.
-    return out.withColumnRenamed("k", "pos")
+    if longest > slice_points:
+        # The end point may replace a point kept in an earlier slice: the later one stays.
+        out = out.groupBy("line", "k").agg(F.max_by(F.struct(*POINT), "_part").alias("_p")).select("line", "k", "_p.*")
+    return out.select("line", F.col("k").alias("pos"), *POINT)
 
 
 def closest_pairs(points: DataFrame, connections: DataFrame) -> DataFrame:
