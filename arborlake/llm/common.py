@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from arborlake.plans.cut import cut, cut_counted, work_dir  # noqa: F401  (used by the jobs)
 
@@ -127,3 +127,22 @@ def byte_class(outside: bytes) -> np.ndarray:
     out = np.ones(256, bool)
     out[list(outside)] = False
     return out
+
+
+def with_columns_of_text(docs: DataFrame, added: str, work, text: str = "text") -> DataFrame:
+    """``docs`` with the columns of the DDL text ``added``, which ``work`` makes from parts of Arrow batches.
+
+    ``work`` takes a record batch and returns one Arrow array for each added column.  Columns of ``docs`` with these
+    names are replaced.
+    """
+    new = T.StructType.fromDDL(added)
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c == text or c not in new.names])
+    schema = T.StructType([*kept.schema.fields, *new.fields])
+    names = schema.names
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text):
+                yield pa.RecordBatch.from_arrays([*part.columns, *work(part)], names=names)
+
+    return kept.mapInArrow(run, schema)

@@ -1,12 +1,16 @@
 """Registered text queries and their SQL counterparts."""
 
-from arborlake.llm import quality_rules, url_filters
+from arborlake.llm import decontamination, jaccard_join, quality_rules, url_filters
 
 QUERIES = {
+    "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op9_url_filters": url_filters.op9_url_filters,
 }
 ORACLE = {
+    "op10_ngram_jaccard_join": jaccard_join.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
+    "op8_benchmark_decontamination": decontamination.ORACLE,
     "op9_url_filters": url_filters.ORACLE,
 }
