@@ -1,10 +1,11 @@
 """Registered text queries and their SQL counterparts."""
 
-from arborlake.llm import decontamination, jaccard_join, quality_rules, url_filters
+from arborlake.llm import decontamination, jaccard_join, quality_rules, toxicity, url_filters
 
 QUERIES = {
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op9_url_filters": url_filters.op9_url_filters,
 }
