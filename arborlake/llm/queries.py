@@ -1,8 +1,9 @@
 """Registered text queries and their SQL counterparts."""
 
-from arborlake.llm import decontamination, jaccard_join, quality_rules, toxicity, url_filters
+from arborlake.llm import decontamination, jaccard_join, pii, quality_rules, toxicity, url_filters
 
 QUERIES = {
+    "op2_pii_bootstrap": pii.op2_pii_bootstrap,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_toxicity": toxicity.op5_toxicity,
