@@ -129,7 +129,7 @@ def byte_class(outside: bytes) -> np.ndarray:
     return out
 
 
-def with_columns_of_text(docs: DataFrame, added: str, work, text: str = "text") -> DataFrame:
+def with_columns_of_text(docs: DataFrame, added: str, work, text: str = "text", limit: int = CHUNK) -> DataFrame:
     """``docs`` with the columns of the DDL text ``added``, which ``work`` makes from parts of Arrow batches.
 
     ``work`` takes a record batch and returns one Arrow array for each added column.  Columns of ``docs`` with these
@@ -142,7 +142,7 @@ def with_columns_of_text(docs: DataFrame, added: str, work, text: str = "text")
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, limit):
                 yield pa.RecordBatch.from_arrays([*part.columns, *work(part)], names=names)
 
     return kept.mapInArrow(run, schema)

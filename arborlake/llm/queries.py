@@ -1,10 +1,11 @@
 """Registered text queries and their SQL counterparts."""
 
-from arborlake.llm import decontamination, jaccard_join, pii, quality_rules, toxicity, url_filters
+from arborlake.llm import decontamination, jaccard_join, pii, quality_rules, sentencepiece_sampling, toxicity, url_filters
 
 QUERIES = {
     "op2_pii_bootstrap": pii.op2_pii_bootstrap,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
+    "op3_sentencepiece_sampling": sentencepiece_sampling.op3_sentencepiece_sampling,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_toxicity": toxicity.op5_toxicity,
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
