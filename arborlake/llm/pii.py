@@ -161,6 +161,26 @@ def find(docs: DataFrame, text: str = "text", keep_text: bool = True, rounds: in
     return found.join(spans, "_row", "left").withColumn("added", F.coalesce("added", none)).drop("_row", "tokens")
 
 
+def masked(text: str = "text") -> Column:
+    """The text of rows of ``find`` with each span replaced by its kind in brackets; spans that overlap are one."""
+    marks = F.sort_array(F.concat(
+        F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))),
+        F.transform("added", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("context").alias("kind")))))
+    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+
+    def merge(a, x):
+        last = F.try_element_at(a, F.lit(-1))
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["kind"].alias("kind"))
+        return F.when(last["end"] > x["start"], F.concat(F.slice(a, 1, F.size(a) - 1), F.array(wider))).otherwise(F.concat(a, F.array(x)))
+
+    merged = F.aggregate(marks, none, merge)
+    part = lambda a, b: F.substring(F.col(text), a + 1, b - a)
+    pieces = F.transform(merged, lambda x, i: F.concat(
+        part(F.coalesce(F.get(merged, i - 1)["end"], F.lit(0)), x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+    rest = F.substring(F.col(text), F.try_element_at(merged, F.lit(-1))["end"] + 1, F.length(F.col(text)))
+    return F.when(F.size("base") + F.size("added") == 0, F.col(text)).otherwise(F.concat(F.array_join(pieces, ""), rest))
+
+
 def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 

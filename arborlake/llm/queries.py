@@ -1,8 +1,9 @@
 """Registered text queries and their SQL counterparts."""
 
-from arborlake.llm import decontamination, jaccard_join, pii, quality_rules, sentencepiece_sampling, toxicity, url_filters
+from arborlake.llm import decontamination, jaccard_join, pii, quality_rules, sentencepiece_sampling, toxicity, url_filters, warc
 
 QUERIES = {
+    "op1_warc_normaliser": warc.op1_warc_normaliser,
     "op2_pii_bootstrap": pii.op2_pii_bootstrap,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
     "op3_sentencepiece_sampling": sentencepiece_sampling.op3_sentencepiece_sampling,
@@ -12,6 +13,7 @@ QUERIES = {
     "op9_url_filters": url_filters.op9_url_filters,
 }
 ORACLE = {
+    "op1_warc_normaliser": warc.ORACLE,
     "op10_ngram_jaccard_join": jaccard_join.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
     "op8_benchmark_decontamination": decontamination.ORACLE,

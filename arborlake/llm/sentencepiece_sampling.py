@@ -268,29 +268,32 @@ _SAMPLE = "n_tokens:bigint,ids_sha256:string,decoded_sha256:string,log_prob:doub
 
 
 def segmentations(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = SAMPLES, model: str = MODEL, keep_ids: bool = True) -> DataFrame:
-    """Adds samples: n_tokens, ids (without ``keep_ids`` only their hash), hash of the decoded text, and scores.
+    """Adds samples (n_tokens, hashes of the ids and of the decoded text, scores) and, with ``keep_ids``, ids of each.
 
     ids_sha256 is over the ids as little-endian 32-bit numbers.
     """
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary(model))  # a fixed vocabulary
     kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()),
-                      *[(c, pa.float64()) for c in ("log_prob", "perturbed", "log_inclusion")], *([("ids", pa.list_(pa.int32()))] if keep_ids else [])])
+                      *[(c, pa.float64()) for c in ("log_prob", "perturbed", "log_inclusion")]])
 
     def work(part):
         vocab = sent.value
         raw = part.column("_key").to_numpy(zero_copy_only=False)
         rows = sampled([t or "" for t in part.column(text).to_pylist()], raw.astype(np.int64).view(np.uint64), vocab, k)
-        for row in rows:
-            for s in row:
-                ids = s["ids"]
-                s |= {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(),
-                      "decoded_sha256": hashlib.sha256(decoded(ids, vocab)).hexdigest()}
-                if not keep_ids:
-                    del s["ids"]
-        return [pa.array(rows, pa.list_(kind))]
-
-    keyed = docs.drop("samples").withColumn("_key", F.xxhash64(F.col(id).cast("string")))
-    added = f"samples array<struct<{_SAMPLE}{',ids:array<int>' if keep_ids else ''}>>"
+        ids = [s.pop("ids") for row in rows for s in row]
+        for s, x in zip((s for row in rows for s in row), ids):
+            s |= {"n_tokens": len(x), "ids_sha256": hashlib.sha256(x.astype("<i4").tobytes()).hexdigest(),
+                  "decoded_sha256": hashlib.sha256(decoded(x, vocab)).hexdigest()}
+        out = [pa.array(rows, pa.list_(kind))]
+        if keep_ids:
+            inner = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            outer = np.concatenate([[0], np.cumsum([len(row) for row in rows])]).astype(np.int32)
+            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
+            out.append(pa.ListArray.from_arrays(pa.array(outer), pa.ListArray.from_arrays(pa.array(inner), flat)))
+        return out
+
+    keyed = docs.drop("samples", *["ids"] * keep_ids).withColumn("_key", F.xxhash64(F.col(id).cast("string")))
+    added = f"samples array<struct<{_SAMPLE}>>" + ", ids array<array<int>>" * keep_ids
     return with_columns_of_text(keyed, added, work, text, BLOCK).drop("_key")
 
 

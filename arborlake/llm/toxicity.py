@@ -163,10 +163,10 @@ def held_out(id: Column) -> Column:
     return F.crc32(id.cast("string")) % 4 == 2
 
 
-def scored(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, docs: DataFrame, sf_dir: str, text: str = "text") -> DataFrame:
     """``docs`` with score, by a model of the labelled rows of the tables that are not held out."""
     model = learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
-    return model.score(docs)
+    return model.score(docs, text)
 
 
 THRESHOLD = 0.3
