@@ -1,6 +1,6 @@
 """Registered text queries and their SQL counterparts."""
 
-from arborlake.llm import decontamination, jaccard_join, pii, quality_rules, sentencepiece_sampling, toxicity, url_filters, warc
+from arborlake.llm import decontamination, jaccard_join, pii, quality_rules, sentencepiece_sampling, suffix_array_dedup, suffix_tree_dedup, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_warc_normaliser": warc.op1_warc_normaliser,
@@ -9,6 +9,8 @@ QUERIES = {
     "op3_sentencepiece_sampling": sentencepiece_sampling.op3_sentencepiece_sampling,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_suffix_array_dedup": suffix_array_dedup.op6_suffix_array_dedup,
+    "op7_suffix_tree_dedup": suffix_tree_dedup.op7_suffix_tree_dedup,
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op9_url_filters": url_filters.op9_url_filters,
 }
@@ -16,6 +18,7 @@ ORACLE = {
     "op1_warc_normaliser": warc.ORACLE,
     "op10_ngram_jaccard_join": jaccard_join.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
+    "op7_suffix_tree_dedup": suffix_tree_dedup.ORACLE,
     "op8_benchmark_decontamination": decontamination.ORACLE,
     "op9_url_filters": url_filters.ORACLE,
 }
