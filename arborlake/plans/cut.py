@@ -33,7 +33,9 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
 
 
 def cut_counted(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
@@ -41,3 +43,13 @@ def cut_counted(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame,
     seen = Observation()
     table = cut(df.observe(seen, *[c.alias(n) for n, c in counts.items()]), label)
     return table, seen.get
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete cut tables once what was made of them is written; tables that are no cuts are left alone."""
+    for table in tables:
+        path = getattr(table, "cut_path", None)
+        if path:
+            jvm = table.sparkSession.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
