@@ -62,10 +62,7 @@ SELECT tree, id - 1 AS id, CASE WHEN parent_id > 0 THEN parent_id - 1 ELSE -1 EN
 def edge_text(spark, sf):
     path = fresh(spark, "edges")
     S.write_edge_text(forest(spark, sf), path)
-    from functools import reduce
-
-    parts = [S.read_edge_text(spark, f"{path}/tree={t}", t) for t in ("LAD", "LCX", "RCA")]
-    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    rows = S.read_edge_text(spark, path)
     return rows.select("tree", "id", "parent_id", "side", "diameter_um", "length_cm", "z")
 
 
@@ -85,12 +82,13 @@ def polylines(spark, sf):
 
 @register("xyz_points_and_normals", """SELECT o_orderkey + 1 AS id, o_totalprice / 10 AS x, round(CAST(1 + o_custkey % 3 AS DOUBLE) / sqrt(pow(1 + o_custkey % 3, 2) + 4 + pow(o_orderkey % 5, 2)), 9) AS nx FROM orders""")
 def xyz(spark, sf):
-    o = table(spark, sf, "orders").orderBy("o_orderkey")
+    o = table(spark, sf, "orders").withColumn("surface", F.lit("s"))
     p, n = fresh(spark, "points"), fresh(spark, "normals")
-    # One file each, because points and normals pair by row.
-    o.select((F.col("o_totalprice") / 100).alias("x"), F.col("o_custkey").cast("double").alias("y"), F.lit(1.0).alias("z")).coalesce(1).write.csv(p)
-    o.select((1 + F.col("o_custkey") % 3).cast("double").alias("x"), F.lit(2.0).alias("y"), (F.col("o_orderkey") % 5).cast("double").alias("z")).coalesce(1).write.csv(n)
-    named = [S.read_xyz(spark, path).withColumn("surface", F.lit("s")) for path in (p, n)]
+    # Points and normals pair by row; both are written in the order of the same ranges, in any number of parts.
+    ordered = o.repartitionByRange("surface", "o_orderkey").sortWithinPartitions("surface", "o_orderkey")
+    ordered.select("surface", (F.col("o_totalprice") / 100).alias("x"), F.col("o_custkey").cast("double").alias("y"), F.lit(1.0).alias("z")).write.partitionBy("surface").csv(p)
+    ordered.select("surface", (1 + F.col("o_custkey") % 3).cast("double").alias("x"), F.lit(2.0).alias("y"), (F.col("o_orderkey") % 5).cast("double").alias("z")).write.partitionBy("surface").csv(n)
+    named = [S.read_xyz(spark, path, key="surface").withColumnRenamed("file", "surface") for path in (p, n)]
     return S.surface_points(*named, scale=10.0).select("id", F.round("x", 6).alias("x"), F.round("nx", 9).alias("nx"))
 
 
@@ -107,20 +105,8 @@ def centerline_csv(spark, sf):
     long = cumulative(pts.drop("pos"), ["grp"], "_o").select(F.col("grp").alias("line"), F.col("upto").alias("pos"), "x", "y", "z", "radius_mm")
     path = fresh(spark, "centerlines")
     S.write_centerlines(long, path)
-    from arborlake.sources.lines import numbered
-
-    out = None
-    for n in range(8):
-        rows = numbered(spark, f"{path}/line={n}").select(F.lit(n).cast("bigint").alias("grp"), "file", "pos", F.split("value", ",").alias("c"))
-        out = rows if out is None else out.unionByName(rows)
-    # Part files of a line follow each other by name.
-    sizes = out.groupBy("grp", "file").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("grp").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("grp", "file", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-    met = out.join(offsets, ["grp", "file"])
-    return met.groupBy("grp").agg(F.count("*").alias("n"), F.round(F.sum(F.get("c", F.lit(0)).cast("double") * (F.col("pos") + F.col("before"))), 4).alias("checksum"))
+    back = S.read_centerlines(spark, path)
+    return back.groupBy(F.col("line").cast("bigint").alias("grp")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("x") * F.col("pos")), 4).alias("checksum"))
 
 
 @register("control_net_text_round_trip", with_sql(__import__("arborlake.catalog.q_surfaces", fromlist=["NET_SQL"]).NET_SQL, body="""

@@ -58,10 +58,10 @@ def repair(spark, sf):
 @register("hop_neighbourhood_size", with_sql(FOREST_SQL, """
 mv AS (SELECT tree, id AS a, parent_id AS b FROM seg WHERE parent_id > 0 UNION ALL SELECT tree, parent_id, id FROM seg WHERE parent_id > 0),
 wk AS (SELECT tree, id AS start, id AS at, CAST(-1 AS BIGINT) AS came, 0 AS h FROM seg UNION ALL
-  SELECT w.tree, w.start, m.b, w.at, w.h + 1 FROM wk w JOIN mv m ON m.tree = w.tree AND m.a = w.at WHERE w.h < 4 AND m.b <> w.came)""", recursive=True, body="""
+  SELECT w.tree, w.start, m.b, w.at, w.h + 1 FROM wk w JOIN mv m ON m.tree = w.tree AND m.a = w.at WHERE w.h < 8 AND m.b <> w.came)""", recursive=True, body="""
 SELECT tree, start, count(*) AS n, max(h) AS farthest FROM wk GROUP BY 1, 2"""))
 def hops(spark, sf):
-    near = trees.neighbourhood(forest(spark, sf), 4)
+    near = trees.neighbourhood(forest(spark, sf), 8)
     return near.groupBy("tree", "start").agg(F.count("*").alias("n"), F.max("hops").alias("farthest"))
 
 
@@ -189,7 +189,7 @@ def places(spark, sf):
     stored = points(spark, sf).withColumn("pos", F.col("qid")).drop("qid")
     c = synth.picked(stored, "pos", n, n, 8).drop("pos").withColumn("kind", F.lit("stored"))
     owned, grid = owned_cells(spark, sf)
-    d = synth.in_territory(spark, shell, owned, grid, "LAD", n, 20, 9).withColumn("kind", F.lit("territory"))
+    d = synth.in_territory(spark, shell, owned, grid, "LAD", n, 100, 9).withColumn("kind", F.lit("territory"))
     return a.unionByName(b).unionByName(c).unionByName(d)
 
 

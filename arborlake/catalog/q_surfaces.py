@@ -109,13 +109,14 @@ def sphere_nets(spark, sf, centre, radius):
 
 @register("trees_assembled_from_lines")
 def assembled(spark, sf):
-    """Groups of five consecutive lines become trees: the second is the root, the first its reference, the rest children of the line before."""
+    """Groups of up to five lines become trees: the second is the root, the first its reference, the rest children of the line before."""
     pts = lines(spark, sf).withColumn("grp", F.floor(F.col("line") / 5))
-    full = pts.groupBy("grp").agg(F.count_distinct("line").alias("n")).where("n = 5").select("grp")
-    have = full.select("grp", F.concat(F.lit("T"), F.col("grp").cast("string")).alias("tree"))
-    roots = have.select("tree", (F.col("grp") * 5 + 1).alias("line"), (F.col("grp") * 5).alias("reference"))
-    conn = have.select("tree", F.explode(F.array(*[F.struct((F.col("grp") * 5 + c).alias("child"), (F.col("grp") * 5 + c - 1).alias("parent")) for c in (2, 3, 4)])).alias("c")).select("tree", "c.parent", "c.child")
-    placed, joint = L.assemble(pts.join(full, "grp", "left_semi").drop("grp"), roots, conn)
+    names = pts.groupBy("grp").agg(F.array_sort(F.collect_set("line")).alias("ls"))  # at most five
+    names = names.withColumn("tree", F.concat(F.lit("T"), F.col("grp").cast("string")))
+    roots = names.select("tree", F.element_at("ls", F.least(F.size("ls"), F.lit(2))).alias("line"), F.element_at("ls", 1).alias("reference"))
+    conn = names.where(F.size("ls") > 2).select("tree", F.explode(F.transform(
+        F.slice("ls", 3, 3), lambda c, i: F.struct(F.element_at("ls", i + 2).alias("parent"), c.alias("child")))).alias("c")).select("tree", "c.parent", "c.child")
+    placed, joint = L.assemble(pts.drop("grp"), roots, conn)
     owned = roots.select("tree", "line").unionByName(conn.select("tree", F.col("child").alias("line")))
     segs = L.tree_segments(placed, owned, joint.drop("tree"))
     return segs.select("tree", "id", "parent_id", *[F.round(c, 6).alias(c) for c in ("px", "dx", "radius_mm")])

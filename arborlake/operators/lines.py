@@ -3,6 +3,8 @@
 ``line_points`` rows are (line, pos, x, y, z, radius_mm) with pos from 1 without gaps.
 """
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -108,51 +110,51 @@ def resample(points: DataFrame, low: float = 0.75, high: float = 1.5, per_radius
     line_type = points.schema["line"].dataType.simpleString()
     schema = schema.replace("line long", f"line {line_type}")
 
-    def walk_line(s: np.ndarray, cols: np.ndarray, total: float, is_last: bool, k: int, at: float, point: np.ndarray) -> list[tuple]:
-        """Kept points (k, s, x, y, z, radius, carry) of one line or slice, and the state it ends in."""
-        rows = []
-        if k == 0:
-            k, at, point = 1, 0.0, cols[0]
-            rows.append((1, 0.0, *point, False))
-        while True:
-            nxt = at + min(max(per_radius * max(point[3], 1e-6), low), high)
-            if nxt >= total - low or (nxt > s[-1] and not is_last):
-                break
-            hi = max(int(np.searchsorted(s, nxt)), 1)
-            gap = s[hi] - s[hi - 1]
-            w = (nxt - s[hi - 1]) / gap if gap > 0 else 1.0
-            new = (1 - w) * cols[hi - 1] + w * cols[hi]
-            step = new - point
-            if step[0] * step[0] + step[1] * step[1] + step[2] * step[2] >= (0.5 * low) ** 2:
-                k, at, point = k + 1, nxt, new
-                rows.append((k, at, *point, False))
-            else:
-                at += 0.5 * low
-        if is_last:
-            end = cols[-1]
-            if np.linalg.norm(end[:3] - point[:3]) < 0.5 * low and k > 1:
-                rows = [r for r in rows if r[0] != k]
-                rows.append((k, total, *end, False))
-            else:
-                rows.append((k + 1, total, *end, False))
-        rows.append((k, at, *point, True))
-        return rows
-
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Kept points of all lines of a bucket, and per line the state (flag carry) that its next slice starts from.
+
+        The lines are laid end to end on one axis of arc length, so that one sorted lookup places the next point of
+        every line that still goes on; a round moves all of them by one step.
+        """
         pdf = pdf.sort_values(["line", "pos"], ignore_index=True)
-        names = pdf["line"].to_numpy()
-        s, total, pos, n = (pdf[c].to_numpy() for c in ("s", "total", "pos", "n"))
-        cols, start_k, start_s = pdf[POINT].to_numpy(), pdf["c_k"].to_numpy(), pdf["c_s"].to_numpy()
-        start_point = pdf[[f"c_{c}" for c in POINT]].to_numpy(dtype=float)
-        cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(names)]
-        lines, rows = [], []
-        for i, j in zip(cuts, cuts[1:]):
-            got = walk_line(s[i:j], cols[i:j], float(total[i]), pos[j - 1] == n[i], int(start_k[i]), float(start_s[i]), start_point[i])
-            lines += [names[i]] * len(got)
-            rows += got
-        out = pd.DataFrame(rows, columns=["k", "s", *POINT, "carry"])
-        out.insert(0, "line", lines)
-        return out
+        names, s = pdf["line"].to_numpy(), pdf["s"].to_numpy()
+        first = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+        last = np.append(first[1:], len(names)) - 1
+        shift = np.concatenate([[0.0], np.cumsum(s[last] + 1.0)[:-1]])
+        axis = s + np.repeat(shift, last - first + 1)
+        spots = pdf[POINT].to_numpy(dtype=float)
+        total, whole = pdf["total"].to_numpy()[first], pdf["pos"].to_numpy()[last] == pdf["n"].to_numpy()[last]
+        k, at = pdf["c_k"].to_numpy()[first].copy(), pdf["c_s"].to_numpy(dtype=float)[first].copy()
+        here = pdf[[f"c_{c}" for c in POINT]].to_numpy(dtype=float)[first].copy()
+        fresh = k == 0
+        k[fresh], at[fresh], here[fresh] = 1, 0.0, spots[first[fresh]]
+        made = [(np.flatnonzero(fresh), k[fresh], at[fresh], here[fresh])]
+        going = np.arange(len(first))
+        while len(going):
+            ahead = at[going] + np.clip(per_radius * np.maximum(here[going, 3], 1e-6), low, high)
+            # A line rests where its end is near, or where the next slice has the place.
+            rests = (ahead >= total[going] - low) | ((ahead > s[last[going]]) & ~whole[going])
+            going, ahead = going[~rests], ahead[~rests]
+            right = np.clip(np.searchsorted(axis, ahead + shift[going]), first[going] + 1, last[going])
+            gap = s[right] - s[right - 1]
+            share = np.divide(ahead - s[right - 1], gap, out=np.ones_like(gap), where=gap > 0)[:, None]
+            spot = (1 - share) * spots[right - 1] + share * spots[right]
+            far = ((spot - here[going])[:, :3] ** 2).sum(1) >= (low / 2) ** 2
+            kept_lines = going[far]
+            k[kept_lines] += 1
+            at[kept_lines], here[kept_lines] = ahead[far], spot[far]
+            made.append((kept_lines, k[kept_lines], at[kept_lines], here[kept_lines]))
+            at[going[~far]] += low / 2  # the line turns back on itself: look further along it
+        ends = np.flatnonzero(whole)
+        tip = spots[last[ends]]
+        near = (np.linalg.norm((tip - here[ends])[:, :3], axis=1) < low / 2) & (k[ends] > 1)
+        made.append((ends, k[ends] + ~near, total[ends], tip))
+        line, number, place, spot = (np.concatenate(x) for x in zip(*made))
+        out = pd.DataFrame({"line": names[first[line]], "k": number, "s": place})
+        out[POINT] = spot
+        out = out.drop_duplicates(["line", "k"], keep="last").assign(carry=False)  # a near end replaces the last point
+        state = pd.DataFrame({"line": names[first], "k": k, "s": at, **dict(zip(POINT, here.T)), "carry": True})
+        return pd.concat([out, state], ignore_index=True)
 
     # Many short lines share a task; a bucket holds about LINES_BUCKET points.
     buckets = max(32, n_rows // LINES_BUCKET)
@@ -257,7 +259,7 @@ def joints(points: DataFrame, connections: DataFrame, tail_points: int = 2, extr
         F.when(snap, F.col("end_gap")).otherwise(F.col("gap_mm")).alias("gap_mm"))
 
 
-def assemble(points: DataFrame, roots: DataFrame, connections: DataFrame, max_depth: int = 64) -> tuple[DataFrame, DataFrame]:
+def assemble(points: DataFrame, roots: DataFrame, connections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Oriented, trimmed lines and their joints for trees of lines.
 
     ``roots`` is (tree, line, reference), ``connections`` (tree, parent, child).
@@ -280,7 +282,7 @@ def assemble(points: DataFrame, roots: DataFrame, connections: DataFrame, max_de
     first = placed.groupBy("line").agg(F.min("pos").alias("_p"))
     done = cut(placed.join(first, "line").withColumn("pos", (F.col("pos") - F.col("_p") + 1).cast("int")).drop("_p"), "roots")
     made, waiting = None, connections
-    for level in range(1, max_depth + 1):
+    for level in itertools.count(1):
         ready = waiting.join(done.select(F.col("line").alias("parent")).distinct(), "parent", "left_semi")
         ready, tally = cut_counted(ready, "ready", n=F.count("*"))
         if tally["n"] == 0:

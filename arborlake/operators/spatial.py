@@ -125,7 +125,7 @@ def collisions(segs: DataFrame, min_distance: float) -> DataFrame:
     foreign = (F.col("b_t0") != F.col("q_tree")) | (F.col("b_t1") != F.col("q_tree"))
     found = boxes.k_nearest(
         ends, ["q_tree", "q_id"], place(), place(), index, 1, g.point_segment_sq(place(), start(), end()), ["tree", "id"],
-        usable=foreign, admit=F.col("tree") != F.col("q_tree"),
+        usable=foreign, admit=F.col("tree") != F.col("q_tree"), limit_sq=min_distance**2,
     )
     return found.where(F.col("d_sq") < min_distance**2).select(
         F.col("q_tree").alias("tree"), F.col("q_id").alias("id"), F.sqrt("d_sq").alias("distance")

@@ -175,11 +175,9 @@ def downsample(labels: DataFrame, dims: tuple, factor: int) -> DataFrame:
     return out.withColumns({a: F.floor((F.col(a) - 1 - factor // 2) / factor).cast("int") + 1 for a in IJK})
 
 
-def to_dense(sparse: DataFrame, dims: tuple, times: int, fill: float = 0.0, budget_bytes: int = 1_500_000_000, cell_bytes: int = 8) -> DataFrame:
-    """Every (i, j, k, t_idx) of the grid, filled where there is a value; refused when it does not fit the budget."""
+def to_dense(sparse: DataFrame, dims: tuple, times: int, fill: float = 0.0) -> DataFrame:
+    """Every (i, j, k, t_idx) of the grid, filled where there is a value."""
     cells = dims[0] * dims[1] * dims[2] * times
-    if cells * cell_bytes > budget_bytes:
-        raise ValueError(f"{cells} cells exceed the budget of {budget_bytes} bytes")
     n = F.col("id")
     ij = dims[0] * dims[1]
     full = sparse.sparkSession.range(cells).select(
@@ -233,7 +231,7 @@ def _face_pairs(cells: DataFrame, cols: list[str], prefix: str) -> DataFrame:
     return asked.withColumns({f"_{a}": F.col(a) + F.col(f"_f.{a}") for a in IJK}).join(target, ["_i", "_j", "_k"]).drop("_f", "_i", "_j", "_k")
 
 
-def components(cells: DataFrame, owner: str = "owner", max_rounds: int = 64) -> DataFrame:
+def components(cells: DataFrame, owner: str = "owner") -> DataFrame:
     """Adds ``component``: the smallest cell code of the face-connected cells with the same owner.
 
     Every round a component is joined to the smallest label next to it and then
@@ -245,7 +243,7 @@ def components(cells: DataFrame, owner: str = "owner", max_rounds: int = 64) ->
     edges = cut(near.where(F.col(owner) == F.col(f"n_{owner}")).select("cell", F.col("n_cell").alias("to")), "edges")
     labels = cut(state.select("cell", F.col("cell").alias("label")), "labels")
     n = labels.count()
-    for _ in range(max_rounds):
+    while True:
         # Hook: labels of both ends of every edge between two components meet at the larger label.
         ends = lookup(edges, labels, ["cell"], n * 6).withColumnRenamed("label", "la").join(
             labels.select(F.col("cell").alias("to"), F.col("label").alias("lb")), "to").where("lb < la")

@@ -133,13 +133,14 @@ def _scored(pairs: DataFrame, score: Score) -> DataFrame:
 def k_nearest(
     queries: DataFrame, q_keys: list[str], q_lo: Triple, q_hi: Triple, index: BoxIndex, k: int,
     distance_sq: Score, order: list[str], usable: Column | None = None, admit: Column | None = None,
-    least: Column | None = None, most: Column | None = None,
+    least: Column | None = None, most: Column | None = None, limit_sq: float | None = None,
 ) -> DataFrame:
     """The ``k`` nearest items of every query, ties by ``order``; adds d_sq and rank.
 
     ``usable`` tells whether a cell holds at least one item the query may take
     (k = 1 only); ``admit`` tells the same for single items.  A score other than
     the squared distance needs its bounds over a cell: ``least`` and ``most``.
+    With ``limit_sq`` only items of at most that score count, and cells beyond it are dropped from the first level on.
     """
     if k > 1 and usable is not None:
         raise ValueError("cells can only be ruled out for k = 1")
@@ -147,8 +148,11 @@ def k_nearest(
     per_query = Window.partitionBy(*q_keys)
 
     def keep(front: DataFrame) -> DataFrame:
+        near = box_gap_sq(q_lo, q_hi, lo, hi) if least is None else least
+        if limit_sq is not None:
+            front = front.where(near <= limit_sq * (1 + 1e-9))
         reach = front.withColumns({
-            "_near": box_gap_sq(q_lo, q_hi, lo, hi) if least is None else least,
+            "_near": near,
             "_far": box_reach_sq(q_lo, q_hi, lo, hi) if most is None else most,
         })
         if k == 1:
@@ -165,7 +169,10 @@ def k_nearest(
     pairs = _descend(queries, q_keys, q_lo, q_hi, index, keep, usable)
     if admit is not None:
         pairs = pairs.where(admit)
-    ranked = _scored(pairs, distance_sq).withColumn(
+    pairs = _scored(pairs, distance_sq)
+    if limit_sq is not None:
+        pairs = pairs.where(F.col("d_sq") <= limit_sq)
+    ranked = pairs.withColumn(
         "rank", F.row_number().over(per_query.orderBy("d_sq", *order))
     )
     return ranked.where(F.col("rank") <= k)

@@ -18,7 +18,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from arborlake.plans.cut import cut_counted
+from arborlake.plans.cut import cut, cut_counted, discard
 from arborlake.plans.lookup import lookup
 
 
@@ -63,17 +63,19 @@ def path_fold(
 ) -> DataFrame:
     """Fold along ``pointer`` until it is null; rows that never get there (cycles, orphans) drop out.
 
-    ``n_active`` is the number of rows with a pointer, where the caller knows it.
+    ``n_active`` is the number of rows with a pointer, where the caller knows it and ``df`` is a written table;
+    otherwise the start is written once, so that no round replays the source.
     """
     names = [f.name for f in folds]
     state = df.select(
         *scope, id_col, *carry, F.col(pointer).alias("_up"), *[f.own.alias(f.name) for f in folds]
     )
+    if n_active is None:
+        state, tally = cut_counted(state, "start", going=F.count("_up"))
+        n_active = tally["going"]
     done = [state.where(F.col("_up").isNull()).drop("_up")]
     active = state.where(F.col("_up").isNotNull())
     keys = [*scope, "_up"]
-    if n_active is None:
-        n_active = df.where(F.col(pointer).isNotNull()).count()
     for _ in range(_max_rounds(n_active)):
         if n_active == 0:
             break
@@ -163,6 +165,7 @@ def roll_up(
         *[r.own.cast("double").alias(o) for r, o in zip(rises, owns)],
         *[F.lit(0.0).alias(g) for g in sums],
     )
+    rest = cut(rest, "rest")
     resolved: list[DataFrame] = []
     folds = [F_ for r in rises for F_ in _moebius(r.name)]
     end_folds = [first(f"_end_{r.name}", F.col(f"_end_{r.name}")) for r in rises] + [
@@ -218,6 +221,7 @@ def roll_up(
                 for r in rises
             ],
         )
+        known = cut(known, "known")
         resolved.append(known)
         if tally["ends"] + tally["runs"] == tally["rows"]:
             break  # without a branching row every run ends in a leaf
@@ -228,7 +232,7 @@ def roll_up(
             .agg(*[F.sum(r.push(F.col(r.name))).alias(f"_in_{r.name}") for r in rises], F.lit(1).alias("_hit"))
         )
         grown = open_rows.join(pushed, [*scope, id_col], "left")
-        rest = grown.select(
+        after = cut(grown.select(
             *scope,
             id_col,
             "_parent",
@@ -237,5 +241,7 @@ def roll_up(
                 (F.col(g) + F.coalesce(F.col(f"_in_{r.name}"), F.lit(0.0))).alias(g)
                 for r, g in zip(rises, sums)
             ],
-        )
+        ), "rest")
+        discard(rest, staged)
+        rest = after
     return _union(resolved).drop("_parent")

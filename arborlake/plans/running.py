@@ -12,7 +12,14 @@ from arborlake.plans.cut import cut
 
 SLICE = 65_536  # rows of one slice of an integer position
 PLAIN_GROUP = 2_000_000  # groups up to this size fit one task with ease
-EDGES = 1024  # slices of a hot group when the order is a value
+
+
+
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet null keys; the columns of ``left``, then those ``right`` adds."""
+    other = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def running_sum(df: DataFrame, keys: list[str], pos: str, sums: dict[str, Column], slice_rows: int = SLICE) -> DataFrame:
@@ -31,7 +38,7 @@ def running_sum(df: DataFrame, keys: list[str], pos: str, sums: dict[str, Column
         .select(*keys, "_slice", *[F.coalesce(F.sum(p).over(before), F.lit(0.0)).alias(f"_b{p}") for p in parts])
     )
     inside = sliced.withColumns({f"_i{p}": F.sum(p).over(inner) for p in parts})
-    joined = inside.join(offsets, [*keys, "_slice"])
+    joined = matched(inside, offsets, [*keys, "_slice"])
     return joined.withColumns({n: F.col(f"_i_p_{n}") + F.col(f"_b_p_{n}") for n in sums}).drop(
         "_slice", *parts, *[f"_i{p}" for p in parts], *[f"_b{p}" for p in parts]
     )
@@ -39,7 +46,7 @@ def running_sum(df: DataFrame, keys: list[str], pos: str, sums: dict[str, Column
 
 def cumulative(
     df: DataFrame, keys: list[str], value: str, ties: list[str] = (), weight: Column | None = None,
-    plain_group: int = PLAIN_GROUP,
+    plain_group: int = PLAIN_GROUP, slice_rows: int = SLICE,
 ) -> DataFrame:
     """Adds ``upto`` (weight of rows up to and with this one in order of value, ties) and ``total`` per group."""
     weight = F.lit(1) if weight is None else weight
@@ -51,22 +58,7 @@ def cumulative(
         whole = Window.partitionBy(*keys)
         run = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({"upto": F.sum("_w").over(run), "total": F.sum("_w").over(whole)}).drop("_w")
-    # At most EDGES groups hold more than 1/EDGES of the rows, so their edge lists are small.
-    data = cut(df, "ordered")
-    hot = sizes.where(F.col("_n") > biggest[1] / EDGES).select(*keys, F.lit(True).alias("_hot"))
-    steps = [i / EDGES for i in range(1, EDGES)]
-    edges = (
-        data.join(F.broadcast(hot), keys) if keys else data
-    ).groupBy(*keys).agg(F.percentile_approx(value, steps, 100 * EDGES).alias("_edges"))
-    if keys:
-        marked = data.join(F.broadcast(edges), keys, "left")
-    else:
-        marked = data.withColumn("_edges", edges.select("_edges").scalar())
-    # Equal values share a slice, so the slice order agrees with the value order.
-    # Callers with heavily repeated values group them first and pass a weight.
-    marked = marked.withColumn(
-        "_slice", F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(value))), F.lit(0))
-    ).drop("_edges")
+    marked = _sliced(cut(df, "ordered"), sizes, keys, value, slice_rows)
     inner = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     per_slice = Window.partitionBy(*keys).orderBy("_slice")
     offsets = (
@@ -81,12 +73,35 @@ def cumulative(
     )
     return (
         marked.withColumn("_in", F.sum("_w").over(inner))
-        .join(offsets, [*keys, "_slice"])
+        .transform(lambda rows: matched(rows, offsets, [*keys, "_slice"]))
         .withColumn("upto", F.col("_in") + F.col("_before"))
-        .drop("_slice", "_in", "_before", "_w")
+        .select(*[c for c in df.columns if c != "_w"], "upto", "total")
     )
 
 
+def _sliced(data: DataFrame, sizes: DataFrame, keys: list[str], value: str, slice_rows: int) -> DataFrame:
+    """Adds ``_slice``: in groups above ``slice_rows`` the place of a value among equally spaced edges of its group.
+
+    Each edge stands for ``slice_rows`` rows, whatever the size of the group.  Equal values share a slice, so the
+    order of slices agrees with that of values, and nulls, which sort first, are in slice 0; callers with heavily
+    repeated values group them first and pass a weight.
+    """
+    hot = sizes.where(F.col("_n") > slice_rows).select(*keys, F.ceil(F.col("_n") / slice_rows).cast("int").alias("_k"))
+    most = hot.agg(F.max("_k")).first()[0] or 1
+    # One set of quantiles, as many as the largest group needs; a smaller group takes every so manieth of them.
+    steps = [i / most for i in range(1, most)] or [0.5]
+    if not keys:
+        edges = data.agg(F.percentile_approx(value, steps, 20 * most).alias("_edges"))
+        marked = data.withColumn("_edges", edges.select("_edges").scalar())
+    else:
+        rows = matched(data, hot, keys)
+        edges = rows.groupBy(*keys, "_k").agg(F.percentile_approx(value, steps, 20 * most).alias("_all"))
+        stride = F.greatest(F.floor(F.lit(most) / F.col("_k")), F.lit(1))
+        edges = edges.select(*keys, F.filter("_all", lambda e, i: (i + 1) % stride == 0).alias("_edges"))
+        marked = matched(data, edges, keys, "left")
+    return marked.withColumn("_slice", F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(value))), F.lit(0))).drop("_edges")
+
+
 def order_statistic(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
     """Values at given ranks (from 1) per group; a rank Column may use ``total``."""
     distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
@@ -110,11 +125,12 @@ def neighbour(df: DataFrame, keys: list[str], pos: str, offset: int, cols: list[
         return df.withColumns({f"{prefix}{c}": F.lead(c, offset).over(w) if offset > 0 else F.lag(c, -offset).over(w) for c in cols})
     # (key, position) is unique, so this join has no hot key however long a line is.
     other = df.select(*keys, (F.col(pos) - offset).alias(pos), *[F.col(c).alias(f"{prefix}{c}") for c in cols])
-    return df.join(other, [*keys, pos], "left")
+    return matched(df, other, [*keys, pos], "left")
 
 
 def as_of(
-    asked: DataFrame, samples: DataFrame, keys: list[str], time: str, value: str, plain_group: int = PLAIN_GROUP
+    asked: DataFrame, samples: DataFrame, keys: list[str], time: str, value: str, plain_group: int = PLAIN_GROUP,
+    slice_rows: int = SLICE,
 ) -> DataFrame:
     """For every asked time the last sample at or before it and the first one after it.
 
@@ -126,14 +142,11 @@ def as_of(
     both = asked.withColumns({"_v": F.lit(None).cast(samples.schema[value].dataType), "_is": F.lit(False)}).unionByName(
         samples.select(*keys, time, F.col(value).alias("_v"), F.lit(True).alias("_is")), allowMissingColumns=True
     )
-    sizes = both.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if sizes <= plain_group:
+    sizes = both.groupBy(*keys).agg(F.count("*").alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= plain_group:
         both, part, carried = both.withColumn("_s", sample), list(keys), False
     else:
-        both = cut(both.withColumn("_s", sample), "asof")
-        steps = [i / EDGES for i in range(1, EDGES)]
-        edges = sorted(set(both.agg(F.percentile_approx(time, steps, 100 * EDGES)).first()[0]))
-        both = both.withColumn("_slice", F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(time))))
+        both = _sliced(cut(both.withColumn("_s", sample), "asof"), sizes, keys, time, slice_rows)
         part, carried = [*keys, "_slice"], True
     # At equal times samples come first, so a sample at the asked time counts as the last one.
     w = Window.partitionBy(*part).orderBy(time, F.col("_is").cast("int").desc())
@@ -148,7 +161,7 @@ def as_of(
         edge = edge.select(*part,
                            F.last("_l", ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, -1)).alias("_cl"),
                            F.first("_f", ignorenulls=True).over(o.rowsBetween(1, Window.unboundedFollowing)).alias("_cf"))
-        out = out.join(edge, part).withColumns({"_prev": F.coalesce("_prev", "_cl"), "_next": F.coalesce("_next", "_cf")})
+        out = matched(out, edge, part).withColumns({"_prev": F.coalesce("_prev", "_cl"), "_next": F.coalesce("_next", "_cf")})
     return out.where(~F.col("_is")).select(
         *q_cols, F.col("_prev.t").alias("prev_t"), F.col("_prev.v").alias("prev_v"),
         F.col("_next.t").alias("next_t"), F.col("_next.v").alias("next_v"))

@@ -138,8 +138,14 @@ def parse_edge_lines(lines: DataFrame) -> DataFrame:
     return found
 
 
+def _folders(spark: SparkSession, path: str, key: str) -> str | None:
+    """``key`` where ``path`` holds its partition folders."""
+    return key if key in spark.read.text(path).columns else None
+
+
 def read_edge_text(spark: SparkSession, path: str, tree: str | None = None) -> DataFrame:
-    lines = numbered(spark, path)
+    """Edge lists of one file or folder named ``tree``, of the tree folders of a forest, or of files named by tree."""
+    lines = numbered(spark, path, _folders(spark, path, "tree"))
     return parse_edge_lines(lines.select((F.lit(tree) if tree else F.col("file")).alias("tree"), "pos", "value"))
 
 
@@ -160,9 +166,12 @@ def polyline_tables(segs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return segs.select("tree", ends), cells
 
 
-def read_xyz(spark: SparkSession, path: str, width: int = 3) -> DataFrame:
-    """(file, pos, c1..cn) of headerless number rows; a row of another width is an error."""
-    lines = numbered(spark, path).where(F.trim("value") != "")
+def read_xyz(spark: SparkSession, path: str, width: int = 3, key: str | None = None) -> DataFrame:
+    """(file, pos, c1..cn) of headerless number rows; a row of another width is an error.
+
+    ``key`` names the partition folders, where the rows of one folder are one table.
+    """
+    lines = numbered(spark, path, key).where(F.trim("value") != "")
     cells = F.split("value", ",")
     bad = F.raise_error(F.concat(F.lit("bad row in "), F.col("file"), F.lit(": "), F.col("value"))).cast("array<string>")
     return lines.select("file", "pos", F.when(F.size(cells) == width, cells).otherwise(bad).alias("c")).select(
@@ -191,8 +200,8 @@ def write_centerlines(points: DataFrame, path: str) -> None:
 
 
 def read_centerlines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, pos, x, y, z, radius_mm); the line is named by its file."""
-    rows = read_xyz(spark, path, 4)
+    """(line, pos, x, y, z, radius_mm); the line is named by its folder, or else by its file."""
+    rows = read_xyz(spark, path, 4, _folders(spark, path, "line"))
     return rows.select(F.regexp_replace("file", r"\.csv$", "").alias("line"), F.col("pos").cast("int").alias("pos"),
                        F.col("c1").alias("x"), F.col("c2").alias("y"), F.col("c3").alias("z"), F.col("c4").alias("radius_mm"))
 

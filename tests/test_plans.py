@@ -110,3 +110,64 @@ def test_octahedron_surface(spark):
     assert off[1] <= 0 < off[2]
     back = {r["qid"]: r["x"] for r in spatial.project_to_surface(q, surf).collect()}
     assert back[2] == pytest.approx(1.0, abs=1e-4)
+
+
+def _both(plain, sliced):
+    rows = [sorted(map(repr, df.select(sorted(df.columns)).collect())) for df in (plain, sliced)]
+    assert plain.columns == sliced.columns and rows[0] == rows[1] and rows[0]
+
+
+def test_sliced_and_plain_windows_agree_with_null_keys_and_a_hot_key(spark):
+    from pyspark.sql import functions as F
+
+    from arborlake.plans import running
+
+    rows = [("hot", i + 1, float(i * 37 % 101)) for i in range(400)] + [("b", i + 1, float(i)) for i in range(30)]
+    rows += [(None, i + 1, float(-i)) for i in range(60)] + [("c", 1, None), ("c", 2, 4.0), (None, 61, None)]
+    df = spark.createDataFrame(rows, "k string, pos long, v double")
+    _both(running.running_sum(df, ["k"], "pos", {"s": F.col("v")}), running.running_sum(df, ["k"], "pos", {"s": F.col("v")}, slice_rows=16))
+    plain = running.cumulative(df, ["k"], "v", ["pos"])
+    _both(plain, running.cumulative(df, ["k"], "v", ["pos"], plain_group=1, slice_rows=16))
+    _both(running.cumulative(df, [], "v", ["k", "pos"]), running.cumulative(df, [], "v", ["k", "pos"], plain_group=1, slice_rows=16))
+    asked = spark.createDataFrame([("hot", 0.5), ("hot", 200.0), (None, -3.5), ("b", 7.0), ("none", 1.0)], "k string, t double")
+    samples = df.select("k", F.col("v").alias("t"), F.col("pos").cast("double").alias("x")).where("v IS NOT NULL").dropDuplicates(["k", "t"])
+    _both(running.as_of(asked, samples, ["k"], "t", "x"), running.as_of(asked, samples, ["k"], "t", "x", plain_group=1, slice_rows=16))
+
+
+def test_neighbour_meets_null_keys_beyond_the_slice_size(spark, monkeypatch):
+    from arborlake.plans import running
+
+    df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 2.0), ("a", 1, 5.0)], "k string, pos long, v double")
+    plain = running.neighbour(df, ["k"], "pos", 1, ["v"], "n_")
+    monkeypatch.setattr(running, "SLICE", 1)
+    _both(plain, running.neighbour(df, ["k"], "pos", 1, ["v"], "n_"))
+
+
+def test_poisson_draws_of_any_rate(spark):
+    from pyspark.sql import functions as F
+
+    from arborlake.functions import draws
+
+    rows = spark.range(20_000).select(F.explode(F.array(*[F.lit(r) for r in (0.0, 2.75, 80.0, 900.0)])).alias("rate"), draws.uniform([F.col("id")], 3).alias("u"))
+    for r in rows.groupBy("rate").agg(F.avg(draws.poisson(F.col("rate"), F.col("u"))).alias("m"), F.variance(draws.poisson(F.col("rate"), F.col("u"))).alias("v")).collect():
+        assert abs(r.m - r.rate) <= 0.05 * r.rate ** 0.5 + 1e-9 and abs(r.v - r.rate) <= 0.06 * r.rate + 1e-9
+
+
+def test_collision_limit_is_in_the_search(spark):
+    from arborlake.operators import spatial
+
+    rows = [(t, i, -1, i * 10.0, y, 0.0, i * 10.0 + 1, y, 0.0, 0.1, 1.0) for i in range(50) for t, y in (("A", 0.0), ("B", 0.5 if i % 7 == 0 else 4.0))]
+    segs = spark.createDataFrame(rows, "tree string, id long, parent_id long, px double, py double, pz double, dx double, dy double, dz double, radius_mm double, length_mm double")
+    got = {(r.tree, r.id) for r in spatial.collisions(segs, 1.0).collect()}
+    assert got == {(t, i) for i in range(0, 50, 7) for t in "AB"}
+
+
+def test_files_of_one_name_in_several_folders(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from arborlake.sources import tables as S
+
+    pts = spark.createDataFrame([(n, p, float(p), 0.0, float(n), 1.0) for n in (3, 7) for p in range(1, 200)], "line long, pos int, x double, y double, z double, radius_mm double")
+    S.write_centerlines(pts, f"{tmp_path}/lines")
+    back = S.read_centerlines(spark, f"{tmp_path}/lines").select(F.col("line").cast("long"), "pos", "x", "y", "z", "radius_mm")
+    assert sorted(back.collect()) == sorted(pts.collect())
