@@ -21,10 +21,18 @@ def register(name, sql=None):
     return deco
 
 
+# Lower diameter bounds (um) by order, from the published tables, independent of the engine's own rule.
+BOUNDS_UM = {
+    "RCA": (0.0, 8.815, 11.085, 15.6, 24.95, 44.7, 92.5, 194.15, 341.75, 551.85, 955.0, 2319.5),
+    "LAD": (0.0, 8.63, 10.72, 15.4, 24.25, 48.2, 101.5, 217.15, 384.2, 554.05, 986.0, 2189.5),
+    "LCX": (0.0, 8.63, 10.72, 15.4, 22.7, 52.05, 101.65, 202.6, 363.75, 649.4, 1782.0),
+}
+
+
 def _prm_sql():
     rows = []
     for artery, (orders, _) in morphometry.PRESETS.items():
-        for i, (row, lb) in enumerate(zip(orders, morphometry.lower_bounds(orders))):
+        for i, (row, lb) in enumerate(zip(orders, BOUNDS_UM[artery])):
             rows.append(f"('{artery}',{i},{','.join(f'CAST({v!r} AS DOUBLE)' for v in (*row, lb))})")
     return ("prm(artery, ord, d_mean, d_sd, l_mean, l_sd, d_mean_elem, d_sd_elem, l_mean_elem, l_sd_elem, se_ratio, "
             "element_count, lower_bound_um) AS (VALUES " + ",".join(rows) + ")")

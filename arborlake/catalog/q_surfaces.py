@@ -61,6 +61,20 @@ def samples(spark, sf):
     return s.select("surface", "i", "j", *[F.round(a, 6).alias(a) for a in "xyz"], (F.round("nx", 4) + 0.0).alias("nx"), (F.round("nz", 4) + 0.0).alias("nz"))
 
 
+@register("sampled_surface_round_trip", with_sql(NET_SQL, SAMPLE_SQL, body="""
+SELECT surface, CAST(j*8 + i + 1 AS BIGINT) AS id, round(x0, 6) AS x, round(y0, 6) AS y, round(z0, 6) AS z, round(CASE WHEN l > 0 THEN nx/l ELSE 0 END, 4) + 0.0 AS nx FROM nl"""))
+def sampled_surface(spark, sf):
+    """Point and normal tables of surface samples, written in row order and paired again by row."""
+    from arborlake.catalog.q_files import fresh
+    from arborlake.sources import tables
+
+    paths = fresh(spark, "samples"), fresh(spark, "sample-normals")
+    tables.write_sampled_surface(N.sample(*nets(spark, sf), F.lit(8), F.lit(6)), *paths)
+    both = [tables.read_xyz(spark, p, key="surface").withColumnRenamed("file", "surface") for p in paths]
+    s = tables.surface_points(*both)
+    return s.select("surface", "id", *[F.round(a, 6).alias(a) for a in "xyz"], (F.round("nx", 4) + 0.0).alias("nx"))
+
+
 @register("surface_summary", with_sql(NET_SQL, body="""
 SELECT surface, count(*) AS n_points, 4 AS p_u, 3 AS p_v, 'v' AS axial, round(min(x), 6) AS x_min, round(max(z), 6) AS z_max FROM net GROUP BY 1"""))
 def surface_summary(spark, sf):

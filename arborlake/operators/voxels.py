@@ -47,10 +47,12 @@ def segment_hits(segs: DataFrame, grid: Grid, supersample: int = 2, keys=("tree"
         ranges[f"_{a}1"] = F.least(F.greatest(F.ceil((hi - o) / s), F.lit(1)), F.lit(n)).cast("int")
     boxed = segs.select(*keys, "px", "py", "pz", "dx", "dy", "dz", "radius_mm").withColumns(ranges)
     slab = F.explode(F.sequence(F.col("_z0"), F.greatest(F.col("_z0"), F.col("_z1")), F.lit(SLABS)))
-    slabs = boxed.withColumn("_slab", slab)
+    row = F.explode(F.sequence(F.col("_y0"), F.greatest(F.col("_y0"), F.col("_y1")), F.lit(SLABS)))
+    # Boxes cut in two axes are dealt out before they unfold: a piece is at most SLABS x SLABS rows of voxels.
+    slabs = boxed.withColumn("_slab", slab).withColumn("_row", row).repartition(*keys, "_slab", "_row")
     voxels = (
-        slabs.withColumn("k", F.explode(F.sequence("_slab", F.least(F.col("_z1"), F.col("_slab") + SLABS - 1))))
-        .withColumn("j", F.explode(F.sequence("_y0", F.greatest("_y0", "_y1"))))
+        slabs.withColumn("k", F.explode(F.sequence("_slab", F.least(F.greatest("_z0", "_z1"), F.col("_slab") + SLABS - 1))))
+        .withColumn("j", F.explode(F.sequence("_row", F.least(F.greatest("_y0", "_y1"), F.col("_row") + SLABS - 1))))
         .withColumn("i", F.explode(F.sequence("_x0", F.greatest("_x0", "_x1"))))
     )
     # First sub-point of the voxel relative to the proximal end, then all sub-points by their constant offsets.
