@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from arborlake.llm.common import byte_class, byte_symbols, cut, mixed, ships, slices, span_hashes, tasks, text_buffers, with_columns_of_text, words_of
@@ -23,7 +24,7 @@ from arborlake.llm.common import byte_class, byte_symbols, cut, mixed, ships, sl
 ships(__name__)
 
 ANCHORS_EACH = 1_500_000  # anchors of one reducer, on average
-HELD = 1 << 20  # anchors that a task holds before it sends them
+HELD = 3 << 17  # anchors that a task holds before it sends them
 BROADCAST_IDS = 1_000_000  # ids that are broadcast instead of joined
 _BYTES = byte_symbols(6)
 
@@ -37,6 +38,11 @@ class Kind:
     blanks: bytes | None
     later: bool
 
+    @property
+    def chunk(self) -> int:
+        """Bytes of text looked at together: each symbol takes some 150 bytes on the way."""
+        return 1 << 19 if self.blanks is None else 1 << 21
+
     def read(self, column):
         """Symbols of the texts, the rows' bounds among them, and the words' places in the bytes."""
         data, offsets = text_buffers(column)
@@ -168,10 +174,10 @@ def marks(named: DataFrame, kind: Kind) -> DataFrame:
         def rows():
             sent, decided = sender.send()
             yield from _batches(sent, ("part", "anchors", "ids"))
-            yield from _batches(decided, ("id", "h", "done", "open"))
+            yield from _batches([(r[0] % parts, *r) for r in decided], ("part", "id", "h", "done", "open"))
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=kind.chunk):
                 sender.add(part)
                 if sender.n >= HELD:
                     yield from rows()
@@ -179,11 +185,12 @@ def marks(named: DataFrame, kind: Kind) -> DataFrame:
             yield from rows()
 
     ddl = "part bigint, anchors binary, ids binary, id bigint, h bigint, done binary, open binary"
-    sent = cut(named.mapInArrow(send, ddl), "anchors")
-
     def meet(batches):
         raw, names = [], []
         for batch in batches:
+            decided = pc.is_valid(batch.column("id"))
+            yield batch.filter(decided)
+            batch = batch.filter(pc.invert(decided))
             for a, i in zip(batch.column("anchors").to_pylist(), batch.column("ids").to_pylist()):
                 out, who = np.frombuffer(a, _SENT), np.frombuffer(i, np.int64).reshape(-1, 2)
                 raw.append(out)
@@ -217,8 +224,8 @@ def marks(named: DataFrame, kind: Kind) -> DataFrame:
         what = np.concatenate([np.zeros(done.sum(), np.int8), np.ones(left.sum(), np.int8)])
         yield from _batches(_sorted_rows(ids[both], hs[both], what, out[both]), ("id", "h", "done", "open"))
 
-    found = sent.where("part IS NOT NULL").select("part", "anchors", "ids").repartition(parts, "part").mapInArrow(meet, ddl)
-    rows = sent.where("part IS NULL").unionByName(found).select("id", "h", "done", "open")
+    # What a task decided travels with what is left, so that nothing is computed or stored twice.
+    rows = named.mapInArrow(send, ddl).repartition(parts, "part").mapInArrow(meet, ddl).select("id", "h", "done", "open")
     packed = lambda c: F.filter(F.collect_list(c), lambda x: F.octet_length(x) > 0)
     return cut(rows.groupBy("id", "h").agg(packed("done").alias("done"), packed("open").alias("open")), "marks")
 
@@ -238,7 +245,7 @@ def stretches(named: DataFrame, places: DataFrame, kind: Kind) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=kind.chunk):
                 symbols, bounds, (data, _, starts, _) = kind.read(part.column("text"))
                 raw = data if kind.blanks is None else symbols
                 for r, (i, h, blobs) in enumerate(zip(*(part.column(c).to_pylist() for c in ("id", "h", "open")))):
@@ -292,7 +299,7 @@ def finished(docs: DataFrame, id: str, text: str, parts: list[DataFrame], kind:
         named = some.unionByName(rest)
     else:
         named = named.join(runs, ["_id", "_h"], "left")
-    return with_columns_of_text(named, added, work, text).drop("_id", "_h", "_runs")
+    return with_columns_of_text(named, added, work, text, kind.chunk).drop("_id", "_h", "_runs")
 
 
 def covered(rows: np.ndarray, blobs: list, kind: Kind) -> np.ndarray:
