@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from arborlake.plans.cut import cut, cut_counted, work_dir  # noqa: F401  (used by the jobs)
+from arborlake.plans.cut import cut, cut_counted, discard, work_dir  # noqa: F401  (used by the jobs)
 
 BLANKS = b" \t\n\x0b\f\r"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -105,13 +105,23 @@ def words_of(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+class Spans:
+    """64-bit hashes of spans of a sequence of 64-bit symbols, equal for equal content wherever it lies."""
+
+    def __init__(self, symbols: np.ndarray):
+        n = len(symbols)
+        self.total = np.zeros(n + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(symbols * powers(_BASE, n), out=self.total[1:])
+        self.back = powers(_INVERSE, n + 1)
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mixed((self.total[ends] - self.total[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
+
+
 def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans of a sequence of 64-bit symbols, equal for equal content wherever it lies."""
-    n = len(symbols)
-    with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(symbols * powers(_BASE, n), out=total[1:])
-        return mixed((total[ends] - total[starts]) * powers(_INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
+    return Spans(symbols).hashes(starts, ends)
 
 
 def byte_symbols(seed: int, fold: bool = False) -> np.ndarray:

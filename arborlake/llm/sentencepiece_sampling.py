@@ -26,12 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arborlake.llm.common import mixed, ships, slices, span_hashes, table, with_columns_of_text
+from arborlake.llm.common import Spans, mixed, ships, table, with_columns_of_text
 
 ships(__name__)
 
 SAMPLES, ALPHA, LONGEST = 2, 1.0, 16
-BLOCK = 4 << 20
+BLOCK = 1 << 20  # bytes of text looked at together, at some 250 bytes of memory for each
+_BITS = 22
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 _SPACE, _LITERAL, _LINE = 0x2581, 0x110000, 10
 
@@ -50,13 +51,22 @@ def vocabulary(model: str) -> dict:
     weight = -ALPHA * np.log(rank)
     codes = [np.frombuffer(pieces[i].encode("utf-32-le"), "<u4") for i in normal]
     ends = np.cumsum([len(c) for c in codes])
-    h = span_hashes(_symbols(np.concatenate(codes)), np.concatenate([[0], ends[:-1]]), ends)
+    spans, starts = Spans(_symbols(np.concatenate(codes))), np.concatenate([[0], ends[:-1]])
+    h = spans.hashes(starts, ends)
+    bits = np.zeros(1 << _BITS, bool)  # of everything that a piece starts with
+    for k in range(1, LONGEST + 1):
+        some = np.flatnonzero(ends - starts >= k)
+        bits[_low(spans.hashes(starts[some], starts[some] + k))] = True
     order = np.argsort(h)
     raw = [pieces[i].replace("▁", " ").encode() for i in range(n)]
     first = next(i for i in range(n) if p.is_byte(i))
     for b in range(256):
         raw[first + b] = bytes([b])
-    return {"hash": h[order], "piece": np.array(normal, np.int32)[order], "weight": weight[order], "raw": raw, "byte": first, "fallback": -ALPHA * np.log(2.0 * n), "size": n}
+    return {"hash": h[order], "bits": bits, "piece": np.array(normal, np.int32)[order], "weight": weight[order], "raw": raw, "byte": first, "fallback": -ALPHA * np.log(2.0 * n), "size": n}
+
+
+def _low(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64((1 << _BITS) - 1)).astype(np.int64)
 
 
 def _symbols(codes: np.ndarray) -> np.ndarray:
@@ -79,7 +89,11 @@ def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lattice:
-    """The lattices of the distinct units of a block, and where each place of the block is in them."""
+    """The lattices of the distinct units of a block, and where each place of the block is in them.
+
+    Arcs lie together by the place they start from: from ``ptr`` on, ``count`` of them, with their lengths, pieces,
+    logarithms of their conditional weights, and running sums of these.
+    """
 
     def __init__(self, codes: np.ndarray, offsets: np.ndarray, vocab: dict):
         space, line = codes == _SPACE, codes == _LINE
@@ -88,51 +102,54 @@ class Lattice:
         start[offsets[:-1][np.diff(offsets) > 0]] = True
         self.starts = np.flatnonzero(start)
         ends = np.append(self.starts[1:], len(codes))
-        sym = _symbols(codes)
-        _, first, self.unit = np.unique(span_hashes(sym, self.starts, ends), return_index=True, return_inverse=True)
+        spans = Spans(_symbols(codes))
+        _, first, unit = np.unique(spans.hashes(self.starts, ends), return_index=True, return_inverse=True)
         sizes = (ends - self.starts)[first]
-        self.base = np.concatenate([[0], np.cumsum(sizes)[:-1]])  # of each distinct unit
+        base = np.concatenate([[0], np.cumsum(sizes)[:-1]])  # of each distinct unit
         n = int(sizes.sum())
-        where = np.arange(n) - np.repeat(self.base, sizes) + np.repeat(self.starts[first], sizes)
-        flat, left = sym[where], np.repeat(self.base + sizes, sizes) - np.arange(n)
-        bits = np.zeros(1 << 20, bool)
-        bits[(vocab["hash"] & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        arcs = []
+        where = np.arange(n) - np.repeat(base, sizes) + np.repeat(self.starts[first], sizes)
+        left = np.repeat(base + sizes, sizes) - np.arange(n)
+        at, arcs = np.arange(n), []
+        known = vocab["hash"]
         for k in range(1, LONGEST + 1):
-            at = np.flatnonzero(left >= k)
-            h = span_hashes(flat, at, at + k)
-            some = bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
-            at, h = at[some], h[some]
-            found = np.minimum(np.searchsorted(vocab["hash"], h), len(vocab["hash"]) - 1)
-            hit = vocab["hash"][found] == h
-            arcs.append((at[hit], found[hit]))
-        wide = max((k for k, (at, _) in enumerate(arcs, 1) if len(at)), default=1)  # longest piece of this block
-        weight = np.full((n, wide), -np.inf)
-        piece = np.zeros((n, wide), np.int32)
-        for k, (at, found) in enumerate(arcs[:wide]):
-            weight[at, k], piece[at, k] = vocab["weight"][found], vocab["piece"][found]
-        bare = np.flatnonzero(np.isneginf(weight[:, 0]))  # characters without a piece: their bytes
+            at = at[left[at] >= k]
+            h = spans.hashes(where[at], where[at] + k)
+            some = vocab["bits"][_low(h)]
+            at, h = at[some], h[some]  # places that a piece of this length or more may start from
+            found = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[found] == h
+            arcs.append((at[hit], np.full(hit.sum(), k), vocab["piece"][found[hit]], vocab["weight"][found[hit]]))
+        bare = np.ones(n, bool)
+        bare[arcs[0][0]] = False
+        bare = np.flatnonzero(bare)  # characters without a piece: their bytes
         c = codes[where[bare]]
-        c = np.where(c == _LITERAL, _SPACE, c)
-        weight[bare, 0] = vocab["fallback"] * (1 + (c > 0x7F).astype(int) + (c > 0x7FF) + (c > 0xFFFF))
-        piece[bare, 0] = np.where(c < 0x80, vocab["byte"] + c, vocab["size"] + c)  # beyond ASCII: spelled out later
+        c = np.where(c == _LITERAL, _SPACE, c).astype(np.int64)
+        cost = vocab["fallback"] * (1 + (c > 0x7F).astype(int) + (c > 0x7FF) + (c > 0xFFFF))
+        arcs.append((bare, np.ones(len(bare), np.int64), np.where(c < 0x80, vocab["byte"] + c, vocab["size"] + c), cost))  # beyond ASCII: spelled out later
+        at, size, piece, weight = (np.concatenate(x) for x in zip(*arcs))
+        order = np.lexsort((at, left[at]))  # stable: shorter arcs of a place come first
+        at, self.size, self.piece, weight = at[order], size[order], piece[order].astype(np.int64), weight[order]
+        head = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        self.ptr, self.count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.ptr[at[head]], self.count[at[head]] = head, np.diff(np.append(head, len(at)))
         beta = np.zeros(n + 1)
-        order = np.argsort(left, kind="stable")
-        bounds = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
-        steps = np.arange(1, wide + 1)
-        end_of = np.repeat(self.base + sizes, sizes)
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            at = order[a:b]
-            after = at[:, None] + steps
-            w = weight[at] + np.where(after < end_of[at, None], beta[np.minimum(after, n)], 0.0)
-            top = w.max(1)
-            beta[at] = top + np.log(np.exp(w - top[:, None]).sum(1))
-            weight[at] = w - beta[at, None]
-        self.piece, self.log, self.cdf = piece, weight, np.cumsum(np.exp(weight), 1)
-        self.cdf[:, -1] = 2.0
-        last = wide - 1 - np.argmax(np.isfinite(weight[:, ::-1]), 1)
-        self.cdf[np.arange(n), last] = 2.0  # rounding never leaves the arcs that exist
-        self.place = np.arange(len(codes)) - np.repeat(self.starts, ends - self.starts) + np.repeat(self.base[self.unit], ends - self.starts)
+        end_of = np.repeat(base + sizes, sizes)
+        ahead = at + self.size
+        inner = ahead < end_of[at]
+        level = np.searchsorted(left[at[head]], np.arange(1, int(left.max(initial=0)) + 2))
+        for a, b in zip(level[:-1].tolist(), level[1:].tolist()):  # from the ends of the units backwards
+            x, y = head[a], head[b] if b < len(head) else len(at)
+            w = weight[x:y] + np.where(inner[x:y], beta[ahead[x:y]], 0.0)
+            cuts, many = head[a:b] - x, self.count[at[head[a:b]]]
+            top = np.maximum.reduceat(w, cuts)
+            total = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, many)), cuts))
+            beta[at[head[a:b]]] = total
+            weight[x:y] = w - np.repeat(total, many)
+        self.log = weight
+        run = np.concatenate([[0.0], np.cumsum(np.exp(weight))])
+        self.cdf = run[1:] - np.repeat(run[head], self.count[at[head]])
+        self.cdf[np.append(head[1:], len(at)) - 1] = 2.0  # rounding never leaves the arcs that exist
+        self.place = np.arange(len(codes)) - np.repeat(self.starts, ends - self.starts) + np.repeat(base[unit], ends - self.starts)
         self.stop = np.repeat(ends, ends - self.starts)
 
 
@@ -148,16 +165,19 @@ def _below(top, mass, u):
         return -np.logaddexp(-top, np.log(-np.log(u)) - mass)
 
 
-def _walk(lat: Lattice, at: np.ndarray, seed: np.ndarray, row: np.ndarray, offsets: np.ndarray, stream: int, step: np.ndarray) -> None:
-    """Draws pieces from each place of ``at`` to the end of its unit; ``step`` gets their lengths."""
+def _walk(lat: Lattice, at: np.ndarray, seed: np.ndarray, row: np.ndarray, offsets: np.ndarray, stream: int, arc: np.ndarray) -> None:
+    """Draws an arc at each place of ``at`` and on to the end of its unit; ``arc`` gets them by place."""
     while len(at):
-        p = lat.place[at]
         r = row[at]
         u = _uniform(seed[r], stream, at - offsets[r])
-        k = (u[:, None] >= lat.cdf[p]).sum(1)
-        step[at] = k + 1
-        at = at + k + 1
-        at = at[at < lat.stop[at - k - 1]]
+        x = lat.ptr[lat.place[at]]
+        more = np.flatnonzero(u >= lat.cdf[x])
+        while len(more):
+            x[more] += 1
+            more = more[u[more] >= lat.cdf[x[more]]]
+        arc[at] = x
+        after = at + lat.size[x]
+        at = after[after < lat.stop[at]]
 
 
 def sampled(texts: list[str], keys: np.ndarray, vocab: dict, k: int = SAMPLES) -> list[list[dict]]:
@@ -174,13 +194,12 @@ def sampled(texts: list[str], keys: np.ndarray, vocab: dict, k: int = SAMPLES) -
     lat = Lattice(codes, offsets, vocab)
     row = np.repeat(np.arange(n), np.diff(offsets))
     live = np.flatnonzero(np.diff(offsets) > 0)
-    done: list[tuple] = []  # of each sample: token places, lengths, bounds of rows, branch values
+    done: list[tuple] = []  # of each sample: token places, arcs, bounds of rows, branch values, what its branch had used
     for j in range(k):
-        step = np.zeros(len(codes), np.int8)
+        arc = np.full(len(codes), -1)
         branch = np.full(n, -1)
-        out_mass: dict[int, float] = {}
         if j == 0:
-            _walk(lat, lat.starts, seed, row, offsets, 16, step)
+            _walk(lat, lat.starts, seed, row, offsets, 16, arc)
         else:
             chosen = []
             for r in live.tolist():
@@ -188,56 +207,56 @@ def sampled(texts: list[str], keys: np.ndarray, vocab: dict, k: int = SAMPLES) -
                                        for x in (int(np.argmax(vals[b0[r] : b0[r + 1]])),)), default=(-np.inf, 0, 0))
                 if not np.isfinite(best):
                     continue
-                places, lengths, _, vals, gone = done[of]
+                places, taken, _, vals, gone = done[of]
                 vals[where] = -np.inf
                 at = int(places[where])
-                used = [*gone.get(r, []), int(lengths[where])] if gone.get((r, "at")) == at else [int(lengths[where])]
-                q = np.exp(lat.log[lat.place[at]])
-                q[np.array(used) - 1] = 0.0
+                used = [*(gone[r][1] if gone.get(r, (-1,))[0] == at else []), int(taken[where])]
+                x, m = lat.ptr[lat.place[at]], lat.count[lat.place[at]]
+                q = np.exp(lat.log[x : x + m])
+                q[np.array(used) - x] = 0.0
                 c = np.cumsum(q)
-                x = int(np.searchsorted(c, _uniform(seed[r : r + 1], 64 + j, np.array([at - offsets[r]]))[0] * c[-1], "right"))
-                x = min(x, int(np.flatnonzero(q)[-1]))
-                chosen.append((r, at, x + 1, of, used, best))
+                k_ = int(np.searchsorted(c, _uniform(seed[r : r + 1], 64 + j, np.array([at - offsets[r]]))[0] * c[-1], "right"))
+                chosen.append((r, at, int(x) + min(k_, int(np.flatnonzero(q)[-1])), of, used, best))
             live = np.array([c[0] for c in chosen], np.int64)
             if not len(live):
                 break
             prefix, from_unit = [], []
-            for r, at, size, of, used, best in chosen:
-                places, lengths, b0, _, _ = done[of]
+            for r, at, mine, of, used, best in chosen:
+                places, taken, b0, _, _ = done[of]
                 a = b0[r]
                 m = int(np.searchsorted(places[a : b0[r + 1]], at))
-                step[places[a : a + m]] = lengths[a : a + m]
-                step[at] = size
+                arc[places[a : a + m]] = taken[a : a + m]
+                arc[at] = mine
                 branch[r], top[r] = at, best
-                if at + size < lat.stop[at]:
-                    from_unit.append(at + size)
+                if at + lat.size[mine] < lat.stop[at]:
+                    from_unit.append(at + int(lat.size[mine]))
                 u = np.searchsorted(lat.starts, [lat.stop[at], offsets[r + 1]])
                 prefix.append(lat.starts[u[0] : u[1]])
-            _walk(lat, np.concatenate([np.array(from_unit, np.int64), *prefix]), seed, row, offsets, 16 + j, step)
-        places = np.flatnonzero(step)
-        lengths = step[places].astype(np.int64)
+            _walk(lat, np.concatenate([np.array(from_unit, np.int64), *prefix]), seed, row, offsets, 16 + j, arc)
+        places = np.flatnonzero(arc >= 0)
+        taken = arc[places]
         bounds = np.searchsorted(places, offsets)
-        log_q = lat.log[lat.place[places], lengths - 1]
+        log_q = lat.log[taken]
         total = np.concatenate([[0.0], np.cumsum(log_q)])
         before = total[:-1] - total[bounds[row[places]]]
         with np.errstate(divide="ignore"):
             rest = np.log1p(-np.minimum(np.exp(log_q), 1.0))
         gone: dict = {}
         if j:
-            for r, at, size, of, used, best in chosen:
-                x = bounds[r] + int(np.searchsorted(places[bounds[r] : bounds[r + 1]], at))
-                q = np.exp(lat.log[lat.place[at]])
-                q[np.array([*used, size]) - 1] = 0.0
-                rest[x] = np.log(q.sum()) if q.sum() > 1e-12 else -np.inf
-                gone[r], gone[(r, "at")] = used, at
+            for r, at, mine, of, used, best in chosen:
+                x, m = lat.ptr[lat.place[at]], lat.count[lat.place[at]]
+                q = np.exp(lat.log[x : x + m])
+                q[np.array([*used, mine]) - x] = 0.0
+                rest[bounds[r] + int(np.searchsorted(places[bounds[r] : bounds[r + 1]], at))] = np.log(q.sum()) if q.sum() > 1e-12 else -np.inf
+                gone[r] = (at, used)
         # Shares below 1e-12 are rounding where a place has one way on.
         rest = np.where(rest < np.log(1e-12), -np.inf, rest)
         vals = _below(top[row[places]], before + rest, _uniform(seed[row[places]], 1024 + j, places - offsets[row[places]]))
         vals[np.isneginf(rest)] = -np.inf
         if j:
             vals[places < branch[row[places]]] = -np.inf  # branches of the sample it came from
-        done.append((places, lengths, bounds, vals, gone))
-        pieces = lat.piece[lat.place[places], lengths - 1]
+        done.append((places, taken, bounds, vals, gone))
+        pieces = lat.piece[taken].astype(np.int32)
         for r in live.tolist():
             a, b = int(bounds[r]), int(bounds[r + 1])
             out[r].append({"ids": _spelled(pieces[a:b], vocab), "log_prob": float(total[b] - total[a]), "perturbed": float(top[r])})
