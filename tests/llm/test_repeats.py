@@ -67,9 +67,11 @@ def test_jaccard_components(docs, copies):
     assert got == want
 
 
-def test_jaccard_chains_and_many_sets_of_a_key(docs, prose, monkeypatch):
-    """Near copies of near copies, more of them than are compared at once."""
-    monkeypatch.setattr(jaccard_join, "PAIRED", 3)
+@pytest.mark.parametrize("local", [2_000, 0])
+def test_jaccard_chains_and_many_sets_of_a_key(docs, prose, monkeypatch, local):
+    """Near copies of near copies, compared within tasks and pivot by pivot."""
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard_join, "LOCAL_SETS", local)
     r = random.Random(2)
     rows, words = [], prose(7, 60).split()
     for i in range(60):
