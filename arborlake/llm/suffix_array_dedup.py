@@ -1,11 +1,11 @@
 """Suffix-array dedup: bytes covered by a 100-byte string that also starts earlier are removed.
 
 Suffixes that can matter are those at anchors that stand in different surroundings (see ``repeats``); the rest is
-decided by whole stretches.  They are range-partitioned by their leading bytes, then by document, with splitters that
-Spark samples.  Each bucket sorts the windows around its suffixes by multikey quicksort, eight bytes at a time: runs of
-equal windows are left, and all but the first place of a run are removed.  A leading string that very many documents
-share is cut by the splitters and lies in several buckets; its windows are compared across their boundaries by the
-first place that each bucket has for each.
+decided by whole stretches.  They are range-partitioned by their leading bytes with splitters that Spark samples; a
+leading string with more than ``EACH`` suffixes is cut further, by document, so it can lie in several buckets.  Each
+bucket sorts the windows around its suffixes by multikey quicksort, eight bytes at a time: runs of equal windows are
+left, and all but the first place of a run are removed.  The windows of leading strings that were cut are compared
+across the boundaries of their buckets, by the first place that each bucket has for each.
 
 Defined cases: a null text has no bytes; texts shorter than the window lose nothing; rows that repeat id and text are
 one document and get equal results; of rows with one id and different texts the one with the smaller hash of its text
@@ -27,7 +27,7 @@ ships(__name__)
 
 BYTES = Kind(window=100, gram=40, blanks=None, later=True)
 LEAD = 16
-EACH = 40_000  # suffixes of one bucket, on average
+EACH = 40_000  # suffixes of one bucket, on average, and of one leading string that is not cut
 AT_ONCE = 400_000  # windows that are sorted together, unless one leading string has more
 _RUNS = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("runs", pa.list_(pa.binary())), ("bucket", pa.int64()), ("lead", pa.binary()),
                    ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int64())])
@@ -71,14 +71,14 @@ def sorted_runs(rows: list[tuple]):
 
 
 def bucket_sort(suffixes: DataFrame) -> DataFrame:
-    """Repeated places of each bucket, and the first places of leading strings at its boundaries."""
+    """Repeated places of each bucket, and the first places of the leading strings that are cut."""
 
-    def solved(rows, edge_leads, names, bucket):
+    def solved(rows, wide, names, bucket):
         runs, (where, first, ids, hs, at, data) = sorted_runs(rows)
         for a in range(0, len(runs), 2_000):
             yield pa.RecordBatch.from_pylist([{"id": i, "h": h, "runs": r} for i, h, r in runs[a : a + 2_000]], _RUNS)
         number = np.repeat(np.array([r[0] for r in rows]), [len(r[5]) - BYTES.window + 1 for r in rows])
-        pick = np.flatnonzero(first & np.isin(number, edge_leads))
+        pick = np.flatnonzero(first & np.isin(number, wide))
         if len(pick):
             k1 = span_hashes(_BYTES[data], where[pick], where[pick] + BYTES.window)
             k2 = span_hashes(_BYTES[255 - data], where[pick], where[pick] + BYTES.window)
@@ -89,21 +89,26 @@ def bucket_sort(suffixes: DataFrame) -> DataFrame:
 
     def run(batches):
         bucket = TaskContext.get().partitionId()
-        rows, held, names = [], 0, []
+        rows, held, names, wide = [], 0, [], []
         for batch in batches:
-            for i, h, at, off, symbols, lead in zip(*(batch.column(c).to_pylist() for c in ("id", "h", "at", "off", "symbols", "lead"))):
+            for i, h, at, off, symbols, lead, many in zip(*(batch.column(c).to_pylist() for c in ("id", "h", "at", "off", "symbols", "lead", "many"))):
                 if not names or names[-1] != lead:
                     if held >= AT_ONCE:
-                        yield from solved(rows, [0] if rows[0][0] == 0 else [], names, bucket)
-                        rows, held = [], 0
+                        yield from solved(rows, wide, names, bucket)
+                        rows, held, names, wide = [], 0, [], []
                     names.append(lead)
+                    if many:
+                        wide.append(len(names) - 1)
                 rows.append((len(names) - 1, i, h, at, off, symbols))
                 held += len(symbols) - BYTES.window + 1
         if rows:
-            yield from solved(rows, [0, len(names) - 1], names, bucket)
+            yield from solved(rows, wide, names, bucket)
 
     n = max(tasks(suffixes.sparkSession), suffixes.count() // EACH)
-    dealt = suffixes.repartitionByRange(n, "lead", "id").sortWithinPartitions("lead")
+    # At most one in EACH suffixes names such a string.
+    many = suffixes.groupBy("lead").count().where(F.col("count") > EACH).select("lead", F.lit(True).alias("many"))
+    marked = suffixes.join(F.broadcast(many), "lead", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    dealt = marked.repartitionByRange(n, "lead", F.when(F.col("many"), F.col("id"))).sortWithinPartitions("lead")
     return cut(dealt.mapInArrow(run, _DDL), "buckets")
 
 
