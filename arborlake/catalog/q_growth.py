@@ -170,10 +170,19 @@ def expected(spark, sf):
 def expanded(spark, sf):
     params = morphometry.order_params(spark)
     segs = stats.class_order(forest(spark, sf), params)
-    new = synth.expand_terminals(segs, params, morphometry.connectivity(spark), GAMMA, seed=11, max_order=2)
+    new = synth.expand_terminals(segs, params, morphometry.connectivity(spark), GAMMA, seed=11)
     return new.select("tree", "id", "parent_id", "strahler_order", sig(F.col("radius_mm"), 6).alias("radius_mm"), sig(F.col("length_mm"), 6).alias("length_mm"), "generation")
 
 
+@register("terminals_expanded_full_depth_in_domain")
+def expanded_inside(spark, sf):
+    params = morphometry.order_params(spark)
+    segs = stats.class_order(forest(spark, sf), params)
+    new = synth.expand_terminals(segs, params, morphometry.connectivity(spark), GAMMA, seed=12, domain=BALL, full_depth=True)
+    return new.select("tree", "id", "parent_id", "strahler_order", sig(F.col("radius_mm"), 6).alias("radius_mm"), sig(F.col("length_mm"), 6).alias("length_mm"),
+                      *[F.round(c, 5).alias(c) for c in ("dx", "dy", "dz")], "generation")
+
+
 def cloud_box(spark, sf):
     """Shell whose size follows the points of the tables."""
     lo, hi = points(spark, sf).agg(F.min("x"), F.max("x")).first()

@@ -49,8 +49,11 @@ def beta(u: Column, alpha: float = 2.5, beta_: float = 0.8, low: float = 1e-6) -
 
 def first_inside(tries: int, draw, keep, fallback: Column) -> Column:
     """First of several draws that is kept, else the fallback; ``draw`` maps a stream number to a value."""
-    kept = F.filter(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), draw), keep)
-    return F.coalesce(F.get(kept, F.lit(0)), fallback)
+    def step(acc: Column, i: Column) -> Column:
+        return F.when(acc.isNotNull(), acc).otherwise(F.transform(F.array(draw(i)), lambda x: F.when(keep(x), x))[0])
+
+    # A try is drawn only while none was kept.
+    return F.coalesce(F.aggregate(F.sequence(F.lit(0), F.lit(tries - 1)), F.lit(None).cast("double"), step), fallback)
 
 
 def truncated_lognormal(mean: Column, sd: Column, keys: list[Column], seed: int, cutoff: float = 8.0, tries: int = 20) -> Column:

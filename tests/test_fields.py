@@ -123,6 +123,21 @@ def test_expansion_is_a_forest(spark, make):
     assert dev < 1e-9
 
 
+def test_expansion_takes_all_orders_and_full_depth_stays_inside(spark, make):
+    params = morphometry.order_params(spark)
+    segs = stats.class_order(make([(1, -1, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.020), (2, 1, 1.0, 0.0, 0.0, 2.0, 1.0, 0.0, 0.0055), (3, 1, 1.0, 0.0, 0.0, 2.0, -1.0, 0.0, 0.0143)], "RCA"), params)
+    assert {r["id"]: r["strahler_order"] for r in segs.collect()}[3] == 4
+    ball = domains.Sphere((1.0, 0.0, 0.0), 1.6)
+    new = synth.expand_terminals(segs, params, morphometry.connectivity(spark), 7 / 3, 5, domain=ball, full_depth=True)
+    assert new.where("parent_id = 3").count() == 2
+    assert new.where(~domains.Sphere((1.0, 0.0, 0.0), 1.6 + 1e-9).inside((F.col("dx"), F.col("dy"), F.col("dz")))).count() == 0
+    both = segs.select("tree", "id", "parent_id", "strahler_order").unionByName(new.select("tree", "id", "parent_id", "strahler_order"))
+    assert both.select("id").distinct().count() == both.count()
+    # Every end has order 0, and every inner row forks in two.
+    assert {r[0] for r in trees.with_children(both).where("is_terminal").select("strahler_order").distinct().collect()} == {0}
+    assert {r["n_children"] for r in trees.child_counts(both).collect()} == {2}
+
+
 def test_geometry_keeps_lengths_and_joins(chain):
     out = growth.junction_geometry(chain, 7 / 3)
     old = {r["id"]: r["length_mm"] for r in chain.collect()}
