@@ -32,12 +32,13 @@ def hierarchy_depth(spark, sf):
     return trees.depths(forest(spark, sf)).select("tree", "id", "depth")
 
 
-@register("hierarchy_breadth_first_order", with_sql(FOREST_SQL, DEPTH_SQL, recursive=True, body="""
-SELECT tree, id, depth, count(*) OVER (PARTITION BY tree, depth) AS level_rows FROM dep"""))
+@register("hierarchy_breadth_first_order", with_sql(FOREST_SQL, """
+kid AS (SELECT tree, id, parent_id, row_number() OVER (PARTITION BY tree, parent_id ORDER BY id) AS slot FROM seg WHERE parent_id > 0),
+way AS (SELECT tree, id, 0 AS depth, [id] AS slots FROM seg WHERE parent_id < 0
+  UNION ALL SELECT k.tree, k.id, w.depth + 1, list_append(w.slots, k.slot) FROM way w JOIN kid k ON k.tree = w.tree AND k.parent_id = w.id)""", recursive=True, body="""
+SELECT tree, id, depth, count(*) OVER (PARTITION BY tree, depth) AS level_rows, row_number() OVER (PARTITION BY tree ORDER BY depth, slots) AS rank FROM way"""))
 def breadth_first(spark, sf):
-    ordered = trees.breadth_order(trees.with_child_slot(forest(spark, sf)))
-    rows = ordered.groupBy("tree", "depth").agg(F.count("*").alias("level_rows"))
-    return ordered.join(rows, ["tree", "depth"]).select("tree", "id", "depth", "level_rows")
+    return trees.breadth_order(trees.with_child_slot(forest(spark, sf)))
 
 
 @register("hierarchy_ancestor_list_and_path_sum", with_sql(FOREST_SQL, """

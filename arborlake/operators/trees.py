@@ -6,11 +6,12 @@ rows is spread like any other, because no step groups or sorts by tree alone.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from arborlake.plans.cut import cut
+from arborlake.plans.cut import cut, cut_counted
 from arborlake.plans.hierarchy import (
     Fold, add, first, listed, path_fold, rise_series_parallel, rise_sum, roll_up, times,
 )
 from arborlake.plans.lookup import lookup
+from arborlake.plans.running import SLICE, cumulative
 
 KEY = ["tree", "id"]
 
@@ -86,15 +87,25 @@ def path_lists(segs: DataFrame, value: Column, name: str = "path") -> DataFrame:
 
 
 def breadth_order(segs: DataFrame) -> DataFrame:
-    """Rows in parents-first order: by depth, then by the slots taken on the way down."""
-    found = _along_path(
-        segs,
-        [
-            add("depth", F.when(F.col("parent_id") > 0, 1).otherwise(0)),
-            listed("slots", F.coalesce("child_slot", F.lit(0))),
-        ],
-    )
-    return found.orderBy("tree", "depth", "slots")
+    """(tree, id, depth, level_rows, rank): place of every row in the parents-first order of its tree, from 1.
+
+    Rows go by depth, then by the slots taken on the way down (roots of one tree by id).  Within a level that is the
+    order in which a walk down the slots meets the rows, and a row is met after its ancestors and the subtrees of the
+    earlier siblings of all of them.  So it takes neither arrays of slots nor a round per level.
+    """
+    found = depths(segs)
+    rows = cut(segs.select(*KEY, parent_or_null().alias("parent_id"), "child_slot").join(found, KEY), "reached")
+    sized = rows.join(subtree_sums(rows, {"_size": F.lit(1.0)}), KEY)
+    w = Window.partitionBy("tree", "parent_id").orderBy("child_slot", "id").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(F.round("_size").cast("bigint")).over(w), F.lit(0)) + 1
+    walk = path_sums(sized.withColumn("_own", own), {"_walk": F.col("_own")})
+    placed, tally = cut_counted(rows.select(*KEY, "depth").join(walk, KEY), "walk", n=F.count("*"))
+    # A level may hold half of a tree, so it is numbered in slices.
+    in_level = cumulative(placed, ["tree", "depth"], "_walk", plain_group=SLICE).withColumnsRenamed({"upto": "_in", "total": "level_rows"})
+    sizes = placed.groupBy("tree", "depth").agg(F.count("*").alias("_n"))
+    levels = cumulative(sizes, ["tree"], "depth", weight=F.col("_n")).select("tree", "depth", (F.col("upto") - F.col("_n")).alias("_above"))
+    out = lookup(in_level, levels, ["tree", "depth"], tally["n"])
+    return out.select(*KEY, "depth", "level_rows", (F.col("_above") + F.col("_in")).alias("rank"))
 
 
 def topological_order(segs: DataFrame) -> DataFrame:

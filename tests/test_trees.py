@@ -136,3 +136,26 @@ def test_diameter_order_matches_a_loop(make):
     got = trees.diameter_order(segs)
     assert by_id(got, "strahler_order") == order
     assert got.first()["rounds"] == rounds
+
+
+@pytest.mark.parametrize("deep, slice_rows", [(0.3, None), (0.9, 20)])
+def test_breadth_order_ranks_parents_first_in_slot_order(make, monkeypatch, deep, slice_rows):
+    rows = random_forest(300, 11, deep)
+    if slice_rows:
+        monkeypatch.setattr(trees, "SLICE", slice_rows)
+    # Slots against the order of ids, so that neither ids nor depths alone give the order.
+    kids = {}
+    for r in rows[1:]:
+        kids.setdefault(r[1], []).insert(0, r[0])
+    slot = {k: i + 1 for c in kids.values() for i, k in enumerate(c)}
+    order, depth = [1], {1: 0}
+    for at in order:
+        depth |= {k: depth[at] + 1 for k in kids.get(at, [])}
+        order += kids.get(at, [])
+    table = F.create_map(*[F.lit(v) for pair in slot.items() for v in pair])
+    # Rows that hang on no root have no place.
+    segs = make([*rows, (900, 901, *[0.0] * 6, 1.0), (901, 900, *[0.0] * 6, 1.0)])
+    got = trees.breadth_order(segs.withColumn("child_slot", F.coalesce(F.try_element_at(table, F.col("id").cast("int")), F.lit(0)))).collect()
+    assert {r["id"]: r["rank"] for r in got} == {v: i + 1 for i, v in enumerate(order)}
+    assert {r["id"]: r["depth"] for r in got} == depth
+    assert all(r["level_rows"] == list(depth.values()).count(r["depth"]) for r in got)
