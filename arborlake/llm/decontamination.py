@@ -6,9 +6,10 @@ words yields a fingerprint on both sides that agrees.  Document fingerprints mee
 agrees, the hit is extended: the whole window is compared, first by hash, then word by word.  A benchmark item of
 fewer words is one window of its own length and is looked up as such.
 
-The benchmark is a stated query set.  It is split into blocks of at most ``BLOCK_BYTES`` of text, measured before
-anything is collected; each block is broadcast and meets all documents in one pass, so its memory is bounded and a
-larger benchmark takes more passes.  Documents are never shuffled: one with very many hits is its own row's work.
+The benchmark is a stated query set.  Repeated rows count once, long items go in pieces that overlap by nine words, and
+pieces are dealt by their running size into blocks of at most ``BLOCK_BYTES`` of text (more only where ten words are
+longer); each block is broadcast and meets all documents in one pass, so its memory is bounded and a larger benchmark
+takes more passes.  Documents are never shuffled: one with very many hits is its own row's work.
 
 Defined cases: a null text has no words; an item without words is in no document; items of one id are one item; an
 item whose id is null marks words but is not listed.  Extra columns pass through; the added ones (n_words, hits,
@@ -17,9 +18,11 @@ items) replace columns of those names.  A text is held in memory as a whole, abo
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from arborlake.llm.common import byte_class, byte_symbols, ships, slices, span_hashes, table, text_buffers, with_columns_of_text, words_of
+from arborlake.llm.common import byte_class, byte_symbols, cut, ships, slices, span_hashes, table, text_buffers, with_columns_of_text, words_of
 
 ships(__name__)
 
@@ -142,22 +145,56 @@ def _search(part: pa.RecordBatch, text: str, block: dict | None) -> list[pa.Arra
         pa.array([sorted(x - {None}) for x in items], pa.list_(pa.string()))]
 
 
+def pieces(text: str, room: int) -> list[str]:
+    """The text, or if it is longer than ``room`` bytes its words in pieces that overlap by nine; no window is lost."""
+    raw = text.encode()
+    if len(raw) <= room:
+        return [text]
+    starts, ends, _ = words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), _INSIDE)
+    upto, n = np.cumsum(ends - starts + 1), len(starts)
+    out, at, end = [], 0, 0
+    while end < n:
+        end = min(n, max(at + WINDOW, int(np.searchsorted(upto, room + (upto[at - 1] if at else 0), "right"))))
+        out.append(b" ".join(raw[a:b] for a, b in zip(starts[at:end].tolist(), ends[at:end].tolist())).decode())
+        at = end - WINDOW + 1
+    return out
+
+
+def blocked(benchmark: DataFrame, block_bytes: int) -> DataFrame:
+    """(item_id, text, block): pieces of the distinct items; each task fills its own blocks up to their size."""
+    bench = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct()
+    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    room = max(1, block_bytes // 2)
+
+    def run(batches):
+        task, block, held = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            for item, text in zip(batch.column("item_id"), batch.column("text").to_pylist()):
+                for piece in pieces(text, room):
+                    size = len(piece.encode())
+                    if held and held + size > block_bytes:
+                        block, held = block + 1, 0
+                    held += size
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([item.as_py()], item.type), pa.array([piece]), pa.array([f"{task}-{block}"])], ["item_id", "text", "block"])
+
+    # About 16 blocks for each task, so few blocks are left part filled.
+    dealt = bench.repartition(1 + total // (16 * block_bytes), "item_id", "text")
+    return cut(dealt.mapInArrow(run, StructType([*bench.schema.fields, StructField("block", StringType())])), "benchmark")
+
+
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Adds n_words, hits (merged spans of hit words, start and end in words) and items (ids with occurring windows)."""
     spark = docs.sparkSession
-    bench = benchmark.select("item_id", "text").where("text IS NOT NULL")
-    total, longest = bench.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
-    if longest and longest > 8 * block_bytes:
-        raise ValueError(f"a benchmark item of {longest} bytes is beyond the block size; raise block_bytes")
-    n = -(-(total or 0) // block_bytes)
-    blocks = [None] if not n else range(n)
+    bench = blocked(benchmark, block_bytes)
+    blocks = [r.block for r in bench.select("block").distinct().orderBy("block").collect()] or [None]
     out = docs.drop("n_words", "hits", "items")
-    for i in blocks:
-        rows = [] if i is None else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
+    for i, block in enumerate(blocks):
+        rows = [] if block is None else bench.where(F.col("block") == block).select("item_id", "text").collect()
         sent = spark.sparkContext.broadcast(tables([tuple(r) for r in rows]) if rows else None)
         out = with_columns_of_text(
             out, "n_words bigint, hits array<struct<start:bigint,end:bigint>>, items array<string>",
-            _searcher(sent, text), text) if i in (None, 0) else _again(out, sent, text)
+            _searcher(sent, text), text) if i == 0 else _again(out, sent, text)
     return out
 
 

@@ -210,6 +210,18 @@ def test_contamination(spark, docs, prose, block):
     assert len(empty) == len(rows) and not any(x.hits for x in empty)
 
 
+def test_decontamination_of_long_and_repeated_items(spark, docs):
+    words = [f"w{i}" for i in range(400)]
+    items = [("long", " ".join(words)), *[("again", "one two three four five six seven eight nine ten eleven")] * 200, ("short", "a few words"), ("gap", "x" + " " * 3000 + "y")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    sizes = decontamination.blocked(bench, 1200).groupBy("block").agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("rows")).collect()
+    assert len(sizes) > 1 and max(r.n for r in sizes) <= 1200
+    rows = [(i, " ".join(words[i : i + 10])) for i in range(391)] + [(500, "so x y"), (501, items[1][1]), (502, "of a few words"), (503, " ".join(words[5:14]))]
+    got = {r.doc_id: (r["items"], [tuple(h) for h in r.hits]) for r in decontamination.find(docs(rows), bench, block_bytes=1200).collect()}
+    assert all(got[i] == (["long"], [(0, 10)]) for i in range(391))
+    assert got[500] == (["gap"], [(1, 3)]) and got[501] == (["again"], [(0, 11)]) and got[502] == (["short"], [(1, 4)]) and got[503] == ([], [])
+
+
 def test_archives(spark):
     rows = [(1, "http://a/", "<p>x</p>"), (2, None, None), (3, "u", ""), (4, "http://b/\r\nX: y", "<p>x</p>"), (5, "c", "é\r\n\r\nWARC/1.1\r\n" * 9), (6, "d", "big " * 200_000), (7, "e", "<p>x</p>")]
     pages = spark.createDataFrame([(*r, "mine") for r in rows], "page_id long, url string, html string, refers_to string")
