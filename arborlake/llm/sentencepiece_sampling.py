@@ -317,6 +317,6 @@ def segmentations(docs: DataFrame, id: str = "doc_id", text: str = "text", k: in
 
 
 def op3_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = segmentations(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_ids=False)
+    out = segmentations(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_ids=True)
     whole = F.sha2(F.coalesce("text", F.lit("")), 256)
-    return out.select("doc_id", F.size("samples").cast("long").alias("n_samples"), F.forall("samples", lambda s: s["decoded_sha256"] == whole).alias("round_trip"), "samples")
+    return out.select("doc_id", F.size("samples").cast("long").alias("n_samples"), F.forall("samples", lambda s: s["decoded_sha256"] == whole).alias("round_trip"), "samples", "ids")

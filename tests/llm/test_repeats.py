@@ -222,6 +222,15 @@ def test_decontamination_of_long_and_repeated_items(spark, docs):
     assert got[500] == (["gap"], [(1, 3)]) and got[501] == (["again"], [(0, 11)]) and got[502] == (["short"], [(1, 4)]) and got[503] == ([], [])
 
 
+def test_sampling_query_returns_the_ids(spark, docs, tmp_path):
+    docs([(1, "one text"), (2, None), (3, "žluťoučký kůň")]).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sentencepiece_sampling.op3_sentencepiece_sampling(spark, str(tmp_path)).collect()
+    assert len(rows) == 3
+    for r in rows:
+        assert len(r["ids"]) == r.n_samples
+        assert [hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in r["ids"]] == [s.ids_sha256 for s in r.samples]
+
+
 def test_archives(spark):
     rows = [(1, "http://a/", "<p>x</p>"), (2, None, None), (3, "u", ""), (4, "http://b/\r\nX: y", "<p>x</p>"), (5, "c", "é\r\n\r\nWARC/1.1\r\n" * 9), (6, "d", "big " * 200_000), (7, "e", "<p>x</p>")]
     pages = spark.createDataFrame([(*r, "mine") for r in rows], "page_id long, url string, html string, refers_to string")
