@@ -179,6 +179,15 @@ def test_repeats_of_nothing_and_of_repeated_rows(docs, prose):
     assert got == {None: 0, 1: len(text), 2: len(text)}
 
 
+def test_jaccard_ids_with_two_texts_and_sets_without_an_id(docs):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    # Far ends that are near only to a text whose id is null.
+    left, right = " ".join(three.split()[7:]), " ".join(three.split()[:-7])
+    rows = [(5, one), (5, two), (3, one + " x"), (9, two + " y"), (20, left), (21, right), (None, three), (30, "z " * 9)]
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard_join.classes(docs(rows)).collect()), key=str)
+    assert got == sorted([(3, 3), (5, 3), (5, 3), (9, 3), (20, 20), (21, 20), (None, None), (30, 30)], key=str)
+
+
 def lowered(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
 
