@@ -1,6 +1,6 @@
 """Registered text queries and their SQL counterparts."""
 
-from arborlake.llm import decontamination, jaccard_join, pii, quality_rules, sentencepiece_sampling, suffix_array_dedup, suffix_tree_dedup, toxicity, url_filters, warc
+from arborlake.llm import decontamination, jaccard_join, packing, pii, quality_rules, sentencepiece_sampling, suffix_array_dedup, suffix_tree_dedup, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_warc_normaliser": warc.op1_warc_normaliser,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_suffix_tree_dedup": suffix_tree_dedup.op7_suffix_tree_dedup,
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op9_url_filters": url_filters.op9_url_filters,
+    "op11_concatenate_and_cut": packing.op11_concatenate_and_cut,
 }
 ORACLE = {
     "op1_warc_normaliser": warc.ORACLE,
