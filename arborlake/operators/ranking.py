@@ -1,9 +1,9 @@
 """Top-k, even subsamples, stratified decimation and shares."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arborlake.plans.cut import cut
-from arborlake.plans.running import cumulative
+from arborlake.plans.running import cumulative, matched
 
 
 def top_k(df: DataFrame, by: Column, k: int, ties: list[str]) -> DataFrame:
@@ -11,7 +11,7 @@ def top_k(df: DataFrame, by: Column, k: int, ties: list[str]) -> DataFrame:
 
 
 def ranked(df: DataFrame, keys: list[str], value: str, ties: list[str]) -> DataFrame:
-    """Adds ``upto``, the rank from 1 per group, and ``total``; large groups are ranked in slices."""
+    """Adds ``upto``, the rank from 1 per group, and ``total``; large groups are ranked range by range."""
     return cumulative(df, keys, value, ties)
 
 
@@ -35,18 +35,26 @@ def spread_evenly(df: DataFrame, target: Column) -> DataFrame:
 def decimate(df: DataFrame, keys: list[str], value: str, ties: list[str], target: int, large: float = 0.25, small: float = 0.45) -> DataFrame:
     """At most ``target`` rows per group: a share of the largest, a share of the smallest, the rest evenly spread.
 
-    The middle rows are taken in id order (``ties``), as they lie between the strata.
+    The strata are two bounded top-k, which every task cuts down before the shuffle; only the rows between them are
+    ranked, in id order (``ties``).
     """
     n_large, n_small = max(1, round(target * large)), round(target * small) and max(1, round(target * small))
-    first = ranked(df.withColumn("_neg", -F.col(value)), keys, "_neg", ties)
-    first = first.withColumnsRenamed({"upto": "_down", "total": "_all"}).drop("_neg")
-    order = cut(ranked(first, keys, value, ties).withColumnRenamed("upto", "_up").drop("total"), "ranked")
-    many = F.col("_all") > target
-    end = (F.col("_down") <= n_large) | (F.col("_up") <= n_small)
-    middle = order.where(many & ~end)
-    spread = ranked(middle, keys, ties[0], ties[1:]).withColumnsRenamed({"upto": "_r", "total": "_n"})
+    rows = cut(df.withColumn("_row", F.monotonically_increasing_id()), "decimated")
+    down = _first(rows, keys, -F.col(value), ties, n_large)
+    ends = (down.union(_first(rows, keys, F.col(value), ties, n_small)).distinct() if n_small else down).withColumn("_end", F.lit(True))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_all"))
+    sized = matched(rows, sizes, keys) if keys else rows.withColumn("_all", sizes.select("_all").scalar())
+    marked = cut(sized.join(ends, "_row", "left"), "strata").drop("_row")
+    between = (F.col("_all") > target) & F.col("_end").isNull()
+    spread = ranked(marked.where(between), keys, ties[0], ties[1:]).withColumnsRenamed({"upto": "_r", "total": "_n"})
     kept = spread_evenly(spread, F.lit(target - n_large - n_small)).drop("_r", "_n")
-    return order.where(~many | end).unionByName(kept).drop("_down", "_up", "_all")
+    return marked.where(~between).unionByName(kept).drop("_end", "_all")
+
+
+def _first(rows: DataFrame, keys: list[str], by: Column, ties: list[str], k: int) -> DataFrame:
+    """Row numbers of the first ``k`` rows per group in order of ``by``, ties."""
+    w = Window.partitionBy(*keys).orderBy(by, *ties, "_row")
+    return rows.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= k).select("_row")
 
 
 def decimate_static(df: DataFrame, keys: list[str], value: str, ties: list[str], target: int, large: float = 0.35) -> DataFrame:

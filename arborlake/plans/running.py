@@ -1,20 +1,19 @@
 """Running totals and ranks that do not put a whole group into one task.
 
-A plain window sorts a group in one task.  Here the size of the largest group
-is looked up first; only when it is small is the plain window used.  Otherwise
-each group is cut into slices in order, every slice is one window group, and the
-totals of the earlier slices of the group are added as an offset.
+A plain window sorts a group in one task.  Here the rows are written once; only when they, or the largest group of them,
+are few is the plain window used.  Otherwise a two-pass prefix scan runs over the written rows: they are dealt out by
+ranges of (key, value, ties, row number), so that even rows with one value in all columns are split, each range sums up
+its rows, and the totals of the earlier ranges of a group are added as an offset.  No edge of a range is held in the plan.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from arborlake.plans.cut import cut
+from arborlake.plans.cut import cut, cut_counted
 
 SLICE = 65_536  # rows of one slice of an integer position
 PLAIN_GROUP = 2_000_000  # groups up to this size fit one task with ease
 
 
-
 def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys meet null keys; the columns of ``left``, then those ``right`` adds."""
     other = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
@@ -44,62 +43,49 @@ def running_sum(df: DataFrame, keys: list[str], pos: str, sums: dict[str, Column
     )
 
 
+def _written(df: DataFrame, keys: list[str], plain_group: int, label: str) -> tuple[DataFrame, bool]:
+    """``df`` written with a row number, and whether every group is small enough for a plain window.
+
+    The rows are counted by the write; sizes of groups are looked up, from the key columns alone, only when all rows
+    together are too many for one group.
+    """
+    table, seen = cut_counted(df.withColumn("_row", F.monotonically_increasing_id()), label, n=F.count(F.lit(1)))
+    if (seen["n"] or 0) <= plain_group:
+        return table, True
+    if not keys:
+        return table, False
+    return table, table.groupBy(*keys).count().agg(F.max("count")).first()[0] <= plain_group
+
+
+def ranges(table: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of a written table dealt out by ranges of (keys, order, row number), written with the number of the range.
+
+    The order of ``_part`` agrees with that of the rows.  Spark samples the edges; the row number makes every row
+    differ, so no value or key is too frequent to be split.
+    """
+    dealt = table.repartitionByRange(*[F.col(c) for c in [*keys, *order, "_row"]])
+    return cut(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
+
+
 def cumulative(
-    df: DataFrame, keys: list[str], value: str, ties: list[str] = (), weight: Column | None = None,
-    plain_group: int = PLAIN_GROUP, slice_rows: int = SLICE,
+    df: DataFrame, keys: list[str], value: str, ties: list[str] = (), weight: Column | None = None, plain_group: int = PLAIN_GROUP,
 ) -> DataFrame:
     """Adds ``upto`` (weight of rows up to and with this one in order of value, ties) and ``total`` per group."""
     weight = F.lit(1) if weight is None else weight
-    df = df.withColumn("_w", weight)
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("_w").alias("total"))
-    biggest = sizes.agg(F.max("_n"), F.sum("_n")).first()
-    order = [value, *ties]
-    if (biggest[0] or 0) <= plain_group:
+    kept, order = df.columns, [value, *ties]
+    table, plain = _written(df.withColumn("_w", weight), keys, plain_group, "ordered")
+    if plain:
         whole = Window.partitionBy(*keys)
-        run = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({"upto": F.sum("_w").over(run), "total": F.sum("_w").over(whole)}).drop("_w")
-    marked = _sliced(cut(df, "ordered"), sizes, keys, value, slice_rows)
-    inner = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    per_slice = Window.partitionBy(*keys).orderBy("_slice")
-    offsets = (
-        marked.groupBy(*keys, "_slice")
-        .agg(F.sum("_w").alias("_sw"))
-        .select(
-            *keys,
-            "_slice",
-            F.coalesce(F.sum("_sw").over(per_slice.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-            F.sum("_sw").over(Window.partitionBy(*keys)).alias("total"),
-        )
-    )
-    return (
-        marked.withColumn("_in", F.sum("_w").over(inner))
-        .transform(lambda rows: matched(rows, offsets, [*keys, "_slice"]))
-        .withColumn("upto", F.col("_in") + F.col("_before"))
-        .select(*[c for c in df.columns if c != "_w"], "upto", "total")
-    )
-
-
-def _sliced(data: DataFrame, sizes: DataFrame, keys: list[str], value: str, slice_rows: int) -> DataFrame:
-    """Adds ``_slice``: in groups above ``slice_rows`` the place of a value among equally spaced edges of its group.
-
-    Each edge stands for ``slice_rows`` rows, whatever the size of the group.  Equal values share a slice, so the
-    order of slices agrees with that of values, and nulls, which sort first, are in slice 0; callers with heavily
-    repeated values group them first and pass a weight.
-    """
-    hot = sizes.where(F.col("_n") > slice_rows).select(*keys, F.ceil(F.col("_n") / slice_rows).cast("int").alias("_k"))
-    most = hot.agg(F.max("_k")).first()[0] or 1
-    # One set of quantiles, as many as the largest group needs; a smaller group takes every so manieth of them.
-    steps = [i / most for i in range(1, most)] or [0.5]
-    if not keys:
-        edges = data.agg(F.percentile_approx(value, steps, 20 * most).alias("_edges"))
-        marked = data.withColumn("_edges", edges.select("_edges").scalar())
-    else:
-        rows = matched(data, hot, keys)
-        edges = rows.groupBy(*keys, "_k").agg(F.percentile_approx(value, steps, 20 * most).alias("_all"))
-        stride = F.greatest(F.floor(F.lit(most) / F.col("_k")), F.lit(1))
-        edges = edges.select(*keys, F.filter("_all", lambda e, i: (i + 1) % stride == 0).alias("_edges"))
-        marked = matched(data, edges, keys, "left")
-    return marked.withColumn("_slice", F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(value))), F.lit(0))).drop("_edges")
+        run = whole.orderBy(*order, "_row").rowsBetween(Window.unboundedPreceding, 0)
+        return table.withColumns({"upto": F.sum("_w").over(run), "total": F.sum("_w").over(whole)}).select(*kept, "upto", "total")
+    parts = ranges(table, keys, order)
+    inner = Window.partitionBy(*keys, "_part").orderBy(*order, "_row").rowsBetween(Window.unboundedPreceding, 0)
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.groupBy(*keys, "_part").agg(F.sum("_w").alias("_sw")).select(
+        *keys, "_part", F.coalesce(F.sum("_sw").over(earlier), F.lit(0)).alias("_before"), F.sum("_sw").over(group).alias("total"))
+    inside = parts.withColumn("_in", F.sum("_w").over(inner))
+    return matched(inside, offsets, [*keys, "_part"]).withColumn("upto", F.col("_in") + F.col("_before")).select(*kept, "upto", "total")
 
 
 def order_statistic(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
@@ -130,38 +116,36 @@ def neighbour(df: DataFrame, keys: list[str], pos: str, offset: int, cols: list[
 
 def as_of(
     asked: DataFrame, samples: DataFrame, keys: list[str], time: str, value: str, plain_group: int = PLAIN_GROUP,
-    slice_rows: int = SLICE,
 ) -> DataFrame:
     """For every asked time the last sample at or before it and the first one after it.
 
-    Adds prev_t, prev_v, next_t, next_v.  Long series are cut into time slices;
-    the last (first) sample of earlier (later) slices is carried over.
+    Adds prev_t, prev_v, next_t, next_v.  A long series is scanned range by range of its times; the last (first) sample
+    of earlier (later) ranges is carried over.
     """
-    q_cols = [c for c in asked.columns]
-    sample = F.when(F.col("_is"), F.struct(F.col(time).alias("t"), F.col("_v").alias("v")))
-    both = asked.withColumns({"_v": F.lit(None).cast(samples.schema[value].dataType), "_is": F.lit(False)}).unionByName(
-        samples.select(*keys, time, F.col(value).alias("_v"), F.lit(True).alias("_is")), allowMissingColumns=True
+    q_cols = asked.columns
+    sample = F.when(~F.col("_asks"), F.struct(F.col(time).alias("t"), F.col("_v").alias("v")))
+    both = asked.withColumns({"_v": F.lit(None).cast(samples.schema[value].dataType), "_asks": F.lit(True)}).unionByName(
+        samples.select(*keys, time, F.col(value).alias("_v"), F.lit(False).alias("_asks")), allowMissingColumns=True
     )
-    sizes = both.groupBy(*keys).agg(F.count("*").alias("_n"))
-    if (sizes.agg(F.max("_n")).first()[0] or 0) <= plain_group:
-        both, part, carried = both.withColumn("_s", sample), list(keys), False
-    else:
-        both = _sliced(cut(both.withColumn("_s", sample), "asof"), sizes, keys, time, slice_rows)
-        part, carried = [*keys, "_slice"], True
     # At equal times samples come first, so a sample at the asked time counts as the last one.
-    w = Window.partitionBy(*part).orderBy(time, F.col("_is").cast("int").desc())
-    out = both.withColumns({
+    order = [time, "_asks"]
+    table, plain = _written(both.withColumn("_s", sample), keys, plain_group, "asof")
+    if not plain:
+        table = ranges(table, keys, order)
+    part = list(keys) if plain else [*keys, "_part"]
+    w = Window.partitionBy(*part).orderBy(*order, "_row")
+    out = table.withColumns({
         "_prev": F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
         "_next": F.first("_s", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
     })
-    if carried:
-        edge = both.groupBy(*part).agg(F.max_by("_s", F.when(F.col("_is"), F.col(time))).alias("_l"),
-                                       F.min_by("_s", F.when(F.col("_is"), F.col(time))).alias("_f"))
-        o = Window.partitionBy(*keys).orderBy("_slice")
+    if not plain:
+        at = F.when(~F.col("_asks"), F.struct(time, "_row"))
+        edge = table.groupBy(*part).agg(F.max_by("_s", at).alias("_l"), F.min_by("_s", at).alias("_f"))
+        o = Window.partitionBy(*keys).orderBy("_part")
         edge = edge.select(*part,
                            F.last("_l", ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, -1)).alias("_cl"),
                            F.first("_f", ignorenulls=True).over(o.rowsBetween(1, Window.unboundedFollowing)).alias("_cf"))
         out = matched(out, edge, part).withColumns({"_prev": F.coalesce("_prev", "_cl"), "_next": F.coalesce("_next", "_cf")})
-    return out.where(~F.col("_is")).select(
+    return out.where("_asks").select(
         *q_cols, F.col("_prev.t").alias("prev_t"), F.col("_prev.v").alias("prev_v"),
         F.col("_next.t").alias("next_t"), F.col("_next.v").alias("next_v"))

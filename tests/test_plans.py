@@ -21,7 +21,7 @@ def test_running_sum_in_slices(spark):
     assert a.exceptAll(b).count() == 0 and b.count() == 1000
 
 
-def test_cumulative_in_slices(spark):
+def test_cumulative_in_slices(spark, all_ranges):
     df = spark.range(3000).select((F.col("id") % 3 == 0).cast("int").alias("k"), (F.col("id") * 7919 % 1009).cast("double").alias("v"), "id")
     a = running.cumulative(df, ["k"], "v", ["id"]).select("id", "upto", "total")
     b = running.cumulative(df, ["k"], "v", ["id"], plain_group=10).select("id", "upto", "total")
@@ -30,7 +30,70 @@ def test_cumulative_in_slices(spark):
     assert c.agg(F.max("upto"), F.count_distinct("upto")).first()[:] == (3000, 3000)
 
 
-def test_as_of_in_slices(spark):
+@pytest.fixture
+def all_ranges(spark):
+    """No small ranges are put together at run time."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_prefix_scan_splits_a_value_that_half_of_the_rows_share(spark, all_ranges):
+    """Ranges are even although half of the rows are the same in all columns, and no edge of a range is in a plan."""
+    df = spark.range(20_000).select(F.lit("a").alias("k"), F.when(F.col("id") % 2 == 0, 7.0).otherwise(F.col("id") % 97).cast("double").alias("v"))
+    table, plain = running._written(df, ["k"], 10, "t")
+    parts = running.ranges(table, ["k"], ["v"])
+    sizes = [r["count"] for r in parts.groupBy("_part").count().collect()]
+    assert not plain and len(sizes) > 4 and max(sizes) < 10_000 and sum(sizes) == 20_000
+    low_high = parts.groupBy("_part").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("_part").collect()
+    assert all(a["hi"] <= b["lo"] for a, b in zip(low_high, low_high[1:]))
+    run = running.cumulative(df, ["k"], "v", plain_group=10)
+    assert run.agg(F.count_distinct("upto"), F.min("upto"), F.max("upto"), F.max("total")).first()[:] == (20_000, 1, 20_000, 20_000)
+    assert run.where("v = 7.0").agg(F.max("upto") - F.min("upto") + 1).first()[0] == df.where("v = 7.0").count()
+    text = run._jdf.queryExecution().toString()
+    assert "percentile" not in text and "array(" not in text
+    # A series with 10,000 samples at one time: the last of them is met.
+    samples = spark.range(20_000).select(F.lit("a").alias("k"), F.greatest(F.col("id"), F.lit(10_000)).cast("double").alias("t"), F.col("id").alias("x"))
+    asked = spark.createDataFrame([("a", 10_000.0), ("a", 9_999.0), ("a", 15_000.5)], "k string, t double")
+    got = {r["t"]: (r["prev_t"], r["next_t"]) for r in running.as_of(asked, samples, ["k"], "t", "x", plain_group=10).collect()}
+    assert got == {10_000.0: (10_000.0, 10_001.0), 9_999.0: (None, 10_000.0), 15_000.5: (15_000.0, 15_001.0)}
+
+
+def test_small_groups_of_a_large_table_take_the_plain_window(spark):
+    df = spark.range(1000).select((F.col("id") % 100).alias("k"), F.col("id").alias("v"))
+    assert running._written(df, ["k"], 10, "t")[1] and not running._written(df, ["k"], 9, "t")[1]
+    assert running._written(df, [], 1000, "t")[1] and not running._written(df, [], 999, "t")[1]
+
+
+def test_empty_tables_in_both_plans(spark):
+    df = spark.range(0).select(F.lit("a").alias("k"), F.col("id").alias("v"))
+    assert running.cumulative(df, ["k"], "v").count() == 0
+    asked = spark.createDataFrame([("a", 1)], "k string, v long")
+    got = running.as_of(asked, df.withColumn("x", F.lit(1)), ["k"], "v", "x", plain_group=0).collect()
+    assert [(r["prev_t"], r["next_t"]) for r in got] == [(None, None)]
+
+
+def test_strata_of_a_decimation_with_ties_and_null_keys(spark):
+    from arborlake.operators import ranking
+
+    rows = [(None if i % 3 == 0 else "a", i, float(i % 5)) for i in range(900)] + [("few", i, 1.0) for i in range(7)]
+    df = spark.createDataFrame(rows, "k string, id long, v double")
+    got = ranking.decimate(df, ["k"], "v", ["id"], 20)
+    kept = {k: sorted(r["id"] for r in got.where(F.col("k").eqNullSafe(k)).collect()) for k in (None, "a", "few")}
+    for k in kept:
+        mine = [r for r in rows if r[0] == k]
+        if len(mine) <= 20:
+            want = {r[1] for r in mine}
+        else:
+            top = [r[1] for r in sorted(mine, key=lambda r: (-r[2], r[1]))[:5]]
+            low = [r[1] for r in sorted(mine, key=lambda r: (r[2], r[1]))[:9]]
+            rest = sorted(r[1] for r in mine if r[1] not in {*top, *low})
+            step = (len(rest) - 1) / 5
+            want = {*top, *low, *(rest[round(i * step)] for i in range(6))}
+        assert kept[k] == sorted(want)
+
+
+def test_as_of_in_slices(spark, all_ranges):
     rnd = random.Random(1)
     samples = [(rnd.choice("ab"), rnd.randint(0, 4000), float(i)) for i in range(800)]
     samples = list({(k, t): (k, t, v) for k, t, v in samples}.values())
@@ -117,7 +180,7 @@ def _both(plain, sliced):
     assert plain.columns == sliced.columns and rows[0] == rows[1] and rows[0]
 
 
-def test_sliced_and_plain_windows_agree_with_null_keys_and_a_hot_key(spark):
+def test_sliced_and_plain_windows_agree_with_null_keys_and_a_hot_key(spark, all_ranges):
     from pyspark.sql import functions as F
 
     from arborlake.plans import running
@@ -127,11 +190,11 @@ def test_sliced_and_plain_windows_agree_with_null_keys_and_a_hot_key(spark):
     df = spark.createDataFrame(rows, "k string, pos long, v double")
     _both(running.running_sum(df, ["k"], "pos", {"s": F.col("v")}), running.running_sum(df, ["k"], "pos", {"s": F.col("v")}, slice_rows=16))
     plain = running.cumulative(df, ["k"], "v", ["pos"])
-    _both(plain, running.cumulative(df, ["k"], "v", ["pos"], plain_group=1, slice_rows=16))
-    _both(running.cumulative(df, [], "v", ["k", "pos"]), running.cumulative(df, [], "v", ["k", "pos"], plain_group=1, slice_rows=16))
+    _both(plain, running.cumulative(df, ["k"], "v", ["pos"], plain_group=1))
+    _both(running.cumulative(df, [], "v", ["k", "pos"]), running.cumulative(df, [], "v", ["k", "pos"], plain_group=1))
     asked = spark.createDataFrame([("hot", 0.5), ("hot", 200.0), (None, -3.5), ("b", 7.0), ("none", 1.0)], "k string, t double")
     samples = df.select("k", F.col("v").alias("t"), F.col("pos").cast("double").alias("x")).where("v IS NOT NULL").dropDuplicates(["k", "t"])
-    _both(running.as_of(asked, samples, ["k"], "t", "x"), running.as_of(asked, samples, ["k"], "t", "x", plain_group=1, slice_rows=16))
+    _both(running.as_of(asked, samples, ["k"], "t", "x"), running.as_of(asked, samples, ["k"], "t", "x", plain_group=1))
 
 
 def test_neighbour_meets_null_keys_beyond_the_slice_size(spark, monkeypatch):
