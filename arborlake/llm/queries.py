@@ -1,6 +1,6 @@
 """Registered text queries and their SQL counterparts."""
 
-from arborlake.llm import conversation_trie, decontamination, jaccard_join, packing, pii, quality_rules, sentencepiece_sampling, suffix_array_dedup, suffix_tree_dedup, toxicity, url_filters, warc
+from arborlake.llm import collocations, conversation_trie, decontamination, jaccard_join, packing, pii, quality_rules, sentencepiece_sampling, suffix_array_dedup, suffix_tree_dedup, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_warc_normaliser": warc.op1_warc_normaliser,
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op9_url_filters": url_filters.op9_url_filters,
     "op11_concatenate_and_cut": packing.op11_concatenate_and_cut,
+    "op12_phrase_collocations": collocations.op12_phrase_collocations,
     "op13_conversation_trie": conversation_trie.op13_conversation_trie,
 }
 ORACLE = {
@@ -23,5 +24,6 @@ ORACLE = {
     "op7_suffix_tree_dedup": suffix_tree_dedup.ORACLE,
     "op8_benchmark_decontamination": decontamination.ORACLE,
     "op9_url_filters": url_filters.ORACLE,
+    "op12_phrase_collocations": collocations.ORACLE,
     "op13_conversation_trie": conversation_trie.ORACLE,
 }
