@@ -8,8 +8,8 @@ every window but the last is full, so padding is below one window for the whole
 ``windows`` puts the pieces together.  A window that lies within one task's run of rows is made there; one that goes
 over the end of a run comes as boundary records, at most two a run, which meet by window number.
 
-Byte-level BPE never joins characters across the start of a run of blanks, so texts are cut there into units and every
-distinct unit of a block is encoded once; equal hashes are compared byte by byte, so the ids are exact.
+Byte-level BPE never joins characters across the start of a run of blanks, nor a letter with the punctuation behind it,
+so texts are cut there into units and a task encodes a distinct unit once; equal hashes are compared byte by byte, so the ids are exact.
 
 Defined cases: a null text is an empty one, and an empty text is its end id alone.  Rows with equal or null keys are
 texts of their own.  Other columns of ``docs`` are not looked at.  An empty table gives no pieces.  One text is handled
@@ -18,6 +18,7 @@ whole, at some 40 times its bytes.
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from arborlake.llm.common import Spans, byte_symbols, cut, ships, slices, table,
 ships(__name__)
 
 LENGTH, END = 2048, 1
-BLOCK = 1 << 23  # bytes of text looked at together
-KNOWN = 400_000  # units that a task remembers
+BLOCK = 1 << 22  # bytes of text looked at together
+KNOWN = 500_000  # units that a task remembers, at some 200 bytes each
 
 
 def vocabulary() -> str:
@@ -58,22 +59,37 @@ class Encoder:
         self.by_unit = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) \
             and not spec.get("normalizer") and not any(t.get("lstrip") or t.get("rstrip") or any(c.isspace() for c in t["content"]) for t in added)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[bytes, np.ndarray] = {}
         self.symbols = byte_symbols(11)
-        blank = np.zeros(256, bool)
-        blank[list(b" \t\n\x0b\f\r")] = True
-        self.blank = blank
-
-    def _plain(self, parts: list[bytes]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)
-        return [np.array(x.ids, self.kind) for x in found]
+        kinds = np.zeros(256, np.uint8)
+        kinds[list(b" \t\n\x0b\f\r")] = 1
+        kinds[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = 2
+        kinds[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = 4
+        self.kinds = kinds
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.base, self.sizes = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, parts: list[bytes]) -> None:
+        """Ids of new units, behind those of the known ones."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts))))
+        self.base = np.concatenate([self.base, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum()))])
+        self.sizes = np.concatenate([self.sizes, sizes])
 
     def _units(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Starts of the units: of each text, and of each run of ASCII blanks after a character that is surely no blank."""
+        """Starts of the units: of each text, of each run of ASCII blanks after what is surely no blank, and of
+        punctuation (no apostrophe) after a letter."""
+        kind = self.kinds[data]
         cut_at = np.zeros(len(data), bool)
-        sure = (data > 0x20) & (data < 0x7F)
-        sure[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80)  # Latin letters of two bytes
-        cut_at[1:] = self.blank[data[1:]] & sure[:-1]
+        latin = np.zeros(len(data), bool)  # second bytes of the letters U+00C0 to U+00FF
+        latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        letter = (kind == 2) | latin
+        sure = letter | (kind == 4) | ((data >= 0x30) & (data < 0x3A))
+        cut_at[1:] = (kind[1:] == 1) & sure[:-1] | (kind[1:] == 4) & letter[:-1]
         first = offsets[:-1][np.diff(offsets) > 0]
         cut_at[first] = True
         return np.flatnonzero(cut_at)
@@ -96,15 +112,14 @@ class Encoder:
             first, unit = np.arange(len(starts)), np.arange(len(starts))
         parts = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         new = [p for p in dict.fromkeys(parts) if p not in self.known]
-        if len(self.known) + len(new) > KNOWN:
-            self.known, new = {}, list(dict.fromkeys(parts))
-        self.known.update(zip(new, self._plain(new)))
-        ids = [self.known[p] for p in parts]
-        lengths = np.array([len(x) for x in ids], np.int64)
-        flat, base = np.concatenate(ids), np.cumsum(lengths) - lengths
-        each = lengths[unit]
+        if len(self.known) + len(new) > KNOWN and self.known:
+            self._forget()
+            new = list(dict.fromkeys(parts))
+        self._learn(new)
+        slot = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))[unit]
+        each = self.sizes[slot]
         to = np.concatenate([[0], np.cumsum(each)])
-        out = flat[np.repeat(base[unit] - to[:-1], each) + np.arange(to[-1])]
+        out = self.flat[np.repeat(self.base[slot] - to[:-1], each) + np.arange(to[-1])]
         return out, to[np.searchsorted(starts, offsets)]
 
 
