@@ -4,11 +4,20 @@ A series is either long, one row per (tree, id, t_idx), or wide, one array per
 segment; ``t_idx`` starts at 0.
 """
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arborlake.operators import trees
-from arborlake.plans.cut import cut, cut_counted
+from arborlake.plans.cut import cut
 from arborlake.plans.running import as_of
+from arborlake.plans.runs import single_runs
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KEY = ["tree", "id"]
 
@@ -80,44 +89,98 @@ def bounded_running_sum(series: DataFrame, keys: list[str], rate: Column, dt: fl
     return summed.withColumn("bounded", F.col("_s") - F.min("_s").over(upto)).drop("_d", "_s")
 
 
-def _history_at(history: Column, pos: Column, now: Column) -> Column:
-    """Sample of a wide history at a fractional position, 0 before its start, never past ``now``."""
-    lo, hi = F.floor(pos).cast("int"), F.ceil(pos).cast("int")
+CELLS = 2_000_000  # samples that one step of a batch looks at together
+
+
+def _later(history: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Each row of a matrix of histories ``shift`` samples ago: blended, 0 before the start, never past the present."""
+    now = np.arange(history.shape[1])
+    pos = now - shift[:, None]
+    lo, hi = np.floor(pos).astype(np.int64), np.ceil(pos).astype(np.int64)
+    at = lambda i: np.take_along_axis(history, np.clip(i, 0, len(now) - 1), 1)
     w = pos - lo
-    blend = (1 - w) * F.get(history, lo) + w * F.get(history, hi)
-    return F.when(pos < 0, F.lit(0.0)).when(hi > now, F.get(history, now)).otherwise(blend)
+    blend = np.where(w == 0, at(lo), (1 - w) * at(lo) + w * at(hi))
+    return np.where(pos < 0, 0.0, np.where(hi > now, history, blend))
+
+
+def _content(inlet: np.ndarray, outlet: np.ndarray, tau: np.ndarray, dt: float) -> np.ndarray:
+    """Bounded running sum of what comes in less what goes out: the sum less its smallest value so far."""
+    steps = np.zeros_like(inlet)
+    steps[:, 1:] = dt * (inlet - outlet)[:, :-1] / tau[:, None]
+    total = np.cumsum(steps, axis=1)
+    return total - np.minimum.accumulate(total, axis=1)
+
+
+_SERIES = ("inlet", "outlet", "content")
+
+
+def _through_runs(dt: float):
+    """Arrow mapper: runs (ids, taus in order, inlet of the first) to the series of all their rows."""
+
+    def run(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            sizes = pc.list_value_length(table.column("inlet")).to_numpy().astype(np.int64)
+            for width in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == width)
+                step = max(1, CELLS // max(width, 1))
+                for lo in range(0, len(rows), step):
+                    yield from _one(table.take(pa.array(rows[lo : lo + step])), width)
+
+    def _one(part: pa.Table, width: int):
+        now = part.column("inlet").combine_chunks().flatten().to_numpy().reshape(-1, width)
+        taus = part.column("taus").combine_chunks()
+        start = np.asarray(taus.offsets, np.int64)
+        values = taus.values.to_numpy(zero_copy_only=False)
+        ids = part.column("ids").combine_chunks().values.to_numpy()
+        size = np.diff(start)
+        left = np.arange(len(size))
+        for k in range(int(size.max(initial=0))):
+            go = size[left] > k
+            left, now = left[go], now[go]
+            tau = values[start[left] + k]
+            out = _later(now, tau / dt)
+            series = (now, out, _content(now, out, tau, dt))
+            offsets = pa.array(np.arange(len(left) + 1) * width, pa.int32())
+            keys = [part.column(c).combine_chunks().take(pa.array(left)) for c in ("tree", "run", "piece")]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x).ravel())) for x in series]
+            yield from pa.table([*keys, pa.array(ids[start[left] + k]), pa.array(size[left] == k + 1), pa.array(tau), *lists],
+                                names=["tree", "run", "piece", "id", "ends", "tau", *_SERIES]).to_batches()
+            now = out
+
+    return run
 
 
 def delay_propagation(segs: DataFrame, tau: Column, inputs: DataFrame, dt: float) -> DataFrame:
     """Series of every segment: inlet, outlet and mean content as arrays.
 
     ``inputs`` is (tree, curve), one array per tree.  The outlet is the inlet
-    ``tau`` ago, the inlet is the parent's outlet.  One step per level: all
-    segments of one depth of all trees are computed together from the level above,
-    which is read back from a table cut by level.
+    ``tau`` ago, the inlet is the parent's outlet.  A run of single children is one
+    row that a task takes through all its delays in order, so there is one step
+    per branching level: the runs of one level of all trees meet the last outlets
+    of the level above.
     """
     missing = segs.select("tree").distinct().join(inputs.select("tree"), "tree", "left_anti")
     if not missing.isEmpty():
         raise ValueError(f"no input curve for {[r[0] for r in missing.take(5)]}")
-    levels = segs.select(*KEY, "parent_id", tau.alias("tau")).join(trees.depths(segs), KEY)
-    by_level, tally = cut_counted(levels, "levels", deepest=F.coalesce(F.max("depth"), F.lit(-1)))
+    rows, levels = single_runs(segs.withColumn("tau", tau.cast("double")), ["tau"])
+    pieces = cut(rows.groupBy("tree", "run", "piece", "up_run", "up_piece", "level").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "tau"))).alias("m")).select(
+        "tree", "run", "piece", "up_run", "up_piece", "level", F.col("m.id").alias("ids"), F.col("m.tau").alias("taus")), "pieces")
+    made = f"tree string, run long, piece int, id long, ends boolean, tau double, {', '.join(f'{c} array<double>' for c in _SERIES)}"
     out, above = None, None
-    for d in range(tally["deepest"] + 1):
-        rows = by_level.where(F.col("depth") == d)
-        if d == 0:
-            met = rows.join(inputs.withColumnRenamed("curve", "inlet"), "tree")
+    for level in range(levels):
+        here = pieces.where(F.col("level") == level)
+        if above is None:
+            met = here.join(inputs.select("tree", F.col("curve").cast("array<double>").alias("inlet")), "tree")
         else:
-            met = rows.join(above.select("tree", F.col("id").alias("parent_id"), F.col("outlet").alias("inlet")), ["tree", "parent_id"])
-        shift = F.col("tau") / dt
-        outlet = F.transform("inlet", lambda v, i: _history_at(F.col("inlet"), i - shift, i))
-        above = cut(met.select(*KEY, "tau", "inlet", outlet.alias("outlet")), "outlets")
-        out = above if out is None else out.unionByName(above)
-    rate = F.transform("inlet", lambda v, i: (v - F.get("outlet", i)) / F.col("tau"))
-    seed = F.array(F.lit(0.0))
-    content = F.aggregate(
-        F.slice(F.col("_rate"), F.lit(1), F.size("_rate") - 1), seed,
-        lambda acc, r: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1) + dt * r, F.lit(0.0)))))
-    return out.withColumn("_rate", rate).withColumn("content", content).drop("_rate")
+            met = here.join(above, ["tree", "up_run", "up_piece"])
+        done = cut(met.select("tree", "run", "piece", "ids", "taus", "inlet").mapInArrow(_through_runs(dt), made), "outlets")
+        above = done.where("ends").select("tree", F.col("run").alias("up_run"), F.col("piece").alias("up_piece"), F.col("outlet").alias("inlet"))
+        part = done.select(*KEY, "tau", *_SERIES)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return segs.sparkSession.createDataFrame([], f"tree string, id long, tau double, {', '.join(f'{c} array<double>' for c in _SERIES)}")
+    return out
 
 
 def long_form(wide: DataFrame, keys: list[str], cols: list[str], t0: float, dt: float) -> DataFrame:
