@@ -133,9 +133,84 @@ def test_expansion_takes_all_orders_and_full_depth_stays_inside(spark, make):
     assert new.where(~domains.Sphere((1.0, 0.0, 0.0), 1.6 + 1e-9).inside((F.col("dx"), F.col("dy"), F.col("dz")))).count() == 0
     both = segs.select("tree", "id", "parent_id", "strahler_order").unionByName(new.select("tree", "id", "parent_id", "strahler_order"))
     assert both.select("id").distinct().count() == both.count()
-    # Every end has order 0, and every inner row forks in two.
-    assert {r[0] for r in trees.with_children(both).where("is_terminal").select("strahler_order").distinct().collect()} == {0}
-    assert {r["n_children"] for r in trees.child_counts(both).collect()} == {2}
+    # No row is shorter than its order and radius allow, and a row goes on as long as there is room.
+    least = F.greatest(F.col("l_mean") / 4000, 2 * F.col("radius_mm"), F.lit(0.008))
+    sized = new.join(params.select("artery", F.col("ord").alias("strahler_order"), "l_mean"), ["artery", "strahler_order"])
+    assert sized.count() == new.count() and sized.where(F.col("length_mm") < least - 1e-12).count() == 0
+    free = synth.expand_terminals(segs, params, morphometry.connectivity(spark), 7 / 3, 5, full_depth=True)
+    both = segs.select("tree", "id", "parent_id", "strahler_order").unionByName(free.select("tree", "id", "parent_id", "strahler_order"))
+    ends = {r[0]: r[1] for r in trees.with_children(both).where("is_terminal").groupBy("strahler_order").count().collect()}
+    assert ends[0] > 0.97 * sum(ends.values())
+    forks = {r[0]: r[1] for r in trees.child_counts(both).groupBy("n_children").count().collect()}
+    assert set(forks) <= {1, 2} and forks[2] > 0.97 * sum(forks.values())
+
+
+def test_expansion_does_not_depend_on_partitions_or_batches(spark, make, monkeypatch):
+    from arborlake.operators import branching
+
+    params, rates = morphometry.order_params(spark), morphometry.connectivity(spark)
+    rows = [(i, -1 if i == 1 else 1, 0.0, 0.0, 0.0, float(i), 1.0, 0.5, 0.004 + 0.0015 * i) for i in range(1, 9)]
+    segs = stats.class_order(make(rows, "LAD"), params)
+    ball = domains.EllipsoidShell((3.0, 1.0, 0.5), (6.0, 5.0, 4.0), 0.6)
+    for domain in (None, ball):
+        made = lambda df: sorted(r[:] for r in synth.expand_terminals(df, params, rates, 7 / 3, 9, domain=domain).collect())
+        whole = made(segs)
+        law = branching.Law([r.asDict() for r in params.collect()], [r.asDict() for r in rates.collect()], 7 / 3)
+        monkeypatch.setattr(branching, "FRONT", 7)
+        assert made(segs.repartition(5, "id")) == whole and len(whole) > 500
+        monkeypatch.setattr(synth, "SLICE", 2)
+        assert made(segs) == whole
+        monkeypatch.undo()
+        ids = sorted(r[2] for r in whole)
+        assert ids == list(range(9, 9 + len(ids)))
+    grower = branching.Grower(law, None, False)
+    ends = {"artery": np.zeros(3, int), "order": np.array([4, 2, 5]), "radius": np.array([0.02, 0.006, 0.03]), "key": np.arange(3).astype(np.uint64), "at": np.zeros((3, 3)), "dir": np.tile([1.0, 0, 0], (3, 1))}
+    at_once = sum(np.bincount(m["end"], minlength=3) for m in grower.grow(ends))
+    one_by_one = [sum(len(m["end"]) for m in grower.grow({k: v[i : i + 1] for k, v in ends.items()})) for i in range(3)]
+    assert at_once.tolist() == one_by_one
+
+
+def test_laws_of_the_draws_of_an_expansion(spark):
+    from arborlake.operators import branching
+
+    params, rates = morphometry.order_params(spark), morphometry.connectivity(spark)
+    law = branching.Law([r.asDict() for r in params.collect()], [r.asDict() for r in rates.collect()], 7 / 3)
+    a, p, n = law.arteries.index("RCA"), 7, 40_000
+    keys, artery = branching.mixed(np.arange(n).astype(np.uint64)), np.full(n, a)
+    count, kids = law.daughters(artery, np.full(n, p), keys, False)
+    kinds, rate = law.columns[a, p]
+    for o, r in zip(kinds, rate):
+        assert (kids == o).sum() / n == pytest.approx(r, abs=5 * (r / n) ** 0.5)
+    assert count.var() == pytest.approx(sum(rate), rel=0.05) and count.sum() == len(kids)
+    starts = np.cumsum(count) - count
+    assert all(np.all(np.diff(kids[s : s + c]) >= 0) for s, c in zip(starts[:300], count[:300]))
+    full, _ = law.daughters(artery, np.full(n, 1), keys, True)
+    assert full.min() == 2
+    size = law.length(artery, np.full(n, p), keys) * 1000
+    mean, sd = law.l_mean[a, p], law.l_sd[a, p]
+    assert size.min() >= 0.1 * mean and size.max() <= mean + 3 * sd and size.mean() == pytest.approx(mean, rel=0.06)
+    ratio = law.ratio(artery, np.full(n, 5), np.full(n, 7), keys)
+    assert 0.02 < ratio.min() and ratio.max() < 0.99
+    large, small = law.split(np.full(n, 0.3), ratio)
+    assert np.allclose(large ** (7 / 3) + small ** (7 / 3), 0.3 ** (7 / 3))
+    for rate in (0.07, 3.2, 700.0):
+        cdf = branching.poisson_cdf(rate)
+        draw = np.searchsorted(cdf, branching.uniform(keys, 77))
+        assert abs(cdf[-1] - 1) < 1e-9 and draw.mean() == pytest.approx(rate, abs=5 * (rate / n) ** 0.5) and draw.var() == pytest.approx(rate, rel=0.06)
+
+
+def test_places_in_a_domain_agree_with_the_column_form(spark):
+    from arborlake.operators import branching
+
+    shell, r = domains.EllipsoidShell((1.0, 2.0, 3.0), (4.0, 3.0, 2.0), 0.3), np.random.default_rng(2)
+    for domain in (shell, domains.Sphere((1.0, 2.0, 3.0), 2.5), domains.Box((0.0, 1.0, 2.0), (3.0, 3.0, 4.0)), domains.Ellipsoid((1.0, 2.0, 3.0), (4.0, 3.0, 2.0))):
+        q = r.normal([1.0, 2.0, 3.0], 2.5, (200, 6))
+        df = spark.createDataFrame(q.tolist(), "a double, b double, c double, x double, y double, z double")
+        start, to = tuple(F.col(c) for c in "abc"), tuple(F.col(c) for c in "xyz")
+        want = df.select(domain.inside(to).alias("i"), *[c.alias(f"k{n}") for n, c in enumerate(domain.clip(start, to))]).toPandas()
+        mine = branching.Within(domain)
+        assert (mine.inside(q[:, 3:]) == want["i"].to_numpy()).all()
+        assert np.allclose(mine.clipped(q[:, :3], q[:, 3:]), want[["k0", "k1", "k2"]].to_numpy(), atol=1e-6)
 
 
 def test_geometry_keeps_lengths_and_joins(chain):
