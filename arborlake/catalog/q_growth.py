@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from arborlake.catalog.bed import FOREST_SQL, POINTS_SQL, TWIGS_SQL, forest, points, sig, sig_sql, table, twigs, with_sql
 from arborlake.catalog.q_stats import ORD_SQL, PRM, RATE, ranked
 from arborlake.catalog.q_trees import CLOSURE_SQL, DEPTH_SQL, KIDS_SQL
-from arborlake.functions import domains, draws, flow, morphometry
+from arborlake.functions import domains, draws, flow, geometry as g, morphometry
 from arborlake.functions.vectors import triple
 from arborlake.operators import growth, stats, synth, territory, trees
 
@@ -65,10 +65,37 @@ def hops(spark, sf):
     return near.groupBy("tree", "start").agg(F.count("*").alias("n"), F.max("hops").alias("farthest"))
 
 
-@register("junction_geometry")
+#: Bends and turns of daughters (the two-way form as in the angles of a junction), then every row from its parent's end.
+TURNS = f"""sib AS (SELECT tree, id, parent_id, px, py, pz, dx - px AS vx, dy - py AS vy, dz - pz AS vz, row_number() OVER w AS slot, count(*) OVER q AS n,
+  first_value(radius_mm) OVER q2 AS r1, nth_value(radius_mm, 2) OVER q2 AS r2, nth_value(radius_mm, 3) OVER q2 AS r3 FROM seg
+  WINDOW w AS (PARTITION BY tree, parent_id ORDER BY id), q AS (PARTITION BY tree, parent_id), q2 AS (PARTITION BY tree, parent_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+rat AS (SELECT *, CASE WHEN greatest(r1, r2) <= 0 THEN 0 ELSE least(r1, r2) / greatest(r1, r2) END AS rho, CASE WHEN slot = 1 THEN r1 >= r2 ELSE r1 < r2 END AS large FROM sib),
+par AS (SELECT *, CASE WHEN rho < 0.83 THEN 1.0 ELSE pow(1 + pow(rho, {GAMMA!r}), {1 / GAMMA!r}) END AS rp FROM rat),
+ben AS (SELECT *, least(least(acos(least(greatest((pow(rp,4)+1-pow(rho,4))/(2*rp*rp),-1.0),1.0)), 1.31), CASE WHEN rho < 0.83 THEN 0.1 ELSE 9 END) AS big,
+  least(acos(CASE WHEN 2*rp*rp*rho*rho > 1e-30 THEN least(greatest((pow(rp,4)+pow(rho,4)-1)/(2*rp*rp*rho*rho),-1.0),1.0) ELSE 0.0 END), 1.31) AS little FROM par),
+trn AS (SELECT *, CASE n WHEN 2 THEN CASE WHEN large THEN big ELSE little END
+    WHEN 3 THEN {g.THREE_WAY_BUDGET!r} * (1 / (CASE slot WHEN 1 THEN r1 WHEN 2 THEN r2 ELSE r3 END + 1e-20)) / (1 / (r1 + 1e-20) + 1 / (r2 + 1e-20) + 1 / (r3 + 1e-20)) END AS bend,
+  CASE n WHEN 2 THEN CASE WHEN large THEN 0.0 ELSE pi() END ELSE (slot - 1) * 2 * pi() / 3 END AS turn FROM ben),
+plc AS (SELECT tree, id, px AS sx, py AS sy, pz AS sz, px + vx AS ex, py + vy AS ey, pz + vz AS ez FROM trn WHERE parent_id = -1
+  UNION ALL SELECT tree, id, sx, sy, sz,
+    CASE WHEN still THEN sx + vx ELSE sx + len * (ux * cos(bend) + (qx * cos(turn) + (uy*qz - uz*qy) * sin(turn)) * sin(bend)) END,
+    CASE WHEN still THEN sy + vy ELSE sy + len * (uy * cos(bend) + (qy * cos(turn) + (uz*qx - ux*qz) * sin(turn)) * sin(bend)) END,
+    CASE WHEN still THEN sz + vz ELSE sz + len * (uz * cos(bend) + (qz * cos(turn) + (ux*qy - uy*qx) * sin(turn)) * sin(bend)) END
+  FROM (SELECT *, cx / sqrt(cx*cx+cy*cy+cz*cz) AS qx, cy / sqrt(cx*cx+cy*cy+cz*cz) AS qy, cz / sqrt(cx*cx+cy*cy+cz*cz) AS qz
+  FROM (SELECT *, CASE weak WHEN 'x' THEN 0.0 WHEN 'y' THEN -uz ELSE uy END AS cx, CASE weak WHEN 'x' THEN uz WHEN 'y' THEN 0.0 ELSE -ux END AS cy,
+    CASE weak WHEN 'x' THEN -uy WHEN 'y' THEN ux ELSE 0.0 END AS cz
+  FROM (SELECT *, CASE WHEN abs(ux) <= abs(uy) AND abs(ux) <= abs(uz) THEN 'x' WHEN abs(uy) <= abs(uz) THEN 'y' ELSE 'z' END AS weak
+  FROM (SELECT *, ax / al AS ux, ay / al AS uy, az / al AS uz, bend IS NULL OR NOT al > 0 AS still
+  FROM (SELECT c.tree, c.id, c.bend, c.turn, c.vx, c.vy, c.vz, sqrt(c.vx*c.vx+c.vy*c.vy+c.vz*c.vz) AS len, p.ex AS sx, p.ey AS sy, p.ez AS sz,
+    p.ex - p.sx AS ax, p.ey - p.sy AS ay, p.ez - p.sz AS az, sqrt(pow(p.ex-p.sx,2)+pow(p.ey-p.sy,2)+pow(p.ez-p.sz,2)) AS al
+  FROM plc p JOIN trn c ON c.tree = p.tree AND c.parent_id = p.id))))))"""
+
+
+@register("junction_geometry", with_sql(FOREST_SQL, TURNS, recursive=True, body="""
+SELECT tree, id, round(ex, 5) + 0.0 AS dx, round(ey, 5) + 0.0 AS dy, round(ez, 5) + 0.0 AS dz, round(sqrt(pow(ex-sx,2)+pow(ey-sy,2)+pow(ez-sz,2)), 5) AS length_mm FROM plc"""))
 def junction_geometry(spark, sf):
     out = growth.junction_geometry(forest(spark, sf), GAMMA)
-    return out.select("tree", "id", *[F.round(c, 5).alias(c) for c in ("dx", "dy", "dz", "length_mm")])
+    return out.select("tree", "id", *[(F.round(c, 5) + 0.0).alias(c) for c in ("dx", "dy", "dz", "length_mm")])
 
 
 @register("ends_pulled_into_domain", with_sql(FOREST_SQL, DEPTH_SQL, """

@@ -9,6 +9,7 @@ from arborlake.functions.vectors import cross, norm, perpendicular, sub, triple
 from arborlake.operators import trees
 from arborlake.plans.cut import cut, cut_counted
 from arborlake.plans.hierarchy import Fold, path_fold
+from arborlake.plans.runs import by_level, single_runs
 
 
 def scaled_prefix(segs: DataFrame, n_fixed: int, root_diameter_um: Column) -> DataFrame:
@@ -122,52 +123,59 @@ def valid_child_radii(segs: DataFrame, params: DataFrame, rates: DataFrame, gamm
 def junction_geometry(segs: DataFrame, gamma: float, rho_th: float = g.RHO_TH) -> DataFrame:
     """Segments with daughters turned to the angles of their junction, top down, lengths kept.
 
-    Each level of all trees is placed from the ends and directions of the level
-    above; rows of a level are read from a table cut by depth.  A single child
-    keeps its direction and follows its parent's end.
+    A single child keeps its direction and follows its parent's end, so a run of them is one rigid body that hangs on
+    its first row: only first rows are placed level by level, from the end and the last direction of the run above.
     """
     slotted = trees.with_child_slot(segs.drop("child_slot"))
     w = Window.partitionBy("tree", "parent_id")
     sibs = slotted.withColumns({
         "_n": F.count("*").over(w), "_r": F.array_sort(F.collect_list(F.struct("child_slot", "radius_mm")).over(w))["radius_mm"]})
-    levels = sibs.join(trees.depths(segs), ["tree", "id"])
-    table, tally = cut_counted(levels, "levels", deepest=F.coalesce(F.max("depth"), F.lit(-1)))
-    d, p = triple("dx", "dy", "dz"), triple("px", "py", "pz")
-    keep = ["tree", "id", "px", "py", "pz", "dx", "dy", "dz"]
-    out = above = cut(table.where("depth = 0").select(*keep), "placed")
-    for level in range(1, tally["deepest"] + 1):
-        up = above.select("tree", F.col("id").alias("parent_id"), *[F.col(c).alias(f"u{c}") for c in keep[2:]])
-        met = table.where(F.col("depth") == level).join(up, ["tree", "parent_id"])
-        axis = sub(triple("udx", "udy", "udz"), triple("upx", "upy", "upz"))
-        met = met.withColumns({**{f"_a{c}": v for c, v in zip("xyz", axis)}, "_al": norm(axis), "_len": g.segment_length(p, d)})
-        unit = tuple(F.col(f"_a{c}") / F.col("_al") for c in "xyz")
-        met = met.withColumns({f"_u{c}": v for c, v in zip("xyz", unit)})
-        u = triple("_ux", "_uy", "_uz")
-        met = met.withColumns({f"_p{c}": v for c, v in zip("xyz", perpendicular(u))})
-        perp = triple("_px", "_py", "_pz")
-        perp2 = cross(u, perp)
-        r = [F.get("_r", F.lit(i)) for i in range(3)]
-        first_large = r[0] >= r[1]
-        rho = g.radius_ratio(F.least(r[0], r[1]), F.greatest(r[0], r[1]))
-        big, little = g.junction_angles(rho, gamma, rho_th)
-        is_large = F.when(F.col("child_slot") == 1, first_large).otherwise(~first_large)
-        three = g.three_way_angles(r)
-        slot3 = F.when(F.col("child_slot") == 1, three[0]).when(F.col("child_slot") == 2, three[1]).otherwise(three[2])
-        met = met.withColumns({
-            "_angle": F.when(F.col("_n") == 2, F.when(is_large, big).otherwise(little)).when(F.col("_n") == 3, slot3),
-            "_turn": F.when(F.col("_n") == 2, F.when(is_large, 0.0).otherwise(math.pi)).otherwise((F.col("child_slot") - 1) * (2 * math.pi / 3)),
-        })
-        ca, sa = F.cos("_angle"), F.sin("_angle")
-        ct, st = F.cos("_turn"), F.sin("_turn")
-        still = F.col("_angle").isNull() | ~(F.col("_al") > 0)
-        start = triple("udx", "udy", "udz")
-        own = sub(d, p)
-        way = tuple(F.when(still, o).otherwise((a * ca + (b * ct + c * st) * sa) * F.col("_len")) for o, a, b, c in zip(own, u, perp, perp2))
-        above = cut(met.select("tree", "id", *[F.col(f"ud{c}").alias(f"p{c}") for c in "xyz"],
-                               *[(s + v).alias(f"d{c}") for s, v, c in zip(start, way, "xyz")]), "placed")
-        out = out.unionByName(above)
+    r = [F.get("_r", F.lit(i)) for i in range(3)]
+    first_large = r[0] >= r[1]
+    big, little = g.junction_angles(g.radius_ratio(F.least(r[0], r[1]), F.greatest(r[0], r[1])), gamma, rho_th)
+    is_large = F.when(F.col("child_slot") == 1, first_large).otherwise(~first_large)
+    three = g.three_way_angles(r)
+    slot3 = F.when(F.col("child_slot") == 1, three[0]).when(F.col("child_slot") == 2, three[1]).otherwise(three[2])
+    p, d = triple("px", "py", "pz"), triple("dx", "dy", "dz")
+    held = ["px", "py", "pz", "_vx", "_vy", "_vz", "_angle", "_turn"]
+    turned = sibs.withColumns({
+        "_angle": F.when(F.col("_n") == 2, F.when(is_large, big).otherwise(little)).when(F.col("_n") == 3, slot3),
+        "_turn": F.when(F.col("_n") == 2, F.when(is_large, 0.0).otherwise(math.pi)).otherwise((F.col("child_slot") - 1) * (2 * math.pi / 3)),
+        **{f"_v{c}": v for c, v in zip("xyz", sub(d, p))}})
+    rows, levels = single_runs(turned, held, longest=1 << 62, sums={f"_o{c}": F.col(f"_v{c}") for c in "xyz"})
+    last = rows.groupBy("tree", "run").agg(
+        F.max_by(F.struct(*[F.when(F.col("pos") > 1, F.col(f"_v{c}")).alias(c) for c in "xyz"]), "pos").alias("_last"), F.max_by(F.struct("_ox", "_oy", "_oz"), "pos").alias("_off"))
+    table = by_level(rows.where("pos = 1").select("tree", "run", "up_run", "level", *held).join(last, ["tree", "run"]))
+    own = triple("_vx", "_vy", "_vz")
+    out = above = None
+    for level in range(levels):
+        met = table.where(F.col("level") == level)
+        if above is None:
+            met, start, way = met, p, own
+        else:
+            met = met.join(above, ["tree", "up_run"])
+            met = met.withColumns({"_al": norm(triple("_ax", "_ay", "_az")), "_len": norm(own)})
+            met = met.withColumns({f"_u{c}": F.col(f"_a{c}") / F.col("_al") for c in "xyz"})
+            u = triple("_ux", "_uy", "_uz")
+            met = met.withColumns({f"_p{c}": v for c, v in zip("xyz", perpendicular(u))})
+            perp = triple("_px", "_py", "_pz")
+            ca, sa, ct, st = F.cos("_angle"), F.sin("_angle"), F.cos("_turn"), F.sin("_turn")
+            still = F.col("_angle").isNull() | ~(F.col("_al") > 0)
+            way = tuple(F.when(still, o).otherwise((a * ca + (b * ct + c * st) * sa) * F.col("_len")) for o, a, b, c in zip(own, u, perp, cross(u, perp)))
+            start = triple("_ex", "_ey", "_ez")
+        done = cut(met.select("tree", "run", "_last", "_off", *[s.alias(f"_s{c}") for c, s in zip("xyz", start)], *[v.alias(f"_w{c}") for c, v in zip("xyz", way)]), "placed")
+        above = done.select("tree", F.col("run").alias("up_run"), *[F.coalesce(F.col(f"_last.{c}"), F.col(f"_w{c}")).alias(f"_a{c}") for c in "xyz"],
+                            *[(F.col(f"_s{c}") + F.col(f"_w{c}") + F.col(f"_off._o{c}")).alias(f"_e{c}") for c in "xyz"])
+        part = done.drop("_last", "_off")
+        out = part if out is None else out.unionByName(part)
     rest = segs.drop("px", "py", "pz", "dx", "dy", "dz", "length_mm")
-    return rest.join(out, ["tree", "id"]).withColumn("length_mm", g.segment_length(triple("px", "py", "pz"), triple("dx", "dy", "dz")))
+    if out is None:
+        return segs.limit(0)
+    inner = F.col("pos") > 1
+    ends = rows.join(out, ["tree", "run"]).select(
+        "tree", "id", *[F.when(inner, F.col(f"_s{c}") + F.col(f"_w{c}") + F.col(f"_o{c}") - F.col(f"_v{c}")).otherwise(F.col(f"_s{c}")).alias(f"p{c}") for c in "xyz"],
+        *[(F.col(f"_s{c}") + F.col(f"_w{c}") + F.col(f"_o{c}")).alias(f"d{c}") for c in "xyz"])
+    return rest.join(ends, ["tree", "id"]).withColumn("length_mm", g.segment_length(p, d))
 
 
 def pulled_inside(segs: DataFrame, domain: domains.Domain, passes: int | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from arborlake.operators import trees
 from arborlake.plans.cut import cut
 from arborlake.plans.running import as_of
-from arborlake.plans.runs import single_runs
+from arborlake.plans.runs import by_level, single_runs
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -164,8 +164,8 @@ def delay_propagation(segs: DataFrame, tau: Column, inputs: DataFrame, dt: float
     if not missing.isEmpty():
         raise ValueError(f"no input curve for {[r[0] for r in missing.take(5)]}")
     rows, levels = single_runs(segs.withColumn("tau", tau.cast("double")), ["tau"])
-    pieces = cut(rows.groupBy("tree", "run", "piece", "up_run", "up_piece", "level").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "tau"))).alias("m")).select(
-        "tree", "run", "piece", "up_run", "up_piece", "level", F.col("m.id").alias("ids"), F.col("m.tau").alias("taus")), "pieces")
+    pieces = by_level(rows.groupBy("tree", "run", "piece", "up_run", "up_piece", "level").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "tau"))).alias("m")).select(
+        "tree", "run", "piece", "up_run", "up_piece", "level", F.col("m.id").alias("ids"), F.col("m.tau").alias("taus")))
     made = f"tree string, run long, piece int, id long, ends boolean, tau double, {', '.join(f'{c} array<double>' for c in _SERIES)}"
     out, above = None, None
     for level in range(levels):

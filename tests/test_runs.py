@@ -118,3 +118,73 @@ def test_a_long_chain_takes_few_more_jobs_than_a_short_one(spark, make):
 def test_delays_of_an_empty_forest(spark, make):
     inputs = spark.createDataFrame([("T", [1.0])], "tree string, curve array<double>")
     assert S.delay_propagation(chain_of(make, 3).limit(0), F.lit(1.0), inputs, 0.1).count() == 0
+
+
+def turned_walk(rows, gamma):
+    """Every row from its parent's end, one by one; ``rows`` are (id, parent, p, d, radius), parents first."""
+    from arborlake.functions import geometry as g
+
+    kids, placed = {}, {}
+    for i, parent, *_ in rows:
+        kids.setdefault(parent, []).append(i)
+    radius = {r[0]: r[4] for r in rows}
+
+    def bend(parent, own, other, flat):
+        den = 2 * parent**2 * own**2
+        c = min(max((parent**4 + own**4 - other**4) / den, -1), 1) if den > g.DEGENERATE_SQ else flat
+        return min(math.acos(c), g.ANGLE_CAP)
+
+    for i, parent, p, d, _ in rows:
+        own = np.subtract(d, p)
+        if parent < 0:
+            placed[i] = np.array(p), np.array(d)
+            continue
+        start, axis = placed[parent][1], placed[parent][1] - placed[parent][0]
+        sibs = sorted(kids[parent])
+        if len(sibs) == 1 or not np.linalg.norm(axis) > 0:
+            placed[i] = start, start + own
+            continue
+        r, slot = [radius[s] for s in sibs], sibs.index(i)
+        if len(sibs) == 2:
+            large = r[0] >= r[1] if slot == 0 else r[0] < r[1]
+            rho = min(r) / max(r)
+            if rho < g.RHO_TH:
+                angle = min(bend(1, 1, rho, 1.0), g.STRAIGHT_CAP) if large else bend(1, rho, 1, 0.0)
+            else:
+                whole = (1 + rho**gamma) ** (1 / gamma)
+                angle = bend(whole, 1, rho, 1.0) if large else bend(whole, rho, 1, 0.0)
+            turn = 0.0 if large else math.pi
+        else:
+            w = [1 / (x + 1e-20) for x in r]
+            angle, turn = g.THREE_WAY_BUDGET * w[slot] / sum(w), slot * 2 * math.pi / 3
+        u = axis / np.linalg.norm(axis)
+        e = np.zeros(3)
+        e[np.abs(u).argmin()] = 1
+        q = np.cross(u, e) / np.linalg.norm(np.cross(u, e))
+        way = u * math.cos(angle) + (q * math.cos(turn) + np.cross(u, q) * math.sin(turn)) * math.sin(angle)
+        placed[i] = start, start + way * np.linalg.norm(own)
+    return placed
+
+
+def test_rows_placed_along_runs_against_a_walk(spark, make):
+    r = random.Random(8)
+    kids, rows = {}, []
+    for i, parent in mixed_tree(150, 9):
+        while parent > 0 and kids.get(parent, 0) == 3:
+            parent = r.randint(1, i - 1)
+        kids[parent] = kids.get(parent, 0) + 1
+        rows.append((i, parent, [r.uniform(-5, 5) for _ in range(3)], [r.uniform(-5, 5) for _ in range(3)], r.uniform(0.1, 1)))
+    want = turned_walk(rows, 7 / 3)
+    segs = make([(i, parent, *p, *d, radius) for i, parent, p, d, radius in rows])
+    got = {x["id"]: x for x in growth.junction_geometry(segs, 7 / 3).collect()}
+    assert len(got) == len(rows) and {sum(v == k for v in kids.values()) > 0 for k in (1, 2, 3)} == {True}
+    for i, (start, end) in want.items():
+        assert np.allclose([got[i][c] for c in ("px", "py", "pz")], start, atol=1e-9) and np.allclose([got[i][c] for c in ("dx", "dy", "dz")], end, atol=1e-9)
+        assert got[i]["length_mm"] == pytest.approx(np.linalg.norm(end - start))
+
+
+def test_a_long_chain_is_placed_in_one_step(spark, make):
+    out, n = jobs_of(spark, lambda: growth.junction_geometry(chain_of(make, 3_000), 7 / 3))
+    short, few = jobs_of(spark, lambda: growth.junction_geometry(chain_of(make, 10), 7 / 3))
+    assert n - few <= 12 * math.log2(300)
+    assert out.where("abs(dx - id) > 1e-6").count() == 0 and out.count() == 3_000
