@@ -64,6 +64,8 @@ class Encoder:
         kinds[list(b" \t\n\x0b\f\r")] = 1
         kinds[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = 2
         kinds[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = 4
+        for t in added:  # punctuation of an added token may be inside it
+            kinds[[b for b in t["content"].encode() if kinds[b] == 4]] = 8
         self.kinds = kinds
         self._forget()
 
@@ -88,7 +90,7 @@ class Encoder:
         latin = np.zeros(len(data), bool)  # second bytes of the letters U+00C0 to U+00FF
         latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
         letter = (kind == 2) | latin
-        sure = letter | (kind == 4) | ((data >= 0x30) & (data < 0x3A))
+        sure = letter | (kind >= 4) | ((data >= 0x30) & (data < 0x3A))
         cut_at[1:] = (kind[1:] == 1) & sure[:-1] | (kind[1:] == 4) & letter[:-1]
         first = offsets[:-1][np.diff(offsets) > 0]
         cut_at[first] = True
@@ -210,7 +212,7 @@ def windows(pieces: DataFrame, length: int = LENGTH, pad: int = 0) -> DataFrame:
     ends = runs.where(F.col("length") < length).groupBy("sequence_id").agg(
         F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"), F.sum("length").alias("used"))
     joined = ends.select("sequence_id", F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"])).alias("ids"), "used")
-    fill = F.when((F.col("used") & (F.col("used") - 1)) == 0, F.lit(0)).otherwise(length - F.col("used")).cast("int")
+    fill = F.when(F.col("used").bitwiseAND(F.col("used") - 1) == 0, F.lit(0)).otherwise(length - F.col("used")).cast("int")
     padding = F.unhex(F.expr(f"repeat('{pad.to_bytes(4, 'little').hex()}', _fill)"))
     return whole.unionByName(joined.withColumn("_fill", fill).withColumn("ids", F.concat("ids", padding)).drop("_fill"))
 
