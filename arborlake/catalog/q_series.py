@@ -72,12 +72,11 @@ def chain_merge(spark, sf):
 
 @register("line_joints", with_sql(LINES_SQL, """
 cn AS (SELECT DISTINCT line AS child, line // 2 AS parent FROM ln WHERE line > 0 AND line // 2 IN (SELECT line FROM ln)),
-pp AS (SELECT cn.parent, cn.child, p.pos AS pi, c.pos AS ci, pow(p.x-c.x,2)+pow(p.y-c.y,2)+pow(p.z-c.z,2) AS d2 FROM cn JOIN ln p ON p.line = cn.parent JOIN ln c ON c.line = cn.child),
-bp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parent, child ORDER BY d2, pi, ci) AS rn, max(pi) OVER (PARTITION BY parent) AS n FROM pp) WHERE rn = 1),
-ep AS (SELECT b.parent, b.child, b.n, p.ci AS eci, p.d2 AS ed2, row_number() OVER (PARTITION BY b.parent, b.child ORDER BY p.d2, p.ci) AS rn FROM bp b JOIN pp p
-  ON p.parent = b.parent AND p.child = b.child AND p.pi = b.n WHERE b.n - b.pi <= 2),
-jj AS (SELECT b.*, e.eci, sqrt(e.ed2) AS eg, coalesce(sqrt(e.ed2) <= sqrt(b.d2) + 1.0, false) AS snap FROM bp b LEFT JOIN ep e ON e.parent = b.parent AND e.child = b.child AND e.rn = 1)""", body="""
-SELECT parent, child, CASE WHEN snap THEN n ELSE pi END AS parent_index, CASE WHEN snap THEN eci ELSE ci END AS child_index, round(CASE WHEN snap THEN eg ELSE sqrt(d2) END, 6) AS gap_mm FROM jj"""))
+bp AS (SELECT cn.parent, cn.child, min({'d2': pow(p.x-c.x,2)+pow(p.y-c.y,2)+pow(p.z-c.z,2), 'pi': p.pos, 'ci': c.pos}) AS m FROM cn JOIN ln p ON p.line = cn.parent JOIN ln c ON c.line = cn.child GROUP BY 1, 2),
+nd AS (SELECT line, max(pos) AS n, arg_max(x, pos) AS x, arg_max(y, pos) AS y, arg_max(z, pos) AS z FROM ln GROUP BY 1),
+ep AS (SELECT cn.parent, cn.child, any_value(e.n) AS n, min({'d2': pow(e.x-c.x,2)+pow(e.y-c.y,2)+pow(e.z-c.z,2), 'ci': c.pos}) AS e FROM cn JOIN nd e ON e.line = cn.parent JOIN ln c ON c.line = cn.child GROUP BY 1, 2),
+jj AS (SELECT b.parent, b.child, n, m, e, n - m.pi <= 2 AND sqrt(e.d2) <= sqrt(m.d2) + 1.0 AS snap FROM bp b JOIN ep ON ep.parent = b.parent AND ep.child = b.child)""", body="""
+SELECT parent, child, CASE WHEN snap THEN n ELSE m.pi END AS parent_index, CASE WHEN snap THEN e.ci ELSE m.ci END AS child_index, round(sqrt(CASE WHEN snap THEN e.d2 ELSE m.d2 END), 6) AS gap_mm FROM jj"""))
 def joints(spark, sf):
     pts = lines(spark, sf)
     have = pts.select("line").distinct()
@@ -124,10 +123,10 @@ def bounded(spark, sf):
 
 
 @register("delayed_history", with_sql(FOREST_SQL, TIMES, SERIES, """
-ps AS (SELECT *, (t - (0.013 + (id % 11) * 0.07) - 0.0) / 0.1 AS p FROM ser),
-lk AS (SELECT p.tree, p.id, p.t_idx, p.p, a.value AS va, b.value AS vb FROM ps p LEFT JOIN ser a ON a.tree = p.tree AND a.id = p.id AND a.t_idx = floor(p.p)
-  LEFT JOIN ser b ON b.tree = p.tree AND b.id = p.id AND b.t_idx = least(ceil(p.p), p.t_idx))""", body=f"""
-SELECT tree, id, t_idx, {sig_sql('CASE WHEN p < 0 THEN 0 ELSE (1-(p-floor(p)))*va + (p-floor(p))*vb END', 6)} AS delayed FROM lk"""))
+hs AS (SELECT tree, id, list(value ORDER BY t_idx) AS v FROM ser GROUP BY 1, 2),
+ps AS (SELECT hs.tree, hs.id, t_idx, v, (t - (0.013 + (id % 11) * 0.07) - 0.0) / 0.1 AS p FROM hs, (SELECT t_idx, CAST(t AS DOUBLE) AS t FROM tm) x),
+ix AS (SELECT *, CAST(floor(p) AS INTEGER) AS lo, least(CAST(ceil(p) AS INTEGER), t_idx) AS hi FROM ps)""", body=f"""
+SELECT tree, id, t_idx, {sig_sql('CASE WHEN p < 0 THEN 0 ELSE (1-(p-floor(p)))*v[lo+1] + (p-floor(p))*v[hi+1] END', 6)} AS delayed FROM ix"""))
 def delayed(spark, sf):
     d = S.delayed(long_series(spark, sf), ["tree", "id"], 0.013 + (F.col("id") % 11) * 0.07, 0.0, 0.1)
     return d.select("tree", "id", "t_idx", sig(F.col("delayed"), 6).alias("delayed"))
