@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arborlake.plans.cut import cut, cut_counted
 from arborlake.plans.hierarchy import (
-    Fold, add, first, listed, path_fold, rise_series_parallel, rise_sum, roll_up, times,
+    Fold, add, first, listed, path_fold, rise_series_parallel, roll_sum, roll_up, times,
 )
 from arborlake.plans.lookup import lookup
 from arborlake.plans.running import SLICE, cumulative
@@ -115,7 +115,7 @@ def topological_order(segs: DataFrame) -> DataFrame:
 
 def subtree_sums(segs: DataFrame, sums: dict[str, Column]) -> DataFrame:
     """Sums of columns over every row and all rows below it."""
-    return roll_up(segs, ["tree"], "id", "parent_id", [rise_sum(n, c) for n, c in sums.items()]).drop("_order")
+    return roll_sum(segs, ["tree"], "id", "parent_id", sums)
 
 
 def _is_leaf(segs: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def power_radii(segs: DataFrame, gamma: float) -> DataFrame:
     """(tree, id, radius_mm): leaf radii stay, r^gamma of an inner row is the sum over its children."""
     leaf = _is_leaf(segs)
     own = F.when(F.col("is_terminal"), F.pow("radius_mm", gamma)).otherwise(F.lit(0.0))
-    rolled = roll_up(leaf, ["tree"], "id", "parent_id", [rise_sum("_rg", own)])
+    rolled = roll_sum(leaf, ["tree"], "id", "parent_id", {"_rg": own})
     return rolled.select("tree", "id", F.pow("_rg", 1 / gamma).alias("radius_mm"))
 
 

@@ -1,4 +1,4 @@
-"""Two builders for folds along parent pointers.
+"""Builders for folds along parent pointers.
 
 ``path_fold`` combines a value from the root down to every row by pointer
 doubling: round k joins every row with the row 2^k steps above it, so a chain
@@ -9,6 +9,10 @@ resolves all leaves of what is left and, with ``path_fold``, every run of rows
 with one open child that ends in such a leaf.  At most half of the branching
 rows survive a round, so the work is linear and the number of rounds is the
 largest stream order, however deep the tree is.
+
+``roll_sum`` is the form for plain sums.  After round k a row holds the sum over
+the rows less than 2^k below it and a pointer to the row 2^k above it, to which
+it hands that sum in the next round: one table a round, log2(depth) rounds.
 """
 
 import math
@@ -118,13 +122,6 @@ class Rise:
     chain: Callable[[Column, Column], tuple[Column, Column, Column]]
 
 
-def rise_sum(name: str, own: Column) -> Rise:
-    """Own value plus the values of all children."""
-    return Rise(
-        name, own, lambda x: x, lambda own, g: own + g, lambda own, g: (F.lit(1.0), own + g, F.lit(0.0))
-    )
-
-
 def rise_series_parallel(name: str, own: Column) -> Rise:
     """Own resistance in series with the children in parallel."""
     return Rise(
@@ -245,3 +242,27 @@ def roll_up(
         discard(rest, staged)
         rest = after
     return _union(resolved).drop("_parent")
+
+
+def roll_sum(df: DataFrame, scope: list[str], id_col: str, parent: str, sums: dict[str, Column]) -> DataFrame:
+    """(scope, id, sums): each column summed up over a row and all rows below it; rows on a cycle drop out."""
+    keys = [*scope, id_col]
+    start = df.select(*keys, F.col(parent).alias("_up"), *[c.cast("double").alias(n) for n, c in sums.items()])
+    state, tally = cut_counted(start, "sums", going=F.count("_up"), rows=F.count(F.lit(1)))
+    for _ in range(_max_rounds(tally["rows"])):
+        if not tally["going"]:
+            return state.select(*keys, *sums)
+        going = state.where(F.col("_up").isNotNull())
+        handed = going.groupBy(*scope, F.col("_up").alias(id_col)).agg(*[F.sum(n).alias(f"_in_{n}") for n in sums])
+        above = going.select(*scope, F.col(id_col).alias("_at"), F.col("_up").alias("_next"))
+        # Rows that have arrived look up places that nobody has, so they do not meet in one task.
+        asked = state.withColumn("_at", F.coalesce("_up", -1 - F.abs(F.xxhash64(id_col) / 2).cast("long")))
+        met = asked.join(above, [*scope, "_at"], "left").join(handed, keys, "left")
+        stepped, tally = cut_counted(met.select(
+            *keys, F.when(F.col("_up").isNotNull(), F.col("_next")).alias("_up"),
+            *[(F.col(n) + F.coalesce(F.col(f"_in_{n}"), F.lit(0.0))).alias(n) for n in sums]), "sums", going=F.count("_up"), rows=F.count(F.lit(1)))
+        discard(state)
+        state = stepped
+    # Every pointer that is left stands on a cycle, and the pointers of its rows stand on all of them.
+    looped = state.where(F.col("_up").isNotNull()).select(*scope, F.col("_up").alias(id_col)).distinct()
+    return state.join(looped, keys, "left_anti").select(*keys, *sums)

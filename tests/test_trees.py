@@ -75,6 +75,18 @@ def test_roll_ups_match_a_loop(make, deep):
     assert by_id(trees.depths(segs), "depth") == depth
 
 
+def test_sums_below_cycles_orphans_and_a_hot_row(make):
+    """Rows on a cycle drop out, what hangs on them does not; half of all rows hang on one row; a chain of 400 rows."""
+    nowhere = [0.0] * 6
+    rows = [(1, -1, *nowhere, 1.0), (2, 1, *nowhere, 1.0), (3, 77_777, *nowhere, 1.0), (4, 5, *nowhere, 1.0), (5, 6, *nowhere, 1.0), (6, 4, *nowhere, 1.0)]
+    rows += [(7, 4, *nowhere, 1.0), (8, 7, *nowhere, 1.0), (9, 3, *nowhere, 1.0)]
+    rows += [(i, 2, *nowhere, 1.0) for i in range(100, 900)] + [(1000, 150, *nowhere, 1.0)] + [(i, i - 1, *nowhere, 1.0) for i in range(1001, 1400)]
+    got = by_id(trees.subtree_sums(make(rows), {"n": F.lit(1.0), "twice": F.lit(2.0)}), "n")
+    want = {1: 1202, 2: 1201, 3: 2, 7: 2, 8: 1, 9: 1, 150: 401} | {i: 1 for i in range(100, 900) if i != 150} | {i: 1400 - i for i in range(1000, 1400)}
+    assert got == want
+    assert trees.subtree_sums(make(rows).limit(0), {"n": F.lit(1.0)}).count() == 0
+
+
 def test_orphans_and_cycles_do_not_appear(make):
     segs = make([(1, -1, *[0.0] * 6, 1.0), (2, 1, *[0.0] * 6, 1.0), (3, 9, *[0.0] * 6, 1.0), (4, 5, *[0.0] * 6, 1.0), (5, 4, *[0.0] * 6, 1.0)])
     assert by_id(trees.depths(segs), "depth") == {1: 0, 2: 1}
