@@ -10,6 +10,7 @@ from arborlake.functions.vectors import cross, dot, norm, sub, triple
 from arborlake.operators import filters
 from arborlake.plans.cut import cut
 from arborlake.plans.lookup import lookup
+from arborlake.plans.running import first_rows
 
 DELTA = 1e-4  # step of the finite difference for normals
 
@@ -156,7 +157,7 @@ def interior_points(samples: DataFrame, outer: str, cavities: list[str], target:
     drawn = synth.box_points(samples.sparkSession, low, high, max_draws, seed).withColumnRenamed("sample", "qid")
     judged = cut(drawn.join(spatial.shell_distance(drawn, samples, outer, cavities).select("qid", "shell_sd"), "qid"), "judged")
     volume = math.prod(h - l for l, h in zip(low, high)) * judged.agg(F.avg((F.col("shell_sd") <= 0).cast("double"))).scalar()
-    return judged.where("shell_sd <= 0").orderBy("qid").limit(target), volume
+    return first_rows(cut(judged.where("shell_sd <= 0"), "kept"), "qid", target), volume
 
 
 def tube_nets(segs: DataFrame, ring: int = 8, prefix: str = "grown") -> tuple[DataFrame, DataFrame, DataFrame]:

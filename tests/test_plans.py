@@ -30,6 +30,21 @@ def test_cumulative_in_slices(spark, all_ranges):
     assert c.agg(F.max("upto"), F.count_distinct("upto")).first()[:] == (3000, 3000)
 
 
+@pytest.mark.parametrize("ranges", [4096, 3])
+def test_first_rows_are_those_of_the_sort_without_a_sort(spark, ranges):
+    from arborlake.plans.cut import cut
+
+    df = spark.range(3000).select((F.col("id") * 7919 % 3001 * (F.col("id") % 5 + 1) * 1_000_003 - 2_000_000_000).alias("k")).distinct()
+    table = cut(df.unionByName(spark.createDataFrame([(None,)], "k long")), "t")
+    keys = sorted(r["k"] for r in df.collect())
+    for n in (0, 1, 17, 1500, len(keys) - 1, len(keys), len(keys) + 5):
+        got = running.first_rows(table, "k", n, ranges)
+        assert sorted(r["k"] for r in got.collect()) == keys[:n]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan and "Sort" not in plan and "TakeOrdered" not in plan
+    assert running.first_rows(table.limit(0), "k", 3).count() == 0
+
+
 @pytest.fixture
 def all_ranges(spark):
     """No small ranges are put together at run time."""
