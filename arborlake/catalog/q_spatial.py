@@ -53,18 +53,18 @@ def in_range(spark, sf):
 def clouds(spark, sf):
     """Two sampled spheres: an outer wall and a cavity, with outward normals."""
     o = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 3).alias("t"), F.col("o_totalprice").alias("v"))
+        F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 2).alias("t"), F.col("o_totalprice").alias("v"))
     z = (F.col("v") % 1000) / 500 - 1
     a = F.col("v") / 7
     ring = F.sqrt(F.greatest(1 - z * z, F.lit(0.0)))
-    o = o.where("t < 2").withColumns({"nx": ring * F.cos(a), "ny": ring * F.sin(a), "nz": z})
+    o = o.withColumns({"nx": ring * F.cos(a), "ny": ring * F.sin(a), "nz": z})
     r = F.when(F.col("t") == 0, 45.0).otherwise(20.0)
     return o.select(F.when(F.col("t") == 0, "outer").otherwise("cavity").alias("surface"), "id",
                     *[(50 + r * F.col(f"n{c}")).alias(c) for c in "xyz"], "nx", "ny", "nz")
 
 
-CLOUD_SQL = """cl0 AS (SELECT o_orderkey AS id, o_orderkey % 3 AS t, (o_totalprice % 1000) / 500 - 1 AS nz, o_totalprice / 7 AS a
-  FROM orders WHERE o_orderkey % 3 < 2),
+CLOUD_SQL = """cl0 AS (SELECT o_orderkey AS id, o_orderkey % 2 AS t, (o_totalprice % 1000) / 500 - 1 AS nz, o_totalprice / 7 AS a
+  FROM orders),
 cl1 AS (SELECT *, sqrt(greatest(1 - nz*nz, 0.0)) * cos(a) AS nx, sqrt(greatest(1 - nz*nz, 0.0)) * sin(a) AS ny,
   CASE t WHEN 0 THEN 45.0 ELSE 20.0 END AS r FROM cl0),
 cloud AS (SELECT CASE t WHEN 0 THEN 'outer' ELSE 'cavity' END AS surface, id, 50 + r*nx AS x, 50 + r*ny AS y, 50 + r*nz AS z,
@@ -102,11 +102,23 @@ def shell_projection(spark, sf):
     return out.select("qid", *[F.round(c, 5).alias(c) for c in "xyz"])
 
 
-@register("surface_projection_repeated")
+def _turns(repeats=3):
+    """Each turn: the nearest sample of every place, then the place moved back along its normal if it lies outside."""
+    out = ["p0 AS (SELECT qid, surface, x, y, z FROM pt, (VALUES ('outer'), ('cavity')) s(surface))"]
+    for turn in range(repeats + 1):
+        push = "off" if turn == 0 else "(off + 1e-6)"
+        out.append(f"""n{turn} AS (SELECT p.qid, p.surface, any_value(p.x) AS x, any_value(p.y) AS y, any_value(p.z) AS z,
+  min({{'d2': (p.x-c.x)*(p.x-c.x) + (p.y-c.y)*(p.y-c.y) + (p.z-c.z)*(p.z-c.z), 'id': c.id, 'nx': c.nx, 'ny': c.ny, 'nz': c.nz, 'off': (p.x-c.x)*c.nx + (p.y-c.y)*c.ny + (p.z-c.z)*c.nz}}) AS m
+  FROM p{turn} p JOIN cloud c ON c.surface = p.surface GROUP BY 1, 2)""")
+        out.append(f"p{turn + 1} AS (SELECT qid, surface, {', '.join(f'CASE WHEN off > 0 THEN {a} - {push} * m.n{a} ELSE {a} END AS {a}' for a in 'xyz')} FROM (SELECT *, m.off AS off FROM n{turn}))")
+    return out
+
+
+@register("surface_projection_repeated", with_sql(POINTS_SQL, CLOUD_SQL, *_turns(), body="SELECT qid, surface, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z FROM p4"))
 def surface_projection(spark, sf):
-    asked = points(spark, sf).withColumn("surface", F.lit("cavity"))
+    asked = points(spark, sf).withColumn("surface", F.explode(F.array(F.lit("outer"), F.lit("cavity"))))
     out = spatial.project_to_surface(asked, clouds(spark, sf))
-    return out.select("qid", *[F.round(c, 5).alias(c) for c in "xyz"])
+    return out.select("qid", "surface", *[F.round(c, 5).alias(c) for c in "xyz"])
 
 
 @register("nearest_tree_of_point", with_sql(TWIGS_SQL, POINTS_SQL, f"""

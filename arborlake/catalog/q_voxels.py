@@ -126,21 +126,22 @@ SELECT f.t_idx, l.i, l.j, l.k, CAST(coalesce(c.label, l.label) AS INTEGER) AS la
 LEFT JOIN chg c ON c.t_idx = f.t_idx AND c.i = l.i AND c.j = l.j AND c.k = l.k"""))
 def time_frames(spark, sf):
     frames = frame_series(spark, sf).select("t_idx").distinct()
-    return V.overwritten(label_volume(spark, sf).drop("price"), frames, changed(spark, sf)).select("t_idx", "i", "j", "k", "label")
+    store = V.store_frames(label_volume(spark, sf).drop("price"), changed(spark, sf))
+    return V.read_frames(store, frames).select("t_idx", "i", "j", "k", "label")
 
 
-@register("label_box", with_sql(LABEL_SQL, body="SELECT min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1, min(k) AS k0, max(k) AS k1 FROM lab WHERE label IN (2) AND i > 3 AND j < 20"))
+@register("label_box", with_sql(LABEL_SQL, body="SELECT min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1, min(k) AS k0, max(k) AS k1 FROM lab WHERE label IN (2)"))
 def label_box(spark, sf):
-    return V.label_box(label_volume(spark, sf).where("i > 3 AND j < 20"), [2])
+    return V.label_box(label_volume(spark, sf), [2])
 
 
 @register("grid_origin_from_two_labels", with_sql(LABEL_SQL, """
-a AS (SELECT (min(i)+max(i))/2 AS ci, (min(j)+max(j))/2 AS cj, (min(k)+max(k))/2 AS ck FROM lab WHERE label = 1 AND i > 3),
-b AS (SELECT (min(i)+max(i))/2 AS ci, (min(j)+max(j))/2 AS cj, (min(k)+max(k))/2 AS ck FROM lab WHERE label = 2 AND j > 5)""", body="""
+a AS (SELECT (min(i)+max(i))/2 AS ci, (min(j)+max(j))/2 AS cj, (min(k)+max(k))/2 AS ck FROM lab WHERE label = 1),
+b AS (SELECT (min(i)+max(i))/2 AS ci, (min(j)+max(j))/2 AS cj, (min(k)+max(k))/2 AS ck FROM lab WHERE label = 2)""", body="""
 SELECT ((10 - (a.ci-1)*2.0) + (11 - (b.ci-1)*2.0))/2 AS x0, ((20 - (a.cj-1)*2.0) + (21 - (b.cj-1)*2.0))/2 AS y0, ((30 - (a.ck-1)*3.0) + (31 - (b.ck-1)*3.0))/2 AS z0 FROM a, b"""))
 def grid_origin(spark, sf):
     lab = label_volume(spark, sf)
-    return V.estimated_origin(V.label_box(lab.where("i > 3"), [1]), (10.0, 20.0, 30.0), V.label_box(lab.where("j > 5"), [2]), (11.0, 21.0, 31.0), (2.0, 2.0, 3.0))
+    return V.estimated_origin(V.label_box(lab, [1]), (10.0, 20.0, 30.0), V.label_box(lab, [2]), (11.0, 21.0, 31.0), (2.0, 2.0, 3.0))
 
 
 @register("crop_to_labels", with_sql(LABEL_SQL, """

@@ -8,6 +8,7 @@ from arborlake.functions import geometry as g
 from arborlake.functions.vectors import Triple, dot, lit3, sub, triple
 from arborlake.operators.trees import hop_distance, recent_ancestors
 from arborlake.plans import boxes
+from arborlake.plans.cut import cut
 
 
 def start() -> Triple:
@@ -51,34 +52,38 @@ def segments_in_range(points: DataFrame, segs: DataFrame, radius: float) -> Data
     return out.withColumn("distance", F.sqrt("d_sq")).drop("d_sq")
 
 
-def nearest_surface_point(points: DataFrame, surfaces: DataFrame) -> DataFrame:
+def surface_index(surfaces: DataFrame) -> boxes.BoxIndex:
+    """Cells over the samples of every surface, for any number of searches."""
+    cloud = surfaces.select("surface", F.col("id").alias("sid"), F.col("x").alias("sx"), F.col("y").alias("sy"),
+                            F.col("z").alias("sz"), "nx", "ny", "nz")
+    s = triple("sx", "sy", "sz")
+    return boxes.build(cloud, s, s, ["surface"])
+
+
+def nearest_surface_point(points: DataFrame, surfaces: DataFrame | boxes.BoxIndex) -> DataFrame:
     """Nearest sample of each surface and the signed offset along its normal (<= 0 is inside).
 
     ``points`` has (qid, surface, x, y, z): one row per point and surface asked for.
     """
-    cloud = surfaces.select("surface", F.col("id").alias("sid"), F.col("x").alias("sx"), F.col("y").alias("sy"),
-                            F.col("z").alias("sz"), "nx", "ny", "nz")
-    s = triple("sx", "sy", "sz")
-    index = boxes.build(cloud, s, s, ["surface"])
-    away = sub(place(), s)
+    index = surfaces if isinstance(surfaces, boxes.BoxIndex) else surface_index(surfaces)
+    away = sub(place(), triple("sx", "sy", "sz"))
     out = boxes.k_nearest(points, ["qid", "surface"], place(), place(), index, 1, dot(away, away), ["sid"])
     return out.withColumn("offset", dot(away, triple("nx", "ny", "nz"))).drop("rank")
 
 
 def project_to_surface(points: DataFrame, surfaces: DataFrame, repeats: int = 3) -> DataFrame:
-    """Outside points moved back along the normal of their nearest sample, repeated while still outside."""
-    start = points.select("qid", "surface", "x", "y", "z")
-    now, back = nearest_surface_point(start, surfaces), None
-    n = triple("nx", "ny", "nz")
-    moved = now
+    """Outside points moved back along the normal of their nearest sample, repeated while still outside.
+
+    The cells are built once; each turn is written, so that none replays the turns before it.
+    """
+    index = surface_index(surfaces)
+    back = points.select("qid", "surface", "x", "y", "z")
+    out = F.col("offset") > 0
     for turn in range(repeats + 1):
         push = F.col("offset") + (0.0 if turn == 0 else 1e-6)
-        out = F.col("offset") > 0
-        back = moved.select("qid", "surface", *[
-            F.when(out, q - push * v).otherwise(q).alias(a) for a, q, v in zip("xyz", place(), n)
-        ])
-        if turn < repeats:
-            moved = nearest_surface_point(back, surfaces)
+        back = cut(nearest_surface_point(back, index).select("qid", "surface", *[
+            F.when(out, q - push * v).otherwise(q).alias(a) for a, q, v in zip("xyz", place(), triple("nx", "ny", "nz"))
+        ]), "pushed")
     return back
 
 

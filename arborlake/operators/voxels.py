@@ -1,11 +1,12 @@
 """Voxel operators. Indices are 1-based with the first axis fastest."""
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arborlake.functions import flow
-from arborlake.plans.cut import cut, cut_counted
+from arborlake.plans.cut import cut, cut_counted, work_dir
 from arborlake.plans.lookup import lookup
 
 IJK = ["i", "j", "k"]
@@ -131,11 +132,46 @@ def dynamic_classes(covered: DataFrame, labels: DataFrame, materials: DataFrame,
     return hosted.join(named.select(*by, *keys, "label"), [*by, *keys])
 
 
-def overwritten(labels: DataFrame, frames: DataFrame, changed: DataFrame, by: str = "t_idx") -> DataFrame:
-    """Label volume of every frame: the base label, replaced where a voxel changed."""
-    base = labels.withColumn(by, F.explode(F.array(*[F.lit(r[0]) for r in frames.select(by).distinct().orderBy(by).collect()])))
+@dataclass(frozen=True)
+class FrameStore:
+    """Labelled time frames as one base volume and the voxels that differ from it, by frame."""
+
+    base: DataFrame
+    changes: DataFrame
+    by: str = "t_idx"
+
+
+def store_frames(labels: DataFrame, changed: DataFrame, by: str = "t_idx", folder: str | None = None) -> FrameStore:
+    """Writes the base once, in order of its slices, and the changes of each frame into a folder of its own."""
+    spark = labels.sparkSession
+    place = folder or f"{work_dir(spark)}/frames-{uuid.uuid4().hex}"
+    labels.repartitionByRange("k", "j", "i").sortWithinPartitions("k", "j", "i").write.parquet(f"{place}/base")
     new = changed.select(by, *IJK, F.col("label").alias("_new"))
-    return base.join(new, [by, *IJK], "left").withColumn("label", F.coalesce("_new", "label")).drop("_new")
+    new.repartitionByRange(by, "k", "j", "i").sortWithinPartitions(by, "k", "j", "i").write.partitionBy(by).parquet(f"{place}/changes")
+    kind = new.schema[by].dataType
+    changes = spark.read.schema(new.schema).parquet(f"{place}/changes").withColumn(by, F.col(by).cast(kind))
+    return FrameStore(spark.read.schema(labels.schema).parquet(f"{place}/base"), changes, by)
+
+
+def read_frame(store: FrameStore, frame, low: tuple[int, int, int] | None = None, high: tuple[int, int, int] | None = None) -> DataFrame:
+    """Label volume of one frame, or its part between two corners: the base, replaced where a voxel changed.
+
+    Only the folder of the frame is read, and of base and changes only the slices asked for.
+    """
+    inside = F.lit(True)
+    if low is not None:
+        for c, a, b in zip(IJK, low, high):
+            inside = inside & F.col(c).between(a, b)
+    new = store.changes.where((F.col(store.by) == frame) & inside).drop(store.by)
+    met = store.base.where(inside).join(new, list(IJK), "left")
+    return met.withColumn("label", F.coalesce("_new", "label")).drop("_new")
+
+
+def read_frames(store: FrameStore, frames: DataFrame) -> DataFrame:
+    """Label volumes of all frames of a table, one row per frame and voxel."""
+    wanted = frames.agg(F.array_sort(F.collect_set(store.by))).scalar()  # one number a frame
+    base = store.base.withColumn(store.by, F.explode(wanted))
+    return base.join(store.changes, [store.by, *IJK], "left").withColumn("label", F.coalesce("_new", "label")).drop("_new")
 
 
 def label_box(labels: DataFrame, wanted: list[int]) -> DataFrame:
