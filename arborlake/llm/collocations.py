@@ -11,8 +11,8 @@ The first ``HEAD`` numbers are broadcast, 16 bytes each.  What a block does not
 of the numbering by a join, and gets back by block.  Tasks send sums, not occurrences, so a word or pair that makes up
 a third of everything is a few entries for each task.
 
-Words are looked up by 64-bit keys of (language, word).  The keys of all distinct words are compared, and another seed
-is taken should two share one, so counts are exact.  Pairs are looked up by left * words + right, below 2**63.
+Words are looked up by 64-bit keys of (language, word).  Where counts of a key meet, so do the words, and another
+seed is taken should two words share a key, so counts are exact.  Pairs are looked up by left * words + right, below 2**63.
 
 Defined cases: a null language is ``und``; null and empty texts have no words; repeated rows count each time; other
 columns are not looked at; an empty table gives no rows.  One text is handled whole, at some 60 times its bytes.
@@ -32,9 +32,9 @@ ships(__name__)
 LEAST, LONGEST, COVERED, TOP = 10, 3, 50, 2000
 UNKNOWN = "und"
 HEAD = 1 << 20
-CORNER = 2048  # the grid that each task counts by address, 8 bytes a cell
-BLOCK = 1 << 22  # bytes of text, or numbers, looked at together
-PENDING = 1 << 21  # entries that a task holds before it sums them up
+CORNER = 1024  # rows and columns of the grid that each task counts by address, 8 bytes a cell
+BLOCK = 1 << 20  # bytes of text looked at together
+PENDING = 1 << 18  # entries that a task adds before it sums them up, at some 100 bytes each
 SIDE = 5  # a tile of a bucket has 2**SIDE rows and columns
 RANKED = 1 << 16  # tables up to this size are ranked by a plain window
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -72,7 +72,7 @@ class Words:
         sizes = self.ends - self.starts
         same = np.array_equal(sizes, sizes[first][which]) and np.array_equal(self.lang, self.lang[first][which])
         if same:
-            place = np.repeat(self.starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            place = _spans(self.starts, sizes)
             same = np.array_equal(self.data[place], self.data[place + np.repeat(self.starts[first][which] - self.starts, sizes)])
         if same:
             return first, n
@@ -82,37 +82,105 @@ class Words:
             seen.setdefault((l, whole[a:b]), []).append(i)
         return np.array([p[0] for p in seen.values()]), np.array([len(p) for p in seen.values()])
 
-    def texts(self, at: np.ndarray) -> pa.Array:
-        starts, sizes = self.starts[at], (self.ends - self.starts)[at]
-        to = np.concatenate([[0], np.cumsum(sizes)])
-        place = np.repeat(starts - to[:-1], sizes) + np.arange(to[-1])
-        return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(to.astype(np.int32).tobytes()), pa.py_buffer(self.data[place].tobytes())])
+    def named(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the words at some places, each behind its language and a tab (which no word has), and their sizes."""
+        prefix = [np.frombuffer(x.encode() + b"\t", np.uint8) for x in self.langs]
+        ahead = np.array([len(x) for x in prefix] or [0])[self.lang[at]]
+        own = (self.ends - self.starts)[at]
+        sizes = ahead + own
+        start = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.uint8)
+        out[_spans(start + ahead, own)] = self.data[_spans(self.starts[at], own)]
+        for i, x in enumerate(prefix):
+            rows = start[self.lang[at] == i]
+            out[rows[:, None] + np.arange(len(x))] = x
+        return out, sizes
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of spans, one after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
+class WordSums:
+    """Entries (key, count, name) of a bucket, summed up whenever they become many; do equal keys have equal names?"""
+
+    def __init__(self, limit: int):
+        self.limit, self.parts, self.size, self.floor, self.clash = limit, [], 0, 0, False
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> None:
+        self.parts.append((keys, counts, sizes, data))
+        self.size += len(keys)
+        if self.size > self.limit + self.floor:
+            self.sums()
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        keys, counts, sizes, data = (np.concatenate(x) for x in zip(*self.parts))
+        starts = np.cumsum(sizes) - sizes
+        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        self.clash = self.clash or not np.array_equal(sizes, sizes[first][which]) or not np.array_equal(data, data[_spans(starts[first][which], sizes)])
+        total = np.zeros(len(first), np.int64)
+        np.add.at(total, which, counts)
+        self.parts = [(keys[first], total, sizes[first], data[_spans(starts[first], sizes[first])])]
+        self.size = self.floor = len(first)
+        return self.parts[0]
 
 
 def _texts(docs: DataFrame, lang: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).cast("string").alias("text"))
 
 
-def word_counts(docs: DataFrame, lang: str = "lang", text: str = "text", block: int = BLOCK) -> tuple[DataFrame, int]:
+def word_counts(docs: DataFrame, lang: str = "lang", text: str = "text", block: int = BLOCK, pending: int = PENDING) -> tuple[DataFrame, int]:
     """(key, lang, word, n) of all distinct words, written, and the seed with which no two of them share a key."""
-    rows = _texts(docs, lang, text)
+    rows, parts = _texts(docs, lang, text), tasks(docs.sparkSession)
+    buckets = 4 * parts
+
+    def add(batches):
+        bucket, held = None, None
+        for batch in batches:
+            columns = [batch.column(c) for c in ("keys", "counts", "sizes", "names")]
+            for i, at in enumerate(batch.column("bucket").to_pylist()):
+                if at != bucket:
+                    if held is not None:
+                        yield _words(held)
+                    bucket, held = at, WordSums(pending)
+                held.add(*(np.frombuffer(x[i].as_buffer(), kind) for x, kind in zip(columns, (np.int64, np.int64, np.int64, np.uint8))))
+        if held is not None:
+            yield _words(held)
+
     for seed in range(23, 99):
 
-        def run(batches, seed=seed):
+        def count(batches, seed=seed):
             for batch in batches:
                 for part in slices(batch, "text", block):
                     words = Words(part, seed)
                     at, n = words.counts()
-                    langs = pa.array(words.langs, pa.string()).take(pa.array(words.lang[at]))
-                    yield pa.RecordBatch.from_arrays([pa.array(words.keys[at]), langs, words.texts(at), pa.array(n)], names=["key", "lang", "word", "n"])
-
-        found = rows.mapInArrow(run, "key long, lang string, word string, n long")
-        words = cut(found.groupBy("key", "lang", "word").agg(F.sum("n").alias("n")), "words")
-        if words.groupBy("key").count().where("count > 1").isEmpty():
-            return words, seed
+                    bucket = (words.keys[at].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+                    order = np.argsort(bucket, kind="stable")
+                    at, n, bucket = at[order], n[order].astype(np.int64), bucket[order]
+                    data, sizes = words.named(at)
+                    head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(at) else np.zeros(0, np.int64)
+                    ends, upto = np.append(head[1:], len(at)), np.concatenate([[0], np.cumsum(sizes)])
+                    columns = [[x[i:j].tobytes() for i, j in zip(head, ends)] for x in (words.keys[at], n, sizes)]
+                    columns.append([data[upto[i] : upto[j]].tobytes() for i, j in zip(head, ends)])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[head]), *[pa.array(c, pa.binary()) for c in columns]], names=["bucket", "keys", "counts", "sizes", "names"])
+
+        sent = rows.mapInArrow(count, "bucket long, keys binary, counts binary, sizes binary, names binary")
+        found = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "key long, name string, n long, clash boolean")
+        named = found.select("key", F.regexp_extract("name", r"(?s)^(.*)\t", 1).alias("lang"), F.substring_index("name", "\t", -1).alias("word"), "n", "clash")
+        words, seen = cut_counted(named, "words", clashes=F.count_if("clash"))
+        if not seen["clashes"]:
+            return words.drop("clash"), seed
     raise RuntimeError("no seed tells the words apart")
 
 
+def _words(held: WordSums) -> pa.RecordBatch:
+    keys, n, sizes, data = held.sums()
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    names = pa.Array.from_buffers(pa.string(), len(keys), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(keys), names, pa.array(n), pa.array(np.full(len(keys), held.clash))], names=["key", "name", "n", "clash"])
+
+
 def numbered(rows: DataFrame, ties: list[str], least: int = LEAST) -> tuple[DataFrame, int]:
     """Rows with n >= least and ``id``, their rank by n from 0 on; written, with their number."""
     kept = rows.where(F.col("n") >= least).withColumn("_less", -F.col("n"))
@@ -230,7 +298,7 @@ def extended(blocks: DataFrame, length: int, numbers: Numbers, kinds: list[str],
                     names=["block", "codes", "left", "open"])
 
     out = blocks.mapInArrow(run, "block long, codes binary, left binary, open array<long>")
-    return _patched(out if not rest else cut(out, "extended"), "left", numbers)
+    return _patched(cut(out, "extended"), "left", numbers)  # written, so that no task feeds two Python workers
 
 
 def _pairs(codes: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -343,7 +411,7 @@ def pair_counts(
                 near = (a < rows) & (b < columns)
                 grid += np.bincount(a[near] * columns + b[near], minlength=rows * columns)
                 held.add(*np.unique(a[~near] * n_right + b[~near], return_counts=True))
-                if held.size > 4 * pending:
+                if held.size > 2 * pending:
                     yield from _packed(*held.sums(), n_right, buckets)
                     held = Pending(n_right, pending)
         full = np.flatnonzero(grid)
@@ -353,13 +421,14 @@ def pair_counts(
     def add(batches):
         bucket, held = None, None
         for batch in batches:
-            for at, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "counts"))):
+            keys_of, counts_of = batch.column("keys"), batch.column("counts")
+            for i, at in enumerate(batch.column("bucket").to_pylist()):
                 if at != bucket:
                     if held is not None:
                         yield _frequent(*held.sums(), n_right, least)
                     bucket, held = at, Pending(n_right, pending)
-                keys = np.frombuffer(keys, np.int64)
-                held.add(keys, np.frombuffer(counts, "<i4" if len(counts) < 8 * len(keys) else np.int64).astype(np.int64))
+                keys, counts = np.frombuffer(keys_of[i].as_buffer(), np.int64), counts_of[i].as_buffer()
+                held.add(keys, np.frombuffer(counts, "<i4" if counts.size < 8 * len(keys) else np.int64).astype(np.int64))
         if held is not None:
             yield _frequent(*held.sums(), n_right, least)
 
@@ -383,7 +452,7 @@ def _score(a: Column, left: Column, right: Column) -> Column:
 def phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, longest: int = LONGEST, covered: int = COVERED,
             head: int = HEAD, corner: int = CORNER, block: int = BLOCK, pending: int = PENDING) -> DataFrame:
     """All candidates: lang, phrase, words, a, l, r, score, n, and whether a longer one covers it (``dropped``)."""
-    counts, seed = word_counts(docs, lang, text, block)
+    counts, seed = word_counts(docs, lang, text, block, pending)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
     first, n_words = numbered(counts, ["key"], least)
     numbers = Numbers(first, n_words, head)
