@@ -13,7 +13,9 @@ Arrow's file systems.  Files are written under a name of the attempt and moved w
 work is done again and leaves no part of a file behind.  A task holds one record and one piece of a file at a time.
 
 Defined cases: a null or empty payload is a record with an empty block; without a url the record has no target; equal
-ids with equal payloads are one response and revisits of their own id.  Extra columns stay out of the archives.
+ids with equal payloads are one response and revisits of their own id; rows without an id are revisits of one that has
+an id, and responses where none has; an empty table gives no archive and no rows.  Extra columns stay out of the
+archives.  ``pages`` has to be a table that reads the same rows in the same order twice, as files do.
 """
 
 import base64
@@ -36,9 +38,8 @@ _URN = "urn:page:"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def digest(payload: Column) -> Column:
-    """Base 32 of the SHA-1 of a string's UTF-8 bytes: five hex digits are twenty bits are four letters."""
-    sha = F.sha1(payload.cast("binary"))
+def base32(sha: Column) -> Column:
+    """Base 32 of 40 hex digits: five of them are twenty bits are four letters."""
     letters = []
     for k in range(0, 40, 5):
         number = F.conv(F.substring(sha, k + 1, 5), 16, 10).cast("int")
@@ -50,11 +51,12 @@ def roles(pages: DataFrame, id: str = "page_id", payload: str = "html", least: i
     """Adds payload_bytes, payload_digest and refers_to (null for responses)."""
     whole = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.drop("payload_bytes", "payload_digest", "refers_to").withColumns(
-        {"payload_bytes": F.octet_length(whole).cast("long"), "payload_digest": digest(whole)})
+        {"payload_bytes": F.octet_length(whole).cast("long"), "_sha": F.sha1(whole.cast("binary")), "_row": F.monotonically_increasing_id()})
     # One row for each digest on the right, so a payload that very many pages share can be split at run time.
-    first = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max(id).alias("_first"), F.count("*").alias("_n"))
-    rows = rows.join(first.where("_n > 1").drop("_n"), "payload_digest", "left")
-    return rows.withColumn("refers_to", F.when(F.col(id) != F.col("_first"), F.col("_first"))).drop("_first")
+    first = rows.where(F.col("payload_bytes") >= least).groupBy("_sha").agg(F.max(F.struct(F.col(id).alias("id"), "_row")).alias("_first"), F.count("*").alias("_n"))
+    rows = rows.join(first.where("_n > 1").drop("_n"), "_sha", "left")
+    refers = F.when(F.col("_row") != F.col("_first._row"), F.col("_first.id"))
+    return rows.withColumns({"refers_to": refers, "payload_digest": base32(F.col("_sha"))}).drop("_first", "_sha", "_row")
 
 
 def record(id: str = "page_id", url: str = "url", payload: str = "html") -> Column:
@@ -80,6 +82,13 @@ def write_monolithic(pages: DataFrame, folder: str, id: str = "page_id", url: st
     rows.write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", PER_FILE).text(folder)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder with the scheme that Spark gives it, so that executors reach the same one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return system.makeQualified(path).toString()
+
+
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     if "://" not in uri and not uri.startswith("file:"):
         return pafs.LocalFileSystem(), uri
@@ -169,6 +178,7 @@ def rewrite(source: str, target: str) -> tuple[int, int]:
 
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Rewrites all gzip files of a folder; (source, records, bytes) of each."""
+    target = qualified(spark, target)
     out_system, out_path = opened(target)
     out_system.create_dir(out_path, recursive=True)
     names = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")  # names only, no content
@@ -190,7 +200,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     Payloads are measured as they are read; a digest that differs from the record's own stops the read.  Revisits
     have no payload of their own and their size is that of the response they refer to.
     """
-    lines = spark.read.text(f"{folder}/*.idx").select(F.regexp_replace(F.col("_metadata.file_path"), r"\.idx$", ".gz").alias("archive"), F.split("value", "\t").alias("v"))
+    lines = spark.read.option("pathGlobFilter", "*.idx").text(folder).select(F.regexp_replace(F.col("_metadata.file_path"), r"\.idx$", ".gz").alias("archive"), F.split("value", "\t").alias("v"))
     index = lines.select("archive", F.col("v")[1].alias("type"), F.col("v")[2].cast("long").alias("at"), F.col("v")[3].cast("long").alias("size"))
 
     def run(batches):
@@ -227,7 +237,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                         ("refers", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
     spread = index.repartitionByRange("archive", "at").sortWithinPartitions("archive", "at")
     found = spread.mapInArrow(run, "id string, record_type string, url string, payload_digest string, refers string, payload_bytes bigint, payload binary")
-    return found.withColumns({"page_id": F.col("id").cast("long"), "refers_to": F.col("refers").cast("long")}).drop("id", "refers")
+    return found.withColumns({"page_id": F.col("id").try_cast("long"), "refers_to": F.col("refers").try_cast("long")}).drop("id", "refers")
 
 
 def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Copies, repeats and contamination against brute force; archives and tokens by round trip."""
 
+import base64
 import gzip
 import hashlib
 import math
@@ -264,6 +265,28 @@ def test_archives(spark):
             assert member.startswith(b"WARC/1.1\r\n") and member.endswith(b"\r\n\r\n")
 
 
+def test_archives_with_repeated_and_missing_ids(spark, tmp_path):
+    """One response among rows with equal ids and payloads; rows without an id refer to one that has it."""
+    rows = [(7, "x"), (7, "x"), (3, "x"), (None, "x"), (None, "alone"), (None, "two"), (None, "two"), (8, "x2"), (9, None), (9, "")]
+    spark.createDataFrame([(i, "http://u/", h) for i, h in rows], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op1_warc_normaliser(spark, str(tmp_path)).collect())
+    sha = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    want = Counter()
+    for i, size, h, kind, refers in [(7, 1, "x", "response", None), (7, 1, "x", "revisit", 7), (3, 1, "x", "revisit", 7), (None, 1, "x", "revisit", 7), (None, 5, "alone", "response", None),
+                                     (None, 3, "two", "response", None), (None, 3, "two", "response", None), (8, 2, "x2", "response", None), (9, 0, "", "response", None), (9, 0, "", "revisit", 9)]:
+        want[i, size, sha(h), kind, refers] += 1
+    assert got == want
+
+
+def test_archives_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert warc.op1_warc_normaliser(spark, str(tmp_path)).count() == 0
+
+
+def test_folders_have_the_scheme_of_the_file_system(spark):
+    assert warc.qualified(spark, "/tmp/somewhere") == "file:/tmp/somewhere" and warc.qualified(spark, "file:///tmp/x").startswith("file:/")
+
+
 def test_sampled_segmentations_are_exact_draws():
     v = sentencepiece_sampling.vocabulary(sentencepiece_sampling.MODEL)
     n = 6000
