@@ -131,6 +131,7 @@ def collisions(segs: DataFrame, min_distance: float) -> DataFrame:
     found = boxes.k_nearest(
         ends, ["q_tree", "q_id"], place(), place(), index, 1, g.point_segment_sq(place(), start(), end()), ["tree", "id"],
         usable=foreign, admit=F.col("tree") != F.col("q_tree"), limit_sq=min_distance**2,
+        owner=["tree"], spot=["px", "py", "pz", "dx", "dy", "dz"],
     )
     return found.where(F.col("d_sq") < min_distance**2).select(
         F.col("q_tree").alias("tree"), F.col("q_id").alias("id"), F.sqrt("d_sq").alias("distance")
@@ -169,7 +170,7 @@ def nearest_other_terminal(terminals: DataFrame) -> DataFrame:
     found = boxes.k_nearest(
         asked, ["tree", "q_id"], place(), place(), index, 1, dot(away, away), ["id"],
         usable=(F.col("b_i0") != F.col("q_id")) | (F.col("b_i1") != F.col("q_id")),
-        admit=F.col("id") != F.col("q_id"),
+        admit=F.col("id") != F.col("q_id"), owner=["id"], spot=["ex", "ey", "ez"],
     )
     near = found.select("tree", F.col("q_id").alias("id"), F.sqrt("d_sq").alias("nearest"))
     # A lone terminal has no other end and takes the whole weight.

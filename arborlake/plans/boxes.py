@@ -134,12 +134,15 @@ def k_nearest(
     queries: DataFrame, q_keys: list[str], q_lo: Triple, q_hi: Triple, index: BoxIndex, k: int,
     distance_sq: Score, order: list[str], usable: Column | None = None, admit: Column | None = None,
     least: Column | None = None, most: Column | None = None, limit_sq: float | None = None,
+    owner: list[str] | None = None, spot: list[str] | None = None,
 ) -> DataFrame:
     """The ``k`` nearest items of every query, ties by ``order``; adds d_sq and rank.
 
     ``usable`` tells whether a cell holds at least one item the query may take
     (k = 1 only); ``admit`` tells the same for single items.  A score other than
     the squared distance needs its bounds over a cell: ``least`` and ``most``.
+    Where ``admit`` only rules out the items of one owner, ``owner`` names the columns that tell owners apart and
+    ``spot`` those that place an item: of items on one spot the first ones of two owners are enough (k = 1 only).
     With ``limit_sq`` only items of at most that score count, and cells beyond it are dropped from the first level on.
     """
     if k > 1 and usable is not None:
@@ -166,6 +169,8 @@ def k_nearest(
 
     if index.crowded and admit is None:
         index = _thin(index, k, order)
+    elif index.crowded and owner is not None and k == 1:
+        index = _two_owners(index, order, owner, spot)
     pairs = _descend(queries, q_keys, q_lo, q_hi, index, keep, usable)
     if admit is not None:
         pairs = pairs.where(admit)
@@ -186,6 +191,19 @@ def _thin(index: BoxIndex, k: int, order: list[str]) -> BoxIndex:
     return BoxIndex(items, index.scope, index.levels, index.crowded)
 
 
+def _two_owners(index: BoxIndex, order: list[str], owner: list[str], spot: list[str]) -> BoxIndex:
+    """Of items on one spot the first one of each of the first two owners.
+
+    Both steps are limits per group, which every task applies to its own rows before anything is shuffled.
+    """
+    same = [*index.scope, "code", *spot]
+    items = index.items
+    for keys, most in (([*same, *owner], 1), (same, 2)):
+        w = Window.partitionBy(*dict.fromkeys(keys)).orderBy(*order)
+        items = items.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
+    return BoxIndex(items, index.scope, index.levels, index.crowded)
+
+
 def within(
     queries: DataFrame, q_keys: list[str], q_lo: Triple, q_hi: Triple, index: BoxIndex, radius: Column,
     distance_sq: Score, strict: bool = False, usable: Column | None = None,

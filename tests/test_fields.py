@@ -207,7 +207,7 @@ def test_places_in_a_domain_agree_with_the_column_form(spark):
 
     shell, r = domains.EllipsoidShell((1.0, 2.0, 3.0), (4.0, 3.0, 2.0), 0.3), np.random.default_rng(2)
     for domain in (shell, domains.Sphere((1.0, 2.0, 3.0), 2.5), domains.Box((0.0, 1.0, 2.0), (3.0, 3.0, 4.0)), domains.Ellipsoid((1.0, 2.0, 3.0), (4.0, 3.0, 2.0))):
-        q = r.normal([1.0, 2.0, 3.0], 2.5, (200, 6))
+        q = r.normal([1.0, 2.0, 3.0] * 2, 2.5, (200, 6))
         df = spark.createDataFrame(q.tolist(), "a double, b double, c double, x double, y double, z double")
         start, to = tuple(F.col(c) for c in "abc"), tuple(F.col(c) for c in "xyz")
         want = df.select(domain.inside(to).alias("i"), *[c.alias(f"k{n}") for n, c in enumerate(domain.clip(start, to))]).toPandas()

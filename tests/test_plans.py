@@ -221,6 +221,20 @@ def test_neighbour_meets_null_keys_beyond_the_slice_size(spark, monkeypatch):
     _both(plain, running.neighbour(df, ["k"], "pos", 1, ["v"], "n_"))
 
 
+def test_coincident_ends_of_two_trees_do_not_make_all_pairs(spark):
+    """100,000 segments on one spot, a few beside them: every end still finds the other tree, and its first segment."""
+    n = 100_000
+    spot = spark.range(n).select(F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("tree"), F.col("id"), F.lit(1.0).alias("px"), (F.rand(3) * 0 + 0.1 + F.col("id") % 3).alias("radius_mm"))
+    far = spark.range(n, n + 40).select(F.lit("A").alias("tree"), F.col("id"), (5.0 + F.col("id") % 7).alias("px"), F.lit(0.1).alias("radius_mm"))
+    segs = spot.unionByName(far).withColumns({"py": F.lit(0.0), "pz": F.lit(0.0), "dx": F.col("px") + 1, "dy": F.lit(0.0), "dz": F.lit(0.0)})
+    met = spatial.collisions(segs, 0.5)
+    assert met.agg(F.count("*"), F.max("distance"), F.count_distinct("tree", "id")).first()[:] == (n, 0.0, n)
+    ends = segs.where("id < 20000 OR id >= 100000")
+    near = spatial.nearest_other_terminal(ends)
+    assert near.where("id < 20000").agg(F.count("*"), F.max("nearest")).first()[:] == (20_000, 0.0)
+    assert near.where("id >= 100000").count() == 40
+
+
 def test_poisson_draws_of_any_rate(spark):
     from pyspark.sql import functions as F
 
