@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from arborlake.catalog.bed import FOREST_SQL, LINES_SQL, forest, lines, table, with_sql
+from arborlake.catalog.bed import FOREST_SQL, LINES_SQL, POINTS_SQL, forest, lines, points, table, with_sql
 from arborlake.catalog.q_surfaces import nets
 from arborlake.operators import report, surfaces as N, trees
 from arborlake.plans.cut import work_dir
@@ -138,6 +138,26 @@ def net_knots(spark, sf):
     return net_files.parse_nets(_in_order(spark, path))[1]
 
 
+@register("surface_file_after_original", with_sql(POINTS_SQL, __import__("arborlake.catalog.q_surfaces", fromlist=["NET_SQL"]).NET_SQL, body="""
+SELECT surface, CAST(max(row) AS INTEGER) AS m, CAST(max(col) AS INTEGER) AS n, count(*) AS n_points, round(sum(x), 4) AS x_sum, true AS in_original FROM net GROUP BY 1
+UNION ALL SELECT 'grown_C_' || lpad(CAST(qid AS VARCHAR), 7, '0'), 2, 9, 18, round(9 * (x + x + 1), 4), false FROM pt"""))
+def after_original(spark, sf):
+    """Nets of one table, and behind them tubes of another, as one file that is read again."""
+    from arborlake.sources.lines import numbered
+
+    first, both = fresh(spark, "original"), fresh(spark, "grown")
+    net_files.write_nets(*nets(spark, sf), first)
+    tubes = points(spark, sf).select(F.lit("C").alias("tree"), F.col("qid").alias("id"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"),
+                                     (F.col("x") + 1).alias("dx"), F.col("y").alias("dy"), F.col("z").alias("dz"), F.lit(0.5).alias("radius_mm"))
+    net_files.write_nets(*N.tube_nets(tubes), both, original=first)
+    lines = _in_order(spark, both)
+    surfaces, _, pts = net_files.parse_nets(lines)
+    size = numbered(spark, first).select(F.count("*")).scalar()
+    placed = lines.join(surfaces.select(F.col("surface").alias("value")), "value").groupBy(F.col("value").alias("surface")).agg((F.min("pos") <= size).alias("in_original"))
+    sums = pts.groupBy("surface").agg(F.count("*").alias("n_points"), F.round(F.sum("x"), 4).alias("x_sum"))
+    return surfaces.join(sums, "surface").join(placed, "surface").select("surface", "m", "n", "n_points", "x_sum", "in_original")
+
+
 @register("segment_tube_nets", with_sql(FOREST_SQL, body="SELECT 'grown_' || tree || '_' || lpad(CAST(id AS VARCHAR), 7, '0') AS surface, 2 AS m, 9 AS n, 18 AS n_points, round(length_mm, 5) AS along FROM seg WHERE length_mm > 0"))
 def tube_nets(spark, sf):
     s, _, p = N.tube_nets(forest(spark, sf).where("length_mm > 0"))

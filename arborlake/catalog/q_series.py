@@ -70,20 +70,37 @@ def chain_merge(spark, sf):
     return L.merge_chain(pts, 4.0).select("chain", "chain_pos", "line", F.col("pos").cast("bigint").alias("pos"))
 
 
-@register("line_joints", with_sql(LINES_SQL, """
+JOINT_SQL = """
 cn AS (SELECT DISTINCT line AS child, line // 2 AS parent FROM ln WHERE line > 0 AND line // 2 IN (SELECT line FROM ln)),
 bp AS (SELECT cn.parent, cn.child, min({'d2': pow(p.x-c.x,2)+pow(p.y-c.y,2)+pow(p.z-c.z,2), 'pi': p.pos, 'ci': c.pos}) AS m FROM cn JOIN ln p ON p.line = cn.parent JOIN ln c ON c.line = cn.child GROUP BY 1, 2),
 nd AS (SELECT line, max(pos) AS n, arg_max(x, pos) AS x, arg_max(y, pos) AS y, arg_max(z, pos) AS z FROM ln GROUP BY 1),
 ep AS (SELECT cn.parent, cn.child, any_value(e.n) AS n, min({'d2': pow(e.x-c.x,2)+pow(e.y-c.y,2)+pow(e.z-c.z,2), 'ci': c.pos}) AS e FROM cn JOIN nd e ON e.line = cn.parent JOIN ln c ON c.line = cn.child GROUP BY 1, 2),
-jj AS (SELECT b.parent, b.child, n, m, e, n - m.pi <= 2 AND sqrt(e.d2) <= sqrt(m.d2) + 1.0 AS snap FROM bp b JOIN ep ON ep.parent = b.parent AND ep.child = b.child)""", body="""
+jj AS (SELECT b.parent, b.child, n, m, e, n - m.pi <= 2 AND sqrt(e.d2) <= sqrt(m.d2) + 1.0 AS snap FROM bp b JOIN ep ON ep.parent = b.parent AND ep.child = b.child)"""
+
+
+@register("line_joints", with_sql(LINES_SQL, JOINT_SQL, body="""
 SELECT parent, child, CASE WHEN snap THEN n ELSE m.pi END AS parent_index, CASE WHEN snap THEN e.ci ELSE m.ci END AS child_index, round(sqrt(CASE WHEN snap THEN e.d2 ELSE m.d2 END), 6) AS gap_mm FROM jj"""))
 def joints(spark, sf):
-    pts = lines(spark, sf)
+    out = joined_lines(lines(spark, sf))
+    return out.select("parent", "child", F.col("parent_index").cast("bigint").alias("parent_index"), F.col("child_index").cast("bigint").alias("child_index"), F.round("gap_mm", 6).alias("gap_mm"))
+
+
+def joined_lines(pts):
+    """Every line hangs on the one with half its number."""
     have = pts.select("line").distinct()
     conn = have.where("line > 0").select(F.col("line").alias("child"), F.floor(F.col("line") / 2).alias("parent"))
-    conn = conn.join(have.withColumnRenamed("line", "parent"), "parent", "left_semi")
-    out = L.joints(pts, conn)
-    return out.select("parent", "child", F.col("parent_index").cast("bigint").alias("parent_index"), F.col("child_index").cast("bigint").alias("child_index"), F.round("gap_mm", 6).alias("gap_mm"))
+    return L.joints(pts, conn.join(have.withColumnRenamed("line", "parent"), "parent", "left_semi"))
+
+
+@register("line_tree_summary", with_sql(LINES_SQL, JOINT_SQL, """
+gp AS (SELECT child % 7 AS tree, max(sqrt(CASE WHEN snap THEN e.d2 ELSE m.d2 END)) AS gap FROM jj GROUP BY 1)""", body="""
+SELECT l.line % 7 AS tree, count(DISTINCT l.line) AS n_lines, count(*) AS n_points, round(avg(radius_mm), 7) AS r_mean, round(coalesce(any_value(gap), 0), 6) AS max_gap_mm
+FROM ln l LEFT JOIN gp ON gp.tree = l.line % 7 GROUP BY 1"""))
+def tree_summary(spark, sf):
+    pts = lines(spark, sf)
+    owned = pts.select((F.col("line") % 7).alias("tree"), "line").distinct()
+    out = L.tree_summary(pts, owned, joined_lines(pts).withColumn("tree", F.col("child") % 7))
+    return out.select("tree", "n_lines", "n_points", F.round("r_mean", 7).alias("r_mean"), F.round("max_gap_mm", 6).alias("max_gap_mm"))
 
 
 T = 41
@@ -255,6 +272,20 @@ def decimation(spark, sf):
     return ranking.decimate(forest(spark, sf).select("tree", "id", "radius_mm"), ["tree"], "radius_mm", ["id"], 200).select("tree", "id")
 
 
+@register("display_layers", with_sql(FOREST_SQL, """
+o AS (SELECT tree, id, row_number() OVER (PARTITION BY tree ORDER BY radius_mm DESC, id) AS dn, row_number() OVER (PARTITION BY tree ORDER BY radius_mm, id) AS un FROM seg),
+md AS (SELECT * FROM o WHERE dn > 35)""", EVEN.format(src="md", m=65), """
+md2 AS (SELECT * FROM o WHERE dn > 50 AND un > 90)""", EVEN.format(src="md2", m=60).replace("rk ", "rk2 ").replace("FROM rk)", "FROM rk2)").replace("pk AS", "pk2 AS"), body="""
+SELECT 'static' AS layer, tree, id FROM o WHERE dn <= 35 UNION ALL SELECT 'static', tree, id FROM rk WHERE (tree, r) IN (SELECT tree, r FROM pk)
+UNION ALL SELECT 'dynamic', tree, id FROM o WHERE dn <= 50 OR un <= 90 UNION ALL SELECT 'dynamic', tree, id FROM rk2 WHERE (tree, r) IN (SELECT tree, r FROM pk2)"""))
+def display_layers(spark, sf):
+    from arborlake.operators.report import layers
+
+    segs = forest(spark, sf).select("tree", "id", "radius_mm")
+    static = ranking.decimate_static(segs, ["tree"], "radius_mm", ["id"], 100)
+    return layers({"static": static, "dynamic": ranking.decimate(segs, ["tree"], "radius_mm", ["id"], 200)}).select("layer", "tree", "id")
+
+
 @register("display_series", with_sql(FOREST_SQL, TIMES, SERIES, """
 o AS (SELECT tree, id, row_number() OVER (PARTITION BY tree ORDER BY radius_mm DESC, id) AS dn, row_number() OVER (PARTITION BY tree ORDER BY radius_mm, id) AS un FROM seg WHERE radius_mm*1000 >= 4),
 md AS (SELECT * FROM o WHERE dn > 50 AND un > 90)""", EVEN.format(src="md", m=60), """

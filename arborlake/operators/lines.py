@@ -36,6 +36,18 @@ def line_summary(points: DataFrame) -> DataFrame:
         F.min_by(end, "pos").alias("first"), F.max_by(end, "pos").alias("last"))
 
 
+def tree_summary(points: DataFrame, owned: DataFrame, joints: DataFrame) -> DataFrame:
+    """Lines, points, mean radius of all points and largest gap of the joints (0 without one) of every tree.
+
+    ``owned`` is (tree, line), ``joints`` has (tree, gap_mm).  Points are summed up by line before they meet the trees.
+    """
+    sums = points.groupBy("line").agg(F.count("*").alias("_n"), F.sum("radius_mm").alias("_r"))
+    trees = owned.join(sums, "line").groupBy("tree").agg(
+        F.count("*").alias("n_lines"), F.sum("_n").alias("n_points"), (F.sum("_r") / F.sum("_n")).alias("r_mean"))
+    gaps = joints.groupBy("tree").agg(F.max("gap_mm").alias("_gap"))
+    return trees.join(gaps, "tree", "left").withColumn("max_gap_mm", F.coalesce("_gap", F.lit(0.0))).drop("_gap")
+
+
 def slice_from(points: DataFrame, start: Column) -> DataFrame:
     """Points from an index on (clamped to the line), renumbered."""
     n = points.count()
