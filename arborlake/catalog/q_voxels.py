@@ -1,5 +1,7 @@
 """Registered queries: voxel operators."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from arborlake.catalog.bed import TWIGS_SQL, sig, sig_sql, table, twigs, with_sql
@@ -144,6 +146,22 @@ def grid_origin(spark, sf):
     return V.estimated_origin(V.label_box(lab, [1]), (10.0, 20.0, 30.0), V.label_box(lab, [2]), (11.0, 21.0, 31.0), (2.0, 2.0, 3.0))
 
 
+@register("raw_label_volume", with_sql(LABEL_SQL, "sz AS (SELECT max(k) AS nk FROM lab)", body="""
+SELECT CAST(a.i AS INTEGER) AS i, CAST(26 - b.j AS INTEGER) AS j, CAST(c.k AS INTEGER) AS k, CAST(CASE WHEN a.i = 26 THEN 10 ELSE coalesce(l.label, 9) END AS INTEGER) AS label
+FROM range(1, 27) a(i), range(1, 26) b(j), (SELECT unnest(range(1, nk + 1)) AS k FROM sz) c LEFT JOIN lab l ON l.i = a.i AND l.j = b.j AND l.k = c.k"""))
+def raw_volume(spark, sf):
+    """The label volume as a flat file below the shared folder, read again with the second axis reversed."""
+    from arborlake.plans.cut import work_dir
+    from arborlake.sources.raw_labels import read_raw_labels, write_raw_labels
+
+    lab = label_volume(spark, sf)
+    depth = lab.agg(F.max("k")).first()[0]
+    path = f"{work_dir(spark)}/raw-{uuid.uuid4().hex}"
+    write_raw_labels(lab.select(*V.IJK, "label"), path, (25, 25, depth), 9)
+    part = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").first()[0]
+    return read_raw_labels(spark, part, (26, 25, depth), reverse=(2,))
+
+
 @register("crop_to_labels", with_sql(LABEL_SQL, """
 bx AS (SELECT greatest(1, min(i)-2) AS i0, least(25, max(i)+2) AS i1, greatest(1, min(j)-2) AS j0, least(25, max(j)+2) AS j1, greatest(1, min(k)-1) AS k0, max(k)+1 AS k1 FROM lab
   WHERE CASE WHEN i BETWEEN 8 AND 15 AND j BETWEEN 9 AND 14 THEN label ELSE -1 END IN (3))""", body="""

@@ -83,27 +83,21 @@ def size_ratio(child_mean: Column, child_sd: Column, parent_mean: Column, parent
 def poisson(rate: Column, u: Column) -> Column:
     """Poisson draw by the inverse distribution function.
 
-    The walk over the counts ends twelve standard deviations (and a few counts) above the rate, where less than
-    1e-15 of the law is left, so no draw of a double is cut.  Rates at which exp(-rate) is no longer a normal double
-    take the normal quantile instead, rounded and kept at 0 or more.
+    The walk over the counts runs from twelve standard deviations below the rate to as many above it, where less than
+    1e-15 of the law is left on either side, so no draw of a double is cut.  It starts from the logarithm of the first
+    probability, as that of no event is too small for a double at high rates.
     """
-    most = F.least(rate + 12 * F.sqrt(rate) + 30, F.lit(2000.0)).cast("int")
-    seed = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("n"))
+    low = F.when(rate <= 600, 0).otherwise(F.floor(rate - 12 * F.sqrt(rate))).cast("int")
+    most = (rate + 12 * F.sqrt(rate) + 30).cast("int")
+    factorial = F.when(low > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(low, F.lit(1))), F.lit(0.0), lambda a, k: a + F.ln(k.cast("double")))).otherwise(F.lit(0.0))
+    start = F.exp(F.when(low > 0, low * F.ln(rate) - factorial).otherwise(F.lit(0.0)) - rate)
+    seed = F.struct(start.alias("p"), start.alias("c"), F.lit(0).alias("n"))
 
     def step(acc: Column, k: Column) -> Column:
         p = acc["p"] * rate / k
         return F.struct(p.alias("p"), (acc["c"] + p).alias("c"), (acc["n"] + (u > acc["c"]).cast("int")).alias("n"))
 
-    walked = F.aggregate(F.sequence(F.lit(1), most), seed, step)["n"]
-    far = F.greatest(F.round(rate + F.sqrt(rate) * normal_quantile(u)), F.lit(0.0)).cast("int")
-    return F.when(rate <= 600, walked).otherwise(far)
-
-
-def normal_quantile(u: Column) -> Column:
-    """Quantile of the standard normal law by a rational form, right to 5e-4 (fixed values)."""
-    t = F.sqrt(-2 * F.log(F.least(u, 1 - u)))
-    size = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
-    return F.when(u < 0.5, -size).otherwise(size)
+    return low + F.aggregate(F.sequence(low + 1, most), seed, step)["n"]
 
 
 def weighted_pick(weights: Column, values: Column, u: Column) -> Column:

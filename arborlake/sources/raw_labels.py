@@ -1,69 +1,56 @@
-"""Flat unsigned label volumes as a Spark data source: one partition per byte range, Arrow batches out."""
+"""Flat unsigned label volumes: fixed-length records through Hadoop's file systems, split like any other input."""
 
-import os
+import sys
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-CHUNK = 4 << 20  # voxels per Arrow batch
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Fixed names of Spark's input format for records of one length; its key is the number of a record.
+_FORMAT = "org.apache.spark.input.FixedLengthBinaryInputFormat"
 
-class _Range(InputPartition):
-    def __init__(self, start: int, count: int):
-        self.start, self.count = start, count
 
+def _size(spark: SparkSession, path: str) -> int:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(place).getLen()
 
-class RawLabelSource(DataSource):
-    """Options: path, dims ("nx,ny,nz", first axis fastest), bytes (1 or 2), reverse ("2" or "1,2"), partition_voxels."""
 
-    @classmethod
-    def name(cls):
-        return "raw_labels"
+def read_raw_labels(spark: SparkSession, path: str, dims=(1600, 1400, 500), width: int = 1, reverse=()) -> DataFrame:
+    """(i, j, k, label), indices from 1, of a volume of ``width`` bytes a voxel (1 or 2, low byte first), first axis fastest.
 
-    def schema(self):
-        return "i int, j int, k int, label int"
+    A record is a run of voxels along the first axis.  Axes in ``reverse`` (2 or 1, 2, ...) count from their end.
+    """
+    nx, ny, nz = dims
+    size = _size(spark, path)
+    if size != nx * ny * nz * width:
+        raise ValueError(f"{path} has {size} bytes, {nx * ny * nz * width} expected for {tuple(dims)}")
+    rows = spark.sparkContext.newAPIHadoopFile(
+        path, _FORMAT, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={f"{_FORMAT}.recordLength": str(nx * width)})
+    kind, back = np.dtype("<u1" if width == 1 else "<u2"), set(reverse)
 
-    def reader(self, schema):
-        return RawLabelReader(self.options)
+    def run(batches):
+        for batch in batches:
+            at = np.repeat(batch.column("at").to_numpy(), nx)
+            label = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in batch.column("data")] or [np.zeros(0, kind)])
+            place = np.tile(np.arange(nx), batch.num_rows), at % ny, at // ny
+            cols = [(n - v if axis + 1 in back else v + 1).astype(np.int32) for axis, (v, n) in enumerate(zip(place, dims))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, label.astype(np.int32))], names=["i", "j", "k", "label"])
 
+    return spark.createDataFrame(rows, "at long, data binary").mapInArrow(run, "i int, j int, k int, label int")
 
-class RawLabelReader(DataSourceReader):
-    def __init__(self, options):
-        self.path = options["path"]
-        self.dims = tuple(int(v) for v in options["dims"].split(","))
-        self.width = int(options.get("bytes", "1"))
-        self.reverse = {int(v) for v in options.get("reverse", "").split(",") if v}
-        self.per = int(options.get("partition_voxels", str(64 << 20)))
 
-    def partitions(self):
-        total = self.dims[0] * self.dims[1] * self.dims[2]
-        size = os.path.getsize(self.path)
-        if size != total * self.width:
-            raise ValueError(f"{self.path} has {size} bytes, {total * self.width} expected for {self.dims}")
-        return [_Range(s, min(self.per, total - s)) for s in range(0, total, self.per)]
+def write_raw_labels(volume: DataFrame, path: str, dims: tuple[int, int, int], fill: int, edge: int = 10) -> None:
+    """(i, j, k, label) of labels below 128 as one file of one byte a voxel, as Spark's text writer makes it.
 
-    def read(self, partition):
-        import numpy as np
-        import pyarrow as pa
-
-        kind = np.uint8 if self.width == 1 else np.dtype("<u2")
-        with open(self.path, "rb") as f:
-            for start in range(partition.start, partition.start + partition.count, CHUNK):
-                count = min(CHUNK, partition.start + partition.count - start)
-                f.seek(start * self.width)
-                label = np.frombuffer(f.read(count * self.width), dtype=kind)
-                at = np.arange(start, start + count, dtype=np.int64)
-                place = [at % self.dims[0], at // self.dims[0] % self.dims[1], at // (self.dims[0] * self.dims[1])]
-                cols = [
-                    (n - v if axis + 1 in self.reverse else v + 1).astype(np.int32)
-                    for axis, (v, n) in enumerate(zip(place, self.dims))
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, label.astype(np.int32))], names=["i", "j", "k", "label"])
-
-
-def read_raw_labels(spark, path: str, dims=(1600, 1400, 500), width: int = 1, reverse=(), partition_voxels: int = 64 << 20):
-    """(i, j, k, label), indices from 1; the path must be readable on every executor."""
-    spark.dataSource.register(RawLabelSource)
-    return (
-        spark.read.format("raw_labels").option("path", path).option("dims", ",".join(map(str, dims))).option("bytes", str(width))
-        .option("reverse", ",".join(map(str, reverse))).option("partition_voxels", str(partition_voxels)).load()
-    )
+    The records end with a border voxel of label ``edge``, so the volume is one voxel longer along the first axis.
+    Voxels without a row have label ``fill``; no label may be ``edge``.  One file is one task's work: it is written run by run.
+    """
+    nx, ny, nz = dims
+    runs = volume.groupBy("j", "k").agg(F.map_from_entries(F.collect_list(F.struct("i", "label"))).alias("m"))
+    all_runs = volume.sparkSession.range(ny * nz).select((F.col("id") % ny + 1).cast("int").alias("j"), (F.floor(F.col("id") / ny) + 1).cast("int").alias("k"))
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(nx)), lambda i: F.char(F.coalesce(F.try_element_at("m", i), F.lit(fill)))), "")
+    lines = all_runs.join(runs, ["j", "k"], "left").select("j", "k", text.alias("value"))
+    lines.coalesce(1).sortWithinPartitions("k", "j").select("value").write.option("lineSep", chr(edge)).text(path)

@@ -9,20 +9,23 @@ FRAME_ENTRY = "struct<time_s:double,raw_path:string,scan_path:string,overlay_vox
 
 
 def write_snapshot(path: str, run_ts: Column, segs: DataFrame, series: DataFrame | None = None, voxels: DataFrame | None = None) -> None:
-    """Segments, series and voxels of one run below ``path``, cut by run and tree, and a manifest of the run."""
-    def stamped(df: DataFrame) -> DataFrame:
-        return df.withColumn("run_ts", report.run_stamp(run_ts))
+    """Segments, series and voxels of one run below ``path``, cut by run and tree, and a manifest of the run.
 
-    segs = stamped(segs)
-    segs.write.mode("append").partitionBy("run_ts", "tree").parquet(f"{path}/segments")
+    Each part lies in a folder of the run, which a repeated run replaces as a whole; the manifest comes last.
+    """
+    stamp = segs.select(report.run_stamp(run_ts)).first()[0]
+
+    def save(df: DataFrame, part: str, by: list[str]) -> DataFrame:
+        df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{part}/run_ts={stamp}")
+        return df.withColumn("run_ts", F.lit(stamp))
+
+    segs = save(segs, "segments", ["tree"])
     times = segs.select("run_ts").distinct().withColumn("t", F.lit(None).cast("double"))
     if series is not None:
-        stamped(series).write.mode("append").partitionBy("run_ts", "tree").parquet(f"{path}/series")
-        times = stamped(series.select("t").distinct())
+        times = save(series, "series", ["tree"]).select("t", "run_ts").distinct()
     if voxels is not None:
-        voxels = stamped(voxels)
-        voxels.write.mode("append").partitionBy("run_ts").parquet(f"{path}/voxels")
-    report.run_manifest(segs, times, voxels, run_ts).select("manifest").write.mode("append").text(f"{path}/manifest")
+        voxels = save(voxels, "voxels", [])
+    report.run_manifest(segs, times, voxels, run_ts).select("manifest").write.mode("overwrite").text(f"{path}/manifest/run_ts={stamp}")
 
 
 def write_frames(path: str, frames: DataFrame, labels: DataFrame, materials: DataFrame) -> None:

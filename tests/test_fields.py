@@ -255,7 +255,7 @@ def test_basis_of_any_degree(spark):
 def test_raw_labels(spark, tmp_path):
     path = tmp_path / "v.raw"
     path.write_bytes(bytes(range(1, 9)))
-    df = read_raw_labels(spark, str(path), (2, 2, 2), reverse=(2,), partition_voxels=3)
+    df = read_raw_labels(spark, str(path), (2, 2, 2), reverse=(2,))
     got = {(r["i"], r["j"], r["k"]): r["label"] for r in df.collect()}
     assert got == {(i, 3 - j, k): i + 2 * (j - 1) + 4 * (k - 1) for i in (1, 2) for j in (1, 2) for k in (1, 2)}
     with pytest.raises(Exception, match="bytes"):
@@ -285,3 +285,16 @@ def test_frames_are_stored_as_a_base_and_changes(spark):
     assert {(r.t_idx, r.i, r.j, r.k): r.label for r in V.read_frames(store, frames).collect()} == {(t, *c[:3]): new.get((t, *c[:3]), c[3]) for t in (0, 2, 5) for c in cells}
     bare = V.store_frames(base, spark.createDataFrame([], "t_idx int, i int, j int, k int, label int"))
     assert V.read_frame(bare, 1).exceptAll(base).count() == 0 and V.read_frame(bare, 1).count() == len(cells)
+
+
+def test_a_repeated_snapshot_replaces_its_run(spark, make, tmp_path):
+    from arborlake.sources import runs
+
+    at = lambda day: F.lit(f"2024-01-0{day} 03:04:05").cast("timestamp")
+    segs = make([(1, -1, *[0.0] * 6, 1.0), (2, 1, *[0.0] * 6, 1.0)]).unionByName(make([(1, -1, *[0.0] * 6, 1.0)], "U"))
+    voxels = spark.createDataFrame([(1, 2, 3)], "i int, j int, k int")
+    for day, rows in ((1, segs), (2, segs), (1, segs.where("tree = 'T'"))):
+        runs.write_snapshot(str(tmp_path), at(day), rows, voxels=voxels)
+    found = spark.read.parquet(f"{tmp_path}/segments").groupBy("run_ts").count().orderBy("run_ts").collect()
+    assert [r["count"] for r in found] == [2, 3]
+    assert spark.read.text(f"{tmp_path}/manifest").count() == 2 and spark.read.parquet(f"{tmp_path}/voxels").count() == 2

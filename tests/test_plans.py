@@ -240,7 +240,7 @@ def test_poisson_draws_of_any_rate(spark):
 
     from arborlake.functions import draws
 
-    rows = spark.range(20_000).select(F.explode(F.array(*[F.lit(r) for r in (0.0, 2.75, 80.0, 900.0)])).alias("rate"), draws.uniform([F.col("id")], 3).alias("u"))
+    rows = spark.range(20_000).select(F.explode(F.array(*[F.lit(r) for r in (0.0, 2.75, 80.0, 601.0, 900.0, 3000.0)])).alias("rate"), draws.uniform([F.col("id")], 3).alias("u"))
     for r in rows.groupBy("rate").agg(F.avg(draws.poisson(F.col("rate"), F.col("u"))).alias("m"), F.variance(draws.poisson(F.col("rate"), F.col("u"))).alias("v")).collect():
         assert abs(r.m - r.rate) <= 0.05 * r.rate ** 0.5 + 1e-9 and abs(r.v - r.rate) <= 0.06 * r.rate + 1e-9
 
