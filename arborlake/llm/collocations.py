@@ -33,8 +33,8 @@ LEAST, LONGEST, COVERED, TOP = 10, 3, 50, 2000
 UNKNOWN = "und"
 HEAD = 1 << 20
 CORNER = 1024  # rows and columns of the grid that each task counts by address, 8 bytes a cell
-BLOCK = 1 << 20  # bytes of text looked at together
-PENDING = 1 << 18  # entries that a task adds before it sums them up, at some 100 bytes each
+BLOCK = 1 << 19  # bytes of text looked at together
+PENDING = 1 << 17  # entries that a task adds before it sums them up, at some 100 bytes each
 SIDE = 5  # a tile of a bucket has 2**SIDE rows and columns
 RANKED = 1 << 16  # tables up to this size are ranked by a plain window
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
