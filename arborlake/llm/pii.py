@@ -148,17 +148,22 @@ def find(docs: DataFrame, text: str = "text", keep_text: bool = True, rounds: in
     """Adds n_email .. n_phone, base and added (spans of discovered identifiers: start, end, value).
 
     What the patterns found is written once, and read for the graph and for the result; without ``keep_text`` the text
-    itself is not written and not returned.
+    itself is not written and not returned.  The columns of ``docs`` are hidden while the work goes on, so they may have
+    any names; those named like an added column are replaced.
     """
-    found = candidates(base_spans(docs.drop("base", "added", *[f"n_{k}" for k in KINDS]), text), text)
+    made = [*[f"n_{k}" for k in KINDS], "base", "added"]
+    own = {c: f"_own{i}" for i, c in enumerate(docs.columns) if c == text or c not in made}
+    hidden = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    found = candidates(base_spans(hidden, own[text]), own[text])
     found = found.withColumn("_row", F.monotonically_increasing_id())
-    found = cut(found if keep_text else found.drop(text), "spans")
+    found = cut(found if keep_text else found.drop(own[text]), "spans")
     _, unseen = bootstrapped(graph(found), rounds, support, confidence)
     free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (t["start"] + F.length(t["value"]) > b["start"])))
     asked = found.select("_row", F.explode(free).alias("t")).select("_row", "t.value", "t.start").join(unseen.withColumnRenamed("instance", "value"), "value")
     spans = asked.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.length("value")).alias("end"), "value"))).alias("added"))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return found.join(spans, "_row", "left").withColumn("added", F.coalesce("added", none)).drop("_row", "tokens")
+    out = found.join(spans, "_row", "left").withColumn("added", F.coalesce("added", none))
+    return out.select(*[F.col(n).alias(c) for c, n in own.items() if keep_text or c != text], *made)
 
 
 def masked(text: str = "text") -> Column:

@@ -87,6 +87,15 @@ def test_base_spans_against_plain_patterns(docs):
         assert row.s == loose_spans(texts[row.doc_id]), texts[row.doc_id][:80]
 
 
+def test_columns_with_names_of_helpers_pass_through(spark):
+    names = ["tokens", "_row", "_wide", "_own0", "base", "n_ip", "text"]
+    df = spark.createDataFrame([(1, 2, 3, 4, 5, 6, "mail a@b.co"), (7, 8, 9, 10, 11, 12, None)], ", ".join(f"`{n}` {'string' if n == 'text' else 'int'}" for n in names))
+    out = pii.find(df)
+    assert out.columns == ["tokens", "_row", "_wide", "_own0", "text", "n_email", "n_ip", "n_card", "n_phone", "base", "added"]
+    rows = {r["tokens"]: r for r in out.collect()}
+    assert rows[1][:5] == (1, 2, 3, 4, "mail a@b.co") and rows[1]["n_email"] == 1 and rows[7][:5] == (7, 8, 9, 10, None) and rows[7]["n_email"] == 0
+
+
 def test_contexts_discover_unseen_identifiers(docs):
     good = [f"call card 453914880343{n:04d} now" for n in range(10_000) if luhn(f"453914880343{n:04d}")][:60]
     texts = [*good, "call card 4539148803436460 now", "about 4539148803436460x trees", None]
