@@ -8,6 +8,8 @@ from arborlake.functions import geometry as g
 from arborlake.functions.text import plain_name, run_stamp
 from arborlake.functions.vectors import clamp, triple
 from arborlake.operators import filters, ranking, series
+from arborlake.plans.boxes import SMALL_LEVEL
+from arborlake.plans.cut import cut_counted
 
 
 def union_forest(parts: dict[str, DataFrame]) -> DataFrame:
@@ -31,7 +33,11 @@ def display_rows(segs: DataFrame, values: DataFrame, min_radius_um: float, max_r
     shaped = kept.select(
         "tree", "id", *[v.alias(f"m{a}") for v, a in zip(m, "xyz")], "length_mm",
         (F.col("radius_mm") * 2000).alias("diameter_um"), marker_size(F.col("radius_mm")).alias("marker"))
-    rows = series.every_nth(values, stride).join(shaped, ["tree", "id"])
+    # Spark takes the exploded values for small, so it is told which side is: the written rows, when they are few.
+    shaped, seen = cut_counted(shaped, "shaped", n=F.count(F.lit(1)))
+    wanted = series.every_nth(values, stride)
+    few = (seen["n"] or 0) <= SMALL_LEVEL
+    rows = wanted.join(F.broadcast(shaped), ["tree", "id"]) if few else wanted.hint("merge").join(shaped, ["tree", "id"])
     return rows.withColumn("top", rows.agg(F.max("value")).scalar())
 
 
