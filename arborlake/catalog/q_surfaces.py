@@ -70,8 +70,7 @@ def sampled_surface(spark, sf):
 
     paths = fresh(spark, "samples"), fresh(spark, "sample-normals")
     tables.write_sampled_surface(N.sample(*nets(spark, sf), F.lit(8), F.lit(6)), *paths)
-    both = [tables.read_xyz(spark, p, key="surface").withColumnRenamed("file", "surface") for p in paths]
-    s = tables.surface_points(*both)
+    s = tables.surface_points(*[tables.read_sampled_surface(spark, p) for p in paths])
     return s.select("surface", "id", *[F.round(a, 6).alias(a) for a in "xyz"], (F.round("nx", 4) + 0.0).alias("nx"))
 
 

@@ -70,22 +70,30 @@ def sample(surfaces: DataFrame, knots: DataFrame, control_points: DataFrame, n_u
     Only the non-zero basis products meet their control points, so a sample costs
     (p_u + 1)(p_v + 1) rows per evaluated place.
     """
-    sized = surfaces.withColumns({"_nu": n_u, "_nv": n_v}).join(_knot_arrays(knots), "surface")
-    at = sized.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_nv") - 1))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_nu") - 1)))
-    u = F.col("i") / F.greatest(F.col("_nu") - 1, F.lit(1))
-    v = F.col("j") / F.greatest(F.col("_nv") - 1, F.lit(1))
-    at = at.withColumns({"u": u, "v": v})
-    up, down = (lambda c: F.least(F.col(c) + DELTA, F.lit(1.0))), (lambda c: F.greatest(F.col(c) - DELTA, F.lit(0.0)))
-    places = [(F.col("u"), F.col("v")), (down("u"), F.col("v")), (up("u"), F.col("v")), (F.col("u"), down("v")), (F.col("u"), up("v"))]
-    spread = at.withColumn("_w", F.explode(F.array(*[F.struct(F.lit(n).alias("w"), a.alias("u"), b.alias("v")) for n, (a, b) in enumerate(places)])))
+    spark = surfaces.sparkSession
+    # A short table of surfaces would be one task, which then makes all samples.
+    sized = surfaces.withColumns({"_nu": n_u, "_nv": n_v}).join(_knot_arrays(knots), "surface").repartition(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), "surface")
 
     def nonzero(values: Column, name: str) -> Column:
         pairs = F.transform(values, lambda b, i: F.struct((i + 1).alias(name), b.alias("b")))
         return F.filter(pairs, lambda p: p["b"] != 0)
 
-    weighted = spread.withColumns({
-        "_bu": nonzero(basis(F.col("_w.u"), F.col("ku"), F.col("n")), "col"), "_bv": nonzero(basis(F.col("_w.v"), F.col("kv"), F.col("m")), "row")})
-    rows = weighted.select("surface", "j", "i", "u", "v", F.col("_w.w").alias("w"), "_bv", F.explode("_bu").alias("_cu")).select(
+    def along(size: str, knots_of: str, n: str, name: str) -> Column:
+        """Of each parameter the basis there, a step below and a step above: once a row and a column, not once a place."""
+        def three(i: Column) -> Column:
+            t = i / F.greatest(F.col(size) - 1, F.lit(1))
+            near = (t, F.greatest(t - DELTA, F.lit(0.0)), F.least(t + DELTA, F.lit(1.0)))
+            return F.struct(i.alias("i"), t.alias("t"), F.array(*[nonzero(basis(x, F.col(knots_of), F.col(n)), name) for x in near]).alias("b"))
+
+        return F.transform(F.sequence(F.lit(0), F.col(size) - 1), three)
+
+    at = sized.select("surface", along("_nu", "ku", "n", "col").alias("_us"), along("_nv", "kv", "m", "row").alias("_vs"))
+    at = at.select("surface", "_us", F.explode("_vs").alias("_v")).select("surface", "_v", F.explode("_us").alias("_u"))
+    places = [(0, 0), (1, 0), (2, 0), (0, 1), (0, 2)]  # itself, below and above along u, below and above along v
+    spread = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.col("_u.b")[a].alias("u"), F.col("_v.b")[b].alias("v")) for w, (a, b) in enumerate(places)]))
+    weighted = at.select("surface", F.col("_v.i").alias("j"), F.col("_u.i").alias("i"), F.col("_u.t").alias("u"), F.col("_v.t").alias("v"), spread.alias("_w"))
+    rows = weighted.select("surface", "j", "i", "u", "v", F.col("_w.w").alias("w"), F.col("_w.v").alias("_bv"), F.explode("_w.u").alias("_cu")).select(
         "surface", "j", "i", "u", "v", "w", "_cu", F.explode("_bv").alias("_cv")).select(
         "surface", "j", "i", "u", "v", "w", F.col("_cv.row").alias("row"), F.col("_cu.col").alias("col"), (F.col("_cu.b") * F.col("_cv.b")).alias("b"))
     met = rows.join(control_points, ["surface", "row", "col"])

@@ -5,12 +5,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from arborlake.plans.cut import cut
 
 
-def numbered(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+def numbered(spark: SparkSession, path: str, key: str | None = None, one: bool = False) -> DataFrame:
     """(file, pos, value) with pos from 1.
 
     ``file`` is a file's name, or with ``key`` the value of that partition folder; the part files of one folder are
     then one text, in the order of their names.  Files are told apart by their whole path, as writers give the parts
-    of all folders the same names.
+    of all folders the same names.  With ``one`` all files below ``path`` are one text.
 
     A large file is read in blocks.  A row knows the start of its block, and rows
     of a block keep their order, so the number of a line is its place in the block
@@ -18,7 +18,7 @@ def numbered(spark: SparkSession, path: str, key: str | None = None) -> DataFram
     """
     raw = spark.read.text(path)
     name = F.col(key).cast("string") if key else F.col("_metadata.file_name")
-    group = name if key else F.col("_metadata.file_path")
+    group = F.lit(path) if one else name if key else F.col("_metadata.file_path")
     raw = raw.select(
         name.alias("file"), group.alias("_text"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"), "value")
