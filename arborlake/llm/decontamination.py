@@ -30,7 +30,7 @@ WINDOW, GRAM = 10, 5
 BLOCK_BYTES = 2 << 20
 _INSIDE = byte_class(bytes(range(0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x80)))
 _SYMBOLS = byte_symbols(8, fold=True)
-_FILTER_BITS = 22
+_FILTER_BITS = 22  # at most; 16 places for each hash of a smaller block
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray):
@@ -97,13 +97,13 @@ def candidates(block: dict, hashes: np.ndarray, rows: np.ndarray):
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
-    out = np.zeros(1 << _FILTER_BITS, bool)
-    out[(values & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
+    out = np.zeros(1 << min(_FILTER_BITS, max(10, (16 * len(values)).bit_length())), bool)
+    out[(values & np.uint64(len(out) - 1)).astype(np.int64)] = True
     return out
 
 
 def _within(h: np.ndarray, known: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    out = bits[(h & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)]
+    out = bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)]
     some = np.flatnonzero(out)
     at = np.minimum(np.searchsorted(known, h[some]), len(known) - 1)
     out[some] = known[at] == h[some]
@@ -178,8 +178,9 @@ def blocked(benchmark: DataFrame, block_bytes: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([item.as_py()], item.type), pa.array([piece]), pa.array([f"{task}-{block}"])], ["item_id", "text", "block"])
 
-    # About 16 blocks for each task, so few blocks are left part filled.
-    dealt = bench.repartition(1 + total // (16 * block_bytes), "item_id", "text")
+    # About 16 blocks for each task, so few blocks are left part filled.  Items go round by number, not by key: a session
+    # that raises the parts of keyed shuffles would make a broadcast block for each.
+    dealt = bench.repartition(1 + total // (16 * block_bytes))
     return cut(dealt.mapInArrow(run, StructType([*bench.schema.fields, StructField("block", StringType())])), "benchmark")
 
 
