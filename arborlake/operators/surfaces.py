@@ -13,6 +13,7 @@ from arborlake.plans.lookup import lookup
 from arborlake.plans.running import first_rows
 
 DELTA = 1e-4  # step of the finite difference for normals
+SMALL_NET = 256  # control points of a surface that are held in its row
 
 
 def open_uniform_knots(n_ctrl: int, degree: int) -> list[float]:
@@ -68,12 +69,19 @@ def sample(surfaces: DataFrame, knots: DataFrame, control_points: DataFrame, n_u
     """(surface, j, i, u, v, x, y, z, nx, ny, nz) on a grid of n_u x n_v parameters per surface.
 
     Only the non-zero basis products meet their control points, so a sample costs
-    (p_u + 1)(p_v + 1) rows per evaluated place.
+    (p_u + 1)(p_v + 1) rows per evaluated place.  Nets of up to ``SMALL_NET`` points travel with their surface; of larger
+    ones the products are joined.  Spark takes exploded rows for small, so joins are told to broadcast none.
     """
     spark = surfaces.sparkSession
+    largest = control_points.groupBy("surface").count().agg(F.max("count")).first()[0] or 0
     # A short table of surfaces would be one task, which then makes all samples.
-    sized = surfaces.withColumns({"_nu": n_u, "_nv": n_v}).join(_knot_arrays(knots), "surface").repartition(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), "surface")
+    sized = surfaces.withColumns({"_nu": n_u, "_nv": n_v}).join(_knot_arrays(knots).hint("merge"), "surface")
+    point = F.struct("row", "col", "x", "y", "z")
+    if largest <= SMALL_NET:
+        sized = sized.join(control_points.groupBy("surface").agg(F.collect_list(point).alias("_net")).hint("merge"), "surface")
+    else:
+        sized = sized.withColumn("_net", F.lit(None))
+    sized = sized.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "surface")
 
     def nonzero(values: Column, name: str) -> Column:
         pairs = F.transform(values, lambda b, i: F.struct((i + 1).alias(name), b.alias("b")))
@@ -88,15 +96,23 @@ def sample(surfaces: DataFrame, knots: DataFrame, control_points: DataFrame, n_u
 
         return F.transform(F.sequence(F.lit(0), F.col(size) - 1), three)
 
-    at = sized.select("surface", along("_nu", "ku", "n", "col").alias("_us"), along("_nv", "kv", "m", "row").alias("_vs"))
-    at = at.select("surface", "_us", F.explode("_vs").alias("_v")).select("surface", "_v", F.explode("_us").alias("_u"))
+    at = sized.select("surface", "_net", along("_nu", "ku", "n", "col").alias("_us"), along("_nv", "kv", "m", "row").alias("_vs"))
+    at = at.select("surface", "_net", "_us", F.explode("_vs").alias("_v")).select("surface", "_net", "_v", F.explode("_us").alias("_u"))
     places = [(0, 0), (1, 0), (2, 0), (0, 1), (0, 2)]  # itself, below and above along u, below and above along v
     spread = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.col("_u.b")[a].alias("u"), F.col("_v.b")[b].alias("v")) for w, (a, b) in enumerate(places)]))
-    weighted = at.select("surface", F.col("_v.i").alias("j"), F.col("_u.i").alias("i"), F.col("_u.t").alias("u"), F.col("_v.t").alias("v"), spread.alias("_w"))
-    rows = weighted.select("surface", "j", "i", "u", "v", F.col("_w.w").alias("w"), F.col("_w.v").alias("_bv"), F.explode("_w.u").alias("_cu")).select(
-        "surface", "j", "i", "u", "v", "w", "_cu", F.explode("_bv").alias("_cv")).select(
-        "surface", "j", "i", "u", "v", "w", F.col("_cv.row").alias("row"), F.col("_cu.col").alias("col"), (F.col("_cu.b") * F.col("_cv.b")).alias("b"))
-    met = rows.join(control_points, ["surface", "row", "col"])
+    weighted = at.select("surface", "_net", F.col("_v.i").alias("j"), F.col("_u.i").alias("i"), F.col("_u.t").alias("u"), F.col("_v.t").alias("v"), spread.alias("_w"))
+    place = ["surface", "j", "i", "u", "v"]
+    if largest <= SMALL_NET:
+        def weight(values: str, name: str, p: Column) -> Column:
+            return F.get(F.filter(F.col(values), lambda c: c[name] == p[name]), F.lit(0))["b"]
+
+        meet = F.transform("_net", lambda p: F.struct((weight("_w.u", "col", p) * weight("_w.v", "row", p)).alias("b"), p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z")))
+        met = weighted.select(*place, F.col("_w.w").alias("w"), F.inline(F.filter(meet, lambda p: p["b"].isNotNull())))
+    else:
+        rows = weighted.select(*place, F.col("_w.w").alias("w"), F.col("_w.v").alias("_bv"), F.explode("_w.u").alias("_cu")).select(
+            *place, "w", "_cu", F.explode("_bv").alias("_cv")).select(
+            *place, "w", F.col("_cv.row").alias("row"), F.col("_cu.col").alias("col"), (F.col("_cu.b") * F.col("_cv.b")).alias("b"))
+        met = rows.hint("merge").join(control_points, ["surface", "row", "col"])
     sums = [F.sum(F.when(F.col("w") == n, F.col("b") * F.col(a))).alias(f"_{a}{n}") for n in range(5) for a in "xyz"]
     found = met.groupBy("surface", "j", "i", "u", "v").agg(*sums)
     p = [triple(*[f"_{a}{n}" for a in "xyz"]) for n in range(5)]

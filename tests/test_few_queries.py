@@ -67,7 +67,9 @@ def test_samples_of_many_surfaces_share_files(spark, tmp_path):
     assert sorted(tuple(r) for r in both.select("surface", "id", "x", "y", "z", "ny").collect()) == sorted((r[0], r[1] * 3 + r[2] + 1, *r[3:6], r[7]) for r in rows)
 
 
-def test_a_short_table_of_surfaces_is_sampled_by_many_tasks(spark):
+@pytest.mark.parametrize("small", [256, 0])
+def test_a_short_table_of_surfaces_is_sampled_by_many_tasks(spark, monkeypatch, small):
+    monkeypatch.setattr(N, "SMALL_NET", small)
     at = spark.createDataFrame([(f"s{k}", 4, 5) for k in range(40)], "surface string, m int, n int").coalesce(1)
     knots = at.select("surface", F.inline(F.array(*[F.struct(F.lit(d).alias("dir"), F.lit(i).alias("idx"), F.lit(v).alias("value"))
                                                     for d, n, p in (("u", 5, 4), ("v", 4, 3)) for i, v in enumerate(N.open_uniform_knots(n, p))])))
@@ -75,6 +77,7 @@ def test_a_short_table_of_surfaces_is_sampled_by_many_tasks(spark):
         "surface", "row", "col", *[F.col(c).cast("double").alias(a) for a, c in (("x", "col"), ("y", "row"))], F.lit(0.0).alias("z"))
     made = N.sample(at, knots, net, F.lit(3), F.lit(2))
     assert "RepartitionByExpression" in made._jdf.queryExecution().optimizedPlan().toString()
+    assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
     rows = {(r.surface, r.j, r.i): (r.x, r.y, r.nz) for r in made.collect()}
     assert len(rows) == 240 and rows["s3", 1, 2] == pytest.approx((5.0, 4.0, 1.0)) and rows["s0", 0, 1] == pytest.approx((3.0, 1.0, 1.0))
 
