@@ -87,12 +87,15 @@ def sample(surfaces: DataFrame, knots: DataFrame, control_points: DataFrame, n_u
         pairs = F.transform(values, lambda b, i: F.struct((i + 1).alias(name), b.alias("b")))
         return F.filter(pairs, lambda p: p["b"] != 0)
 
+    def shaped(values: Column, name: str) -> Column:
+        return values if largest <= SMALL_NET else nonzero(values, name)
+
     def along(size: str, knots_of: str, n: str, name: str) -> Column:
         """Of each parameter the basis there, a step below and a step above: once a row and a column, not once a place."""
         def three(i: Column) -> Column:
             t = i / F.greatest(F.col(size) - 1, F.lit(1))
             near = (t, F.greatest(t - DELTA, F.lit(0.0)), F.least(t + DELTA, F.lit(1.0)))
-            return F.struct(i.alias("i"), t.alias("t"), F.array(*[nonzero(basis(x, F.col(knots_of), F.col(n)), name) for x in near]).alias("b"))
+            return F.struct(i.alias("i"), t.alias("t"), F.array(*[shaped(basis(x, F.col(knots_of), F.col(n)), name) for x in near]).alias("b"))
 
         return F.transform(F.sequence(F.lit(0), F.col(size) - 1), three)
 
@@ -103,10 +106,11 @@ def sample(surfaces: DataFrame, knots: DataFrame, control_points: DataFrame, n_u
     weighted = at.select("surface", "_net", F.col("_v.i").alias("j"), F.col("_u.i").alias("i"), F.col("_u.t").alias("u"), F.col("_v.t").alias("v"), spread.alias("_w"))
     place = ["surface", "j", "i", "u", "v"]
     if largest <= SMALL_NET:
-        def weight(values: str, name: str, p: Column) -> Column:
-            return F.get(F.filter(F.col(values), lambda c: c[name] == p[name]), F.lit(0))["b"]
+        def product(p: Column) -> Column:
+            across, down = F.get(F.col("_w.u"), p["col"] - 1), F.get(F.col("_w.v"), p["row"] - 1)
+            return F.when((across != 0) & (down != 0), across * down)
 
-        meet = F.transform("_net", lambda p: F.struct((weight("_w.u", "col", p) * weight("_w.v", "row", p)).alias("b"), p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z")))
+        meet = F.transform("_net", lambda p: F.struct(product(p).alias("b"), p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z")))
         met = weighted.select(*place, F.col("_w.w").alias("w"), F.inline(F.filter(meet, lambda p: p["b"].isNotNull())))
     else:
         rows = weighted.select(*place, F.col("_w.w").alias("w"), F.col("_w.v").alias("_bv"), F.explode("_w.u").alias("_cu")).select(
