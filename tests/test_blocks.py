@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arborlake.operators import spatial
-from arborlake.plans import blocks
+from arborlake.operators import lines, spatial
+from arborlake.plans import blocks, boxes
 
 SEG = "tree string, id long, parent_id long, px double, py double, pz double, dx double, dy double, dz double, radius_mm double"
 
@@ -87,5 +87,21 @@ def test_rows_shuffled_follow_the_items(spark, monkeypatch):
         "id", "own", *[F.col(c).alias(f"{k}{c}") for k in "pd" for c in "xyz"])
     held = blocks.Blocks(items)
     assert held.items.groupBy("_b").count().agg(F.max("count")).first()[0] <= 128
-    asked = held.items.withColumn("d_sq", F.lit(36.0))
-    assert held.routed(asked, ("dx", "dy", "dz"), "d_sq", True).count() < 4 * len(rows)
+    asked = held.items.withColumn("d_sq", F.lit(9.0))
+    assert held.routed(asked, ("dx", "dy", "dz"), "d_sq", True).count() < 3 * len(rows)
+
+
+@pytest.mark.parametrize("packed", [3, 1 << 10])
+def test_closest_pairs_of_short_and_long_lines(spark, monkeypatch, packed):
+    """Short lines travel whole: no cells are built for them."""
+    monkeypatch.setattr(lines, "PACKED", packed)
+    if packed > 6:
+        monkeypatch.setattr(boxes, "build", None)
+    rng = random.Random(5)
+    spots = {(n, p): [rng.randrange(4) for _ in range(3)] for n in range(12) for p in range(1, 2 + n % 6)}
+    asked = [(n, (n + k) % 12) for n in range(12) for k in (1, 5)]
+    points = spark.createDataFrame([(n, p, *map(float, at)) for (n, p), at in spots.items()], "line long, pos int, x double, y double, z double")
+    got = {(r.parent, r.child): (r.parent_pos, r.child_pos, r.gap_mm) for r in lines.closest_pairs(points, spark.createDataFrame(asked, "parent long, child long")).collect()}
+    for a, b in asked:
+        d, i, j = min((math.dist(u, v), i, j) for (n, i), u in spots.items() if n == a for (m, j), v in spots.items() if m == b)
+        assert got[a, b] == (i, j, pytest.approx(d))
