@@ -3,7 +3,9 @@
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from arborlake.functions import flow
 from arborlake.plans.cut import cut, cut_counted, work_dir
@@ -31,14 +33,16 @@ def grid_around(bounds: dict[str, float], spacing, padding) -> Grid:
 
 
 SLABS = 64  # voxels of one axis a row is spread over at a time
+CELLS = 65_536  # voxels that one step of a task looks at together
 
 
 def segment_hits(segs: DataFrame, grid: Grid, supersample: int = 2, keys=("tree", "id")) -> DataFrame:
     """(keys, i, j, k, share): share of the sub-points of a voxel within the radius of a segment.
 
-    The box of a segment is unfolded plane by plane; the planes of thick
-    segments are dealt out over the cluster first, so that one segment with a
-    large box does not keep one task busy.
+    The box of a segment is cut into pieces of planes, which are dealt out over
+    the cluster, so that one segment with a large box does not keep one task
+    busy.  A task looks at ``CELLS`` voxels at a time, whatever their pieces;
+    the loop over sub-points is too long for a compiled stage.
     """
     r = F.col("radius_mm")
     ranges = {}
@@ -51,44 +55,60 @@ def segment_hits(segs: DataFrame, grid: Grid, supersample: int = 2, keys=("tree"
     row = F.explode(F.sequence(F.col("_y0"), F.greatest(F.col("_y0"), F.col("_y1")), F.lit(SLABS)))
     # Boxes cut in two axes are dealt out before they unfold: a piece is at most SLABS x SLABS rows of voxels.
     slabs = boxed.withColumn("_slab", slab).withColumn("_row", row).repartition(*keys, "_slab", "_row")
-    voxels = (
-        slabs.withColumn("k", F.explode(F.sequence("_slab", F.least(F.greatest("_z0", "_z1"), F.col("_slab") + SLABS - 1))))
-        .withColumn("j", F.explode(F.sequence("_row", F.least(F.greatest("_y0", "_y1"), F.col("_row") + SLABS - 1))))
-        .withColumn("i", F.explode(F.sequence("_x0", F.greatest("_x0", "_x1"))))
-    )
-    # First sub-point of the voxel relative to the proximal end, then all sub-points by their constant offsets.
-    axis = [F.col(f"d{c}") - F.col(f"p{c}") for c in "xyz"]
-    first = {
-        f"_w{c}": o + (F.col(n) - 1 + 0.5 / supersample) * h - F.col(f"p{c}")
-        for c, n, o, h in zip("xyz", IJK, grid.origin, grid.spacing)
-    }
-    w = [F.col(f"_w{c}") for c in "xyz"]
-    a = [F.col(f"_a{c}") for c in "xyz"]
-    based = (
-        voxels.withColumns(first | {f"_a{c}": v for c, v in zip("xyz", axis)})
-        .withColumns({
-            "_aa": a[0] * a[0] + a[1] * a[1] + a[2] * a[2], "_wa": w[0] * a[0] + w[1] * a[1] + w[2] * a[2],
-            "_ww": w[0] * w[0] + w[1] * w[1] + w[2] * w[2], "_rr": r * r})
-    )
-    count = F.lit(0)
-    steps = [h / supersample for h in grid.spacing]
-    for sz in range(supersample):
-        for sy in range(supersample):
-            for sx in range(supersample):
-                off = [sx * steps[0], sy * steps[1], sz * steps[2]]
-                wa = F.col("_wa") + off[0] * a[0] + off[1] * a[1] + off[2] * a[2]
-                ww = F.col("_ww") + 2 * (off[0] * w[0] + off[1] * w[1] + off[2] * w[2]) + sum(v * v for v in off)
-                # Nearest to the proximal end, to the distal end, or to a place between.
-                hit = (
-                    F.when(wa <= 0, ww <= F.col("_rr"))
-                    .when(wa >= F.col("_aa"), ww - 2 * wa + F.col("_aa") <= F.col("_rr"))
-                    .otherwise(ww * F.col("_aa") - wa * wa <= F.col("_rr") * F.col("_aa"))
-                )
-                count = count + hit.cast("int")
-    counted = based.select(*keys, *IJK, (count / supersample**3).alias("_share"))
-    # Empty voxels leave through the generator: a filter would be pushed down and repeat the whole count.
-    some = F.filter(F.array(F.struct(F.col("_share").alias("share"))), lambda v: v["share"] > 0)
-    return counted.select(*keys, *IJK, F.inline(some))
+    ends = [*[f"p{a}" for a in "xyz"], *[f"d{a}" for a in "xyz"], "radius_mm"]
+    box = ["_x0", "_x1", "_row", "_y1", "_slab", "_z1"]
+    pieces = slabs.withColumns({
+        "_x1": F.greatest("_x0", "_x1"),
+        "_y1": F.least(F.greatest("_y0", "_y1"), F.col("_row") + SLABS - 1),
+        "_z1": F.least(F.greatest("_z0", "_z1"), F.col("_slab") + SLABS - 1)})
+    # A row without one of its numbers covers nothing.
+    pieces = pieces.select(*keys, *[F.col(c).cast("double").alias(c) for c in ends], *box).dropna(subset=ends)
+    origin, spacing = [float(o) for o in grid.origin], [float(s) for s in grid.spacing]
+    names, cells = list(keys), CELLS
+
+    def run(batches):
+        def with_nan(u, v):  # as Spark compares: NaN is the largest number
+            return (u <= v) | np.isnan(v)
+
+        steps = [h / supersample for h in spacing]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x0, x1, y0, y1, z0, z1 = (batch.column(c).to_numpy().astype(np.int64) for c in box)
+            nx, ny = x1 - x0 + 1, y1 - y0 + 1
+            upto = np.cumsum(nx * ny * (z1 - z0 + 1))
+            number = {c: batch.column(c).to_numpy() for c in ends}
+            # No product of numbers below this limit leaves the range of a double.
+            at_most = np.less_equal if all((np.abs(v) < 1e70).all() for v in number.values()) else with_nan
+            for low in range(0, int(upto[-1]), cells):
+                cell = np.arange(low, min(low + cells, int(upto[-1])))
+                of = np.searchsorted(upto, cell, "right")
+                cell -= np.append(0, upto)[of]
+                ijk = [x0[of] + cell % nx[of], y0[of] + cell // nx[of] % ny[of], z0[of] + cell // (nx[of] * ny[of])]
+                p = [number[f"p{c}"][of] for c in "xyz"]
+                a = [number[f"d{c}"][of] - p[n] for n, c in enumerate("xyz")]
+                # First sub-point of the voxel relative to the proximal end, then all sub-points by their constant offsets.
+                w = [o + (n - 1 + 0.5 / supersample) * h - v for n, o, h, v in zip(ijk, origin, spacing, p)]
+                aa, wa0, ww0 = (u[0] * v[0] + u[1] * v[1] + u[2] * v[2] for u, v in ((a, a), (w, a), (w, w)))
+                rr = number["radius_mm"][of] * number["radius_mm"][of]
+                count = np.zeros(len(of), np.int64)
+                for sz in range(supersample):
+                    for sy in range(supersample):
+                        for sx in range(supersample):
+                            off = [sx * steps[0], sy * steps[1], sz * steps[2]]
+                            wa = wa0 + off[0] * a[0] + off[1] * a[1] + off[2] * a[2]
+                            ww = ww0 + 2 * (off[0] * w[0] + off[1] * w[1] + off[2] * w[2]) + sum(v * v for v in off)
+                            # Nearest to the proximal end, to the distal end, or to a place between.
+                            count += np.where(at_most(wa, 0.0), at_most(ww, rr), np.where(
+                                at_most(aa, wa), at_most(ww - 2 * wa + aa, rr), at_most(ww * aa - wa * wa, rr * aa)))
+                some = np.flatnonzero(count)
+                rows = pa.array(of[some])
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).take(rows) for c in names], *[pa.array(n[some].astype(np.int32)) for n in ijk],
+                     pa.array(count[some] / supersample**3)], names=[*names, "i", "j", "k", "share"])
+
+    hit = T.StructType([*[segs.schema[c] for c in keys], *[T.StructField(c, T.IntegerType()) for c in IJK], T.StructField("share", T.DoubleType())])
+    return pieces.mapInArrow(run, hit)
 
 
 def occupancy(hits: DataFrame) -> DataFrame:

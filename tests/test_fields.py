@@ -298,3 +298,35 @@ def test_a_repeated_snapshot_replaces_its_run(spark, make, tmp_path):
     found = spark.read.parquet(f"{tmp_path}/segments").groupBy("run_ts").count().orderBy("run_ts").collect()
     assert [r["count"] for r in found] == [2, 3]
     assert spark.read.text(f"{tmp_path}/manifest").count() == 2 and spark.read.parquet(f"{tmp_path}/voxels").count() == 2
+
+
+def test_voxel_shares_of_many_and_of_odd_segments(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [("T", i, *map(float, rng.uniform(-2, 9, 6)), float(rng.uniform(0.1, 3))) for i in range(40)]
+    rows += [("T", 1, *rows[1][2:]), (None, None, *rows[2][2:]), ("N", 90, None, *rows[3][3:]), ("N", 91, *rows[3][2:8], None), ("N", 92, float("nan"), *rows[3][3:]), ("N", 93, *rows[3][2:8], float("inf")), ("L", 94, 0.0, 0.0, 0.0, 0.0, 140.0, 140.0, 0.4)]
+    segs = spark.createDataFrame(rows, "tree string, id bigint, px double, py double, pz double, dx double, dy double, dz double, radius_mm double")
+    grid, want = V.Grid((-1.0, 0.0, -0.5), (1.0, 1.5, 2.0), (8, 80, 70)), {}
+    subs = [np.array(o) + 0.5 for o in np.ndindex(2, 2, 2)]
+    for tree, seg, *at in rows:
+        if any(v is None or not np.isfinite(v) for v in at) and tree == "N" and seg != 93:
+            continue
+        p, q, r = np.array(at[:3]), np.array(at[3:6]), at[6]
+        lo = [int(min(max(np.floor((min(u, v) - r - o) / s) + 1, 1), n)) for u, v, o, s, n in zip(p, q, grid.origin, grid.spacing, grid.dims)]
+        hi = [int(max(l, min(max(np.ceil((max(u, v) + r - o) / s), 1), n))) for l, u, v, o, s, n in zip(lo, p, q, grid.origin, grid.spacing, grid.dims)]
+        a = q - p
+        for ijk in np.ndindex(*[h - l + 1 for l, h in zip(lo, hi)]):
+            ijk = np.add(ijk, lo)
+            spots = [np.array(grid.origin) + (ijk - 1 + o / 2) * grid.spacing for o in subs]
+            near = [x - (p + a * min(max((x - p) @ a / (a @ a), 0), 1)) for x in spots]
+            n = sum(float(d @ d) <= r * r for d in near)
+            if n:
+                key = (tree, seg, *map(int, ijk), n / 8)
+                want[key] = want.get(key, 0) + 1
+    for cells in (V.CELLS, 1_000):
+        monkeypatch.setattr(V, "CELLS", cells)
+        got = V.segment_hits(segs, grid)
+        assert "MapInArrow" in got._jdf.queryExecution().toString()  # not in a stage that is too long to be compiled
+        found = {}
+        for r in got.collect():
+            found[tuple(r)] = found.get(tuple(r), 0) + 1
+        assert {k: v for k, v in found.items() if k[1] != 92} == want
