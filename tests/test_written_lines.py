@@ -1,4 +1,8 @@
+import numpy as np
+from pyspark.sql import functions as F
+
 from arborlake.catalog import q_series
+from arborlake.operators import lines as L
 
 ITEM = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_extendedprice double, l_quantity double, l_tax double, l_discount double"
 
@@ -16,3 +20,14 @@ def test_lines_are_numbered_once_for_slices_and_reversals(spark, tmp_path):
         want |= {(k, "reversed", i + 1, v) for i, v in enumerate(x[::-1])}
     rows = [tuple(r) for r in got.collect()]
     assert set(rows) == want and len(rows) == len(want)
+
+
+def test_resampling_meets_no_table_of_sizes(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, n + 1, *map(float, rng.uniform(0, 6, 3)), float(rng.uniform(0.2, 2))) for k in range(12) for n in range(k)]
+    points = spark.createDataFrame([*rows, (None, 1, 0.0, 0.0, 0.0, 1.0)], "line bigint, pos int, x double, y double, z double, radius_mm double")
+    whole = L.resample(points)
+    assert "Join" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    sliced = L.resample(points, slice_points=4)
+    shown = [[tuple(r) for r in t.orderBy("line", "pos").select("line", "pos", *[F.round(c, 6) for c in L.POINT]).collect()] for t in (whole, sliced)]
+    assert shown[0] == shown[1] and {r[0] for r in shown[0]} == set(range(1, 12))
