@@ -2,6 +2,7 @@
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -281,29 +282,71 @@ def display_range(values: DataFrame, keys: list[str], low: float = 0.01, high: f
 _FACES = ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))
 
 
-def _face_pairs(cells: DataFrame, cols: list[str], prefix: str) -> DataFrame:
-    """One row per cell and face neighbour, with the neighbour's columns."""
-    steps = F.explode(F.array(*[F.struct(*[F.lit(v).alias(a) for v, a in zip(f, IJK)]) for f in _FACES]))
-    asked = cells.withColumn("_f", steps)
-    target = cells.select(*[F.col(a).alias(f"_{a}") for a in IJK], *[F.col(c).alias(f"{prefix}{c}") for c in cols])
-    return asked.withColumns({f"_{a}": F.col(a) + F.col(f"_f.{a}") for a in IJK}).join(target, ["_i", "_j", "_k"]).drop("_f", "_i", "_j", "_k")
+BLOCK = 64  # cells along each axis of a block that one task labels by itself
+
+
+def _local_components(cells: DataFrame, owner: str) -> DataFrame:
+    """Adds ``cell`` and ``label``: the smallest cell code connected with a cell within its block of BLOCK^3 cells.
+
+    Rows of one cell come once for each row that it has.
+    """
+    at = F.shiftleft(F.col("k").cast("long"), 42) + F.shiftleft(F.col("j").cast("long"), 21) + F.col("i")
+    blocks = {f"_b{a}": F.floor(F.col(a) / BLOCK) for a in IJK}
+    coded = cells.withColumn("cell", at.cast("long")).where(F.col("cell").isNotNull())
+    schema = T.StructType([*coded.schema.fields, T.StructField("label", T.LongType())])
+
+    def run(table):
+        rows, inverse, times = np.unique(table.column("cell").to_numpy(), return_inverse=True, return_counts=True)
+        kinds = table.column(owner).combine_chunks().dictionary_encode().indices
+        kind = kinds.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        n = len(rows)
+        owned = np.unique(kind[kind >= 0] * n + inverse[kind >= 0])  # (owner, cell) that exist
+        ends = []
+        for step in (1, 1 << 21, 1 << 42):
+            ahead = rows[owned % n] + step
+            to = np.minimum(np.searchsorted(rows, ahead), n - 1)
+            there = owned // n * n + to
+            found = np.minimum(np.searchsorted(owned, there), len(owned) - 1)
+            hit = (rows[to] == ahead) & (owned[found] == there)
+            ends.append((owned[hit] % n, to[hit]))
+        a, b = (np.concatenate(x) for x in zip(*ends))
+        root = np.arange(n)
+        while len(a):
+            x, y = root[a], root[b]
+            open_ = x != y
+            a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+        where = np.repeat(np.arange(len(inverse)), times[inverse])
+        table = table.take(pa.array(where)).select(schema.names[:-1])
+        return table.append_column("label", pa.array(rows[root[inverse[where]]]))
+
+    return coded.withColumns(blocks).groupBy(*blocks).applyInArrow(run, schema)
 
 
 def components(cells: DataFrame, owner: str = "owner") -> DataFrame:
     """Adds ``component``: the smallest cell code of the face-connected cells with the same owner.
 
-    Every round a component is joined to the smallest label next to it and then
-    follows the labels one jump further, so long chains halve and rounds stay few.
+    Blocks of cells are labelled each in one task; what is left is a graph of
+    the labels that meet at faces between blocks.  Every round a label is
+    joined to the smallest one next to it and then follows the labels one jump
+    further, so long chains halve and rounds stay few.
     """
-    code = F.shiftleft(F.col("k").cast("long"), 42) + F.shiftleft(F.col("j").cast("long"), 21) + F.col("i")
-    state = cut(cells.withColumn("cell", code), "cells")
-    near = _face_pairs(state.select(*IJK, owner, "cell"), [owner, "cell"], "n_")
-    edges = cut(near.where(F.col(owner) == F.col(f"n_{owner}")).select("cell", F.col("n_cell").alias("to")), "edges")
-    labels = cut(state.select("cell", F.col("cell").alias("label")), "labels")
-    n = labels.count()
+    state = cut(_local_components(cells, owner), "cells")
+    own = [F.col(a) for a in IJK]
+    high = reduce(Column.__or__, [F.pmod(c, F.lit(BLOCK)) == BLOCK - 1 for c in own])
+    target = state.where(high).select(*IJK, F.col(owner).alias("_owner"), F.col("label").alias("to"))
+    low = [state.where(F.pmod(c, F.lit(BLOCK)) == 0).select(*[(x - int(a == b)).cast(state.schema[b].dataType).alias(b) for b, x in zip(IJK, own)], owner, "label")
+           for a, c in zip(IJK, own)]
+    met = reduce(DataFrame.unionByName, low).join(target, IJK).where(F.col(owner) == F.col("_owner"))
+    met = met.select(F.col("label").alias("cell"), "to").distinct()
+    edges = cut(met.unionByName(met.select(F.col("to").alias("cell"), F.col("cell").alias("to"))), "edges")
+    labels, tally = cut_counted(edges.select("cell", F.col("cell").alias("label")).distinct(), "labels", n=F.count("*"))
+    n, n_edges = tally["n"], edges.count()
     while True:
         # Hook: labels of both ends of every edge between two components meet at the larger label.
-        ends = lookup(edges, labels, ["cell"], n * 6).withColumnRenamed("label", "la").join(
+        ends = lookup(edges, labels, ["cell"], n_edges).withColumnRenamed("label", "la").join(
             labels.select(F.col("cell").alias("to"), F.col("label").alias("lb")), "to").where("lb < la")
         lower = ends.groupBy(F.col("la").alias("label")).agg(F.min("lb").alias("low"))
         lower, tally = cut_counted(lower, "hooks", n=F.count("*"))
@@ -321,7 +364,9 @@ def components(cells: DataFrame, owner: str = "owner") -> DataFrame:
                 break
         hooked = lookup(labels, labels.select("label").distinct().join(lower, "label", "left"), ["label"], n)
         labels = cut(hooked.select("cell", F.coalesce("low", "label").alias("label")), "labels")
-    return state.join(labels, "cell").drop("cell").withColumnRenamed("label", "component")
+    # Most labels keep themselves; the others are few beside the cells.
+    moved = labels.where("cell <> label").select(F.col("cell").alias("label"), F.col("label").alias("component"))
+    return state.join(moved, "label", "left").withColumn("component", F.coalesce("component", "label")).drop("cell", "label")
 
 
 def clean_islands(cells: DataFrame, owner: str = "owner", min_voxels: int = 16) -> DataFrame:

@@ -81,6 +81,28 @@ def test_components_and_islands(spark):
         assert cleaned[c] == (1 - own[c] if flip else own[c])
 
 
+def test_components_meet_only_at_faces_of_blocks(spark, monkeypatch):
+    written = {}
+
+    def seen(df, label="cut", keep=V.cut):
+        written[label] = (table := keep(df, label)).count()
+        return table
+
+    monkeypatch.setattr(V, "cut", seen)
+    full = [(i, j, k, 1) for i in range(1, 13) for j in range(1, 13) for k in range(1, 13)]
+    one = V.components(spark.createDataFrame(full, "i int, j int, k int, owner int"))
+    assert {r["component"] for r in one.collect()} == {(1 << 42) + (1 << 21) + 1} and written["edges"] == 0
+    monkeypatch.setattr(V, "BLOCK", 3, raising=False)
+    # A line that winds through blocks, a twin beside it, one row twice, rows without an owner or a place.
+    way = [(i, j, 2) for j in range(1, 12, 2) for i in range(1, 12)] + [(11 if n % 2 else 1, 2 * n, 2) for n in range(1, 6)]
+    rows = [(*c, "a") for c in way] + [(i, j, 5, "b") for i, j, _ in way] + [(4, 1, 2, "a"), (4, 4, 4, None), (4, 4, 5, None), (None, 1, 1, "a")]
+    got = V.components(spark.createDataFrame(rows, "i int, j int, k int, owner string")).collect()
+    code = lambda i, j, k: (k << 42) + (j << 21) + i
+    assert {r["component"] for r in got if r["owner"] == "a"} == {code(1, 1, 2)} and {r["component"] for r in got if r["owner"] == "b"} == {code(1, 1, 5)}
+    assert sum(r["owner"] == "a" for r in got) == len(way) + 3 and sum(r["owner"] is None for r in got) == 2
+    assert len({r["component"] for r in got if r["owner"] is None}) == 2
+
+
 def test_segment_voxels_against_numpy(make):
     seg = make([(1, -1, 1.0, 1.2, 0.7, 4.1, 3.3, 2.9, 0.8)])
     grid = V.Grid((0.0, 0.0, 0.0), (0.5, 0.5, 0.5), (12, 12, 12))
