@@ -31,3 +31,23 @@ def test_resampling_meets_no_table_of_sizes(spark):
     sliced = L.resample(points, slice_points=4)
     shown = [[tuple(r) for r in t.orderBy("line", "pos").select("line", "pos", *[F.round(c, 6) for c in L.POINT]).collect()] for t in (whole, sliced)]
     assert shown[0] == shown[1] and {r[0] for r in shown[0]} == set(range(1, 12))
+
+
+def test_lines_are_numbered_once_for_joints_and_summaries(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    items = [(k, n, 1, 1, *map(float, rng.uniform([1e3, 1, 0, 0], [6e4, 50, 0.08, 0.1]))) for k in range(1, 15) for n in range(1, 2 + k % 4)]
+    spark.createDataFrame([*items, (None, 1, 1, 1, 1.0, 1.0, 0.0, 0.0)], ITEM).write.parquet(f"{tmp_path}/lineitem.parquet")
+    summary, joints = q_series.tree_summary(spark, str(tmp_path)), q_series.joints(spark, str(tmp_path))
+    for table in (summary, joints):
+        assert "Window" not in table._jdf.queryExecution().optimizedPlan().toString()
+    at = {}
+    for k, _, _, _, price, quantity, tax, discount in items:
+        at.setdefault(k, []).append(((quantity / 10, price / 10000, tax * 50), 0.2 + discount * 20))
+    assert {(r["parent"], r["child"]) for r in joints.collect()} == {(k // 2, k) for k in at if k > 1}
+    gaps = {r["child"]: r["gap_mm"] for r in joints.collect()}
+    got = {r["tree"]: r for r in summary.collect()}
+    for t in range(7):
+        mine = [p for k in at if k % 7 == t for p in at[k]]
+        assert (got[t]["n_lines"], got[t]["n_points"]) == (sum(k % 7 == t for k in at), len(mine))
+        assert abs(got[t]["r_mean"] - np.mean([r for _, r in mine])) < 1e-6
+        assert got[t]["max_gap_mm"] == max((g for k, g in gaps.items() if k % 7 == t), default=0)
