@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from arborlake.functions import geometry as g
 from arborlake.functions.vectors import Triple, dot, lit3, sub, triple
 from arborlake.operators.trees import recent_ancestors
-from arborlake.plans import blocks, boxes
-from arborlake.plans.cut import cut
+from arborlake.plans import blocks, boxes, passes
+from arborlake.plans.cut import cut, discard
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -59,12 +59,15 @@ def segments_in_range(points: DataFrame, segs: DataFrame, radius: float) -> Data
     return out.withColumn("distance", F.sqrt("d_sq")).drop("d_sq")
 
 
+def _cloud(surfaces: DataFrame) -> DataFrame:
+    return surfaces.select("surface", F.col("id").alias("sid"), F.col("x").alias("sx"), F.col("y").alias("sy"),
+                           F.col("z").alias("sz"), "nx", "ny", "nz")
+
+
 def surface_index(surfaces: DataFrame) -> boxes.BoxIndex:
     """Cells over the samples of every surface, for any number of searches."""
-    cloud = surfaces.select("surface", F.col("id").alias("sid"), F.col("x").alias("sx"), F.col("y").alias("sy"),
-                            F.col("z").alias("sz"), "nx", "ny", "nz")
     s = triple("sx", "sy", "sz")
-    return boxes.build(cloud, s, s, ["surface"], crowd=boxes.CROWD)
+    return boxes.build(_cloud(surfaces), s, s, ["surface"], crowd=boxes.CROWD)
 
 
 def nearest_surface_point(points: DataFrame, surfaces: DataFrame | boxes.BoxIndex) -> DataFrame:
@@ -72,25 +75,33 @@ def nearest_surface_point(points: DataFrame, surfaces: DataFrame | boxes.BoxInde
 
     ``points`` has (qid, surface, x, y, z): one row per point and surface asked for.
     """
-    index = surfaces if isinstance(surfaces, boxes.BoxIndex) else surface_index(surfaces)
-    away = sub(place(), triple("sx", "sy", "sz"))
-    out = boxes.k_nearest(points, ["qid", "surface"], place(), place(), index, 1, dot(away, away), ["sid"])
+    spot = ["sx", "sy", "sz"]
+    away = sub(place(), triple(*spot))
+    out, keys = None, ["qid", "surface"]
+    if not isinstance(surfaces, boxes.BoxIndex):
+        out = passes.pairs(points, _cloud(surfaces), "surface", ["sid"], passes.Measure(spot, passes.box_reach_sq, passes.point_point_sq))
+    if out is not None:
+        out = boxes.nearest_of(out, keys, dot(away, away), ["sid"])
+    else:
+        index = surfaces if isinstance(surfaces, boxes.BoxIndex) else surface_index(surfaces)
+        out = boxes.k_nearest(points, keys, place(), place(), index, 1, dot(away, away), ["sid"])
     return out.withColumn("offset", dot(away, triple("nx", "ny", "nz"))).drop("rank")
 
 
 def project_to_surface(points: DataFrame, surfaces: DataFrame, repeats: int = 3) -> DataFrame:
     """Outside points moved back along the normal of their nearest sample, repeated while still outside.
 
-    The cells are built once; each turn is written, so that none replays the turns before it.
+    Cells are built once, where they are needed; each turn is written, so that none replays the turns before it.
     """
-    index = surface_index(surfaces)
     back = points.select("qid", "surface", "x", "y", "z")
+    index = surfaces if passes.travels(back, surfaces) else surface_index(surfaces)
     out = F.col("offset") > 0
     for turn in range(repeats + 1):
         push = F.col("offset") + (0.0 if turn == 0 else 1e-6)
-        back = cut(nearest_surface_point(back, index).select("qid", "surface", *[
+        before, back = back, cut(nearest_surface_point(back, index).select("qid", "surface", *[
             F.when(out, q - push * v).otherwise(q).alias(a) for a, q, v in zip("xyz", place(), triple("nx", "ny", "nz"))
         ]), "pushed")
+        discard(before)
     return back
 
 
