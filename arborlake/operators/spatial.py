@@ -30,6 +30,8 @@ def place() -> Triple:
     return triple("x", "y", "z")
 
 
+SEGMENT = ["px", "py", "pz", "dx", "dy", "dz"]
+
 
 def _seg_box() -> tuple[Triple, Triple]:
     return tuple(F.least(a, b) for a, b in zip(start(), end())), tuple(F.greatest(a, b) for a, b in zip(start(), end()))
@@ -54,8 +56,14 @@ def nearest_segments(points: DataFrame, segs: DataFrame, k: int) -> DataFrame:
 
 def segments_in_range(points: DataFrame, segs: DataFrame, radius: float) -> DataFrame:
     """All (point, segment) pairs at most ``radius`` apart."""
-    index = segment_index(segs, crowd=boxes.CROWD)
-    out = boxes.within(points, ["qid"], place(), place(), index, F.lit(radius), g.point_segment_sq(place(), start(), end()))
+    d_sq = g.point_segment_sq(place(), start(), end())
+    items = segs.select("tree", "id", *SEGMENT, "radius_mm")
+    measure = passes.Measure(SEGMENT, passes.box_reach_sq, passes.point_ends_sq)
+    out = passes.pairs(points, items, None, ["tree", "id"], measure, limit=radius * radius)
+    if out is not None:
+        out = out.withColumn("d_sq", d_sq).where(F.col("d_sq") <= F.lit(radius) * F.lit(radius))
+    else:
+        out = boxes.within(points, ["qid"], place(), place(), segment_index(segs, crowd=boxes.CROWD), F.lit(radius), d_sq)
     return out.withColumn("distance", F.sqrt("d_sq")).drop("d_sq")
 
 

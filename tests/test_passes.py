@@ -3,12 +3,14 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from arborlake.operators import spatial
 from arborlake.plans import boxes, passes
 
 SURFACE = "surface string, id bigint, x double, y double, z double, nx double, ny double, nz double"
+TWIG = "tree string, id bigint, px double, py double, pz double, dx double, dy double, dz double, radius_mm double, length_mm double"
 SIDES = [(10**6, 10**6), (0, 10**6)]
 
 
@@ -26,6 +28,22 @@ def _asked(spark, n, seed):
     return rows, spark.createDataFrame(rows, "qid bigint, x double, y double, z double")
 
 
+def _segments(n, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        p = [10 * rng.random() for _ in range(3)]
+        d = [v + rng.uniform(-1, 1) for v in p]
+        rows.append((rng.choice("TU"), i, *p, *d, rng.uniform(0.004, 0.06), math.dist(p, d)))
+    return [*rows, *(("A", r[1], *r[2:]) for r in rows[:40])]  # on one spot with others
+
+
+def _gap(q, s):
+    p, d = np.array(s[2:5]), np.array(s[5:8])
+    t = min(max(float(np.dot(np.array(q) - p, d - p) / np.dot(d - p, d - p)), 0.0), 1.0)
+    return float(np.linalg.norm(np.array(q) - (p + t * (d - p))))
+
+
 def test_nearest_samples_of_two_surfaces(spark, side):
     rng = random.Random(3)
     rows = [(rng.choice(["outer", "cavity"]), i, *(10 * rng.random() for _ in range(3)), 0.0, 0.6, 0.8) for i in range(300)]
@@ -49,3 +67,22 @@ def test_places_pushed_to_a_surface_write_no_samples(spark, side):
     asked = spark.createDataFrame([(1, "s", 3.0, 0.0, 0.0), (2, "s", 0.1, 0.0, 0.0)], "qid bigint, surface string, x double, y double, z double")
     back = {r.qid: (r.x, r.y) for r in spatial.project_to_surface(asked, spark.createDataFrame(rows, SURFACE)).collect()}
     assert math.hypot(*back[1]) < 1.2 and back[2] == (0.1, 0.0)
+
+
+def test_segments_in_range_of_places(spark, side):
+    rows = _segments(200, 5)
+    asked, points = _asked(spark, 20, 6)
+    lost = spark.createDataFrame([("T", 9000, None, *[1.0] * 7), ("T", 9001, *[1.0] * 6, None, 1.0)], TWIG)
+    got = spatial.segments_in_range(points.unionByName(spark.createDataFrame([(77, None, 1.0, 1.0)], points.schema)),
+                                    spark.createDataFrame(rows, TWIG).repartition(3).unionByName(lost), 2.0)
+    found = sorted((r.qid, r.tree, r.id) for r in got.collect())
+    ends = [*rows, ("T", 9001, *[1.0] * 3, *[1.0 + 1e-9] * 3)]
+    assert found == sorted((q, s[0], s[1]) for q, *at in asked for s in ends if _gap(at, s) <= 2.0) and found
+
+
+def test_many_of_both_sides_go_through_cells(spark, monkeypatch):
+    monkeypatch.setattr(passes, "HELD", 0)
+    monkeypatch.setattr(passes, "PLACES", 0)
+    rows, (asked, points) = _segments(60, 9), _asked(spark, 6, 10)
+    found = sorted((r.qid, r.tree, r.id) for r in spatial.segments_in_range(points, spark.createDataFrame(rows, TWIG), 2.0).collect())
+    assert found == sorted((q, s[0], s[1]) for q, *at in asked for s in rows if _gap(at, s) <= 2.0) and found
