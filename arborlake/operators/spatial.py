@@ -14,6 +14,7 @@ from arborlake.functions.vectors import Triple, dot, lit3, sub, triple
 from arborlake.operators.trees import recent_ancestors
 from arborlake.plans import blocks, boxes, passes
 from arborlake.plans.cut import cut, discard
+from arborlake.plans.passes import box_reach_sq
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -223,10 +224,6 @@ def best_connection(points: DataFrame, segs: DataFrame, gamma: float, t_range=(0
     # Cost scales with the radius, so cells hold one class of radii each; there are
     # only about four classes per doubling between the thinnest and the widest.
     items = items.withColumn("r_class", F.floor(4 * F.log2("radius_mm")))
-    classes = [r[0] for r in items.select("r_class").distinct().collect()]
-    asked = points.withColumn("r_class", F.explode(F.array(*[F.lit(c) for c in classes])))
-    index = boxes.build(items, lo, hi, ["r_class"], extras={
-        "b_r0": F.min("radius_mm"), "b_r1": F.max("radius_mm"), "b_l0": F.min("seg_length"), "b_l1": F.max("seg_length")}, crowd=boxes.CROWD)
 
     def junction(r):
         # Equal daughters branch rather than sprout.
@@ -257,13 +254,54 @@ def best_connection(points: DataFrame, segs: DataFrame, gamma: float, t_range=(0
         found = df.withColumn("_s", span).withColumn("t", (F.col("_s.a") + F.col("_s.b")) / 2)
         return found.withColumn("d_sq", tubes(F.col("t")) + junction(radius))
 
-    found = boxes.k_nearest(asked, ["qid"], place(), place(), index, 1, scored, ["tree", "id"], least=least, most=most)
+    items = items.where("r_class IS NOT NULL")
+    priced = items.withColumn("_thin", daughter)
+    measure = passes.Measure(SEGMENT, *_connection(share, t_range, steps, junction_term), extras=("radius_mm", "seg_length", "_thin"),
+                             kind=lambda v: np.floor(4 * np.log2(v[6])), costly=True)
+    found = passes.pairs(points, priced, None, ["tree", "id"], measure)
+    if found is not None:
+        found = boxes.nearest_of(found, ["qid"], scored, ["tree", "id"])
+    else:
+        classes = [r[0] for r in items.select("r_class").distinct().collect()]
+        asked = points.withColumn("r_class", F.explode(F.array(*[F.lit(c) for c in classes])))
+        index = boxes.build(items, lo, hi, ["r_class"], extras={
+            "b_r0": F.min("radius_mm"), "b_r1": F.max("radius_mm"), "b_l0": F.min("seg_length"), "b_l1": F.max("seg_length")}, crowd=boxes.CROWD)
+        found = boxes.k_nearest(asked, ["qid"], place(), place(), index, 1, scored, ["tree", "id"], least=least, most=most)
     return found.select(
         "qid", "tree", "id", "t", F.col("d_sq").alias("cost"),
         g.split_point_valid(F.col("t"), length, radius, reach(F.col("t"))).alias("valid"),
     )
 
 
+def _connection(share: float, t_range: tuple[float, float], steps: int, junction_term: bool):
+    """Bounds and cost of a connection for arrays, with the operations of ``best_connection`` in their order."""
+    phi = (5**0.5 - 1) / 2
+
+    def junction(r):
+        return 2 * math.pi * r * (share * r) if junction_term else 0.0
+
+    def reach(q, mins, maxs):
+        least, most = (np.sqrt(x) for x in box_reach_sq(q, mins, maxs))
+        r0, l0, r1, l1 = mins[3], mins[4], maxs[3], maxs[4]
+        return share * r0 * (l0 + least) + junction(r0), r1 * l1 + share * r1 * most + junction(r1)
+
+    def cost(q, s):
+        p, axis, radius, length, daughter = s[:3], s[3:6] - s[:3], s[6], s[7], s[8]
+
+        def tubes(t):
+            x, y, z = q - (p + t * axis)
+            return radius * t * length + daughter * (1 - t) * length + daughter * np.sqrt(x * x + y * y + z * z)
+
+        a, b = (np.full(q.shape[1], float(t)) for t in t_range)
+        for _ in range(steps):
+            left, right = b - phi * (b - a), a + phi * (b - a)
+            lower = tubes(left) < tubes(right)
+            a, b = np.where(lower, a, left), np.where(lower, right, b)
+        return tubes((a + b) / 2) + junction(radius)
+
+    return reach, cost
+
+
 def merge_candidates(points: DataFrame, junctions: DataFrame, chi_th: float = g.CHI_TH) -> DataFrame:
     """Two-way junction with the largest closeness above the threshold for every point.
 

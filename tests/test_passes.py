@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from arborlake.functions import flow
 from arborlake.operators import spatial
 from arborlake.plans import boxes, passes
 
@@ -80,6 +81,30 @@ def test_segments_in_range_of_places(spark, side):
     assert found == sorted((q, s[0], s[1]) for q, *at in asked for s in ends if _gap(at, s) <= 2.0) and found
 
 
+def test_best_connections_of_places(spark, side):
+    rows = _segments(200, 7)
+    asked, points = _asked(spark, 20, 8)
+    lost = spark.createDataFrame([("T", 9000, *[5.0] * 6, None, 0.0)], TWIG)
+    got = {r.qid: r for r in spatial.best_connection(points, spark.createDataFrame(rows, TWIG).repartition(3).unionByName(lost), flow.GAMMA).collect()}
+    share, phi = 2 ** (-1 / flow.GAMMA), (5**0.5 - 1) / 2
+
+    def cost(at, s, t):
+        p, d, r, size = np.array(s[2:5]), np.array(s[5:8]), s[8], s[9]
+        return r * t * size + share * r * (1 - t) * size + share * r * float(np.linalg.norm(p + t * (d - p) - np.array(at)))
+
+    def best(at, s):
+        a, b = 0.01, 0.99
+        for _ in range(20):
+            left, right = b - phi * (b - a), a + phi * (b - a)
+            a, b = (a, right) if cost(at, s, left) < cost(at, s, right) else (left, b)
+        return cost(at, s, (a + b) / 2)
+
+    for q, *at in asked:
+        least, tree, i = min((round(best(at, s), 12), s[0], s[1]) for s in rows)
+        assert (got[q].tree, got[q].id) == (tree, i) and got[q].cost == pytest.approx(least)
+    assert len(got) == 20
+
+
 def test_many_of_both_sides_go_through_cells(spark, monkeypatch):
     monkeypatch.setattr(passes, "HELD", 0)
     monkeypatch.setattr(passes, "PLACES", 0)
