@@ -89,12 +89,12 @@ def nearest_surface_point(points: DataFrame, surfaces: DataFrame | boxes.BoxInde
     out, keys = None, ["qid", "surface"]
     if not isinstance(surfaces, boxes.BoxIndex):
         out = passes.pairs(points, _cloud(surfaces), "surface", ["sid"], passes.Measure(spot, passes.box_reach_sq, passes.point_point_sq))
-    if out is not None:
-        out = boxes.nearest_of(out, keys, dot(away, away), ["sid"])
-    else:
-        index = surfaces if isinstance(surfaces, boxes.BoxIndex) else surface_index(surfaces)
-        out = boxes.k_nearest(points, keys, place(), place(), index, 1, dot(away, away), ["sid"])
-    return out.withColumn("offset", dot(away, triple("nx", "ny", "nz"))).drop("rank")
+    offset = dot(away, triple("nx", "ny", "nz"))
+    if out is not None:  # the offset first, so that the exchange holds no more than is asked for
+        return boxes.nearest_of(out.withColumn("offset", offset), keys, None, ["sid"]).drop("rank")
+    index = surfaces if isinstance(surfaces, boxes.BoxIndex) else surface_index(surfaces)
+    out = boxes.k_nearest(points, keys, place(), place(), index, 1, dot(away, away), ["sid"])
+    return out.withColumn("offset", offset).drop("rank")
 
 
 def project_to_surface(points: DataFrame, surfaces: DataFrame, repeats: int = 3) -> DataFrame:

@@ -111,3 +111,14 @@ def test_many_of_both_sides_go_through_cells(spark, monkeypatch):
     rows, (asked, points) = _segments(60, 9), _asked(spark, 6, 10)
     found = sorted((r.qid, r.tree, r.id) for r in spatial.segments_in_range(points, spark.createDataFrame(rows, TWIG), 2.0).collect())
     assert found == sorted((q, s[0], s[1]) for q, *at in asked for s in rows if _gap(at, s) <= 2.0) and found
+
+
+def test_places_drawn_in_a_shell_meet_its_samples_without_cells(spark, side):
+    from arborlake.operators import surfaces as N
+
+    ball = [(s, k, *(r * v for v in at), *at) for s, r in (("outer", 5.0), ("cavity", 2.0)) for k in range(400)
+            for z in [k / 200 - 0.9975] for at in [(math.sqrt(1 - z * z) * math.cos(2.4 * k), math.sqrt(1 - z * z) * math.sin(2.4 * k), z)]]
+    inside, volume = N.interior_points(spark.createDataFrame(ball, SURFACE), "outer", ["cavity"], 40, 300, 3)
+    rows = inside.withColumn("volume", volume).collect()
+    assert len({r.qid for r in rows}) == len(rows) == 40 and rows[0].volume == pytest.approx(4 / 3 * math.pi * (125 - 8), rel=0.2)
+    assert all(1.7 < math.dist((r.x, r.y, r.z), (0, 0, 0)) < 5.1 and r.shell_sd <= 0 for r in rows)
