@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, types as T
 
-from arborlake.plans.blocks import curve, point_segment_sq
+from arborlake.plans.blocks import curve, new_spots, point_segment_sq, spot_names
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -195,17 +195,11 @@ def _rank(table: pa.Table, order: list[str]) -> np.ndarray:
 
 def _firsts(values: np.ndarray, rank: Callable[[], np.ndarray]) -> np.ndarray:
     """Of columns that are equal the one of least rank."""
-    name = np.zeros(values.shape[1], np.uint64)
-    with np.errstate(over="ignore"):
-        for row in values + 0.0:  # no negative zeros
-            name = (name ^ (name >> np.uint64(29)) ^ row.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        name ^= name >> np.uint64(32)
+    name = spot_names(values)
     if len(np.unique(name)) == len(name):
         return np.arange(len(name))
     by = np.lexsort((rank(), name))
-    new = np.ones(len(by), bool)
-    new[1:] = (name[by[1:]] != name[by[:-1]]) | (values[:, by[1:]] != values[:, by[:-1]]).any(0)
-    return np.sort(by[new])
+    return np.sort(by[new_spots(values, name, by)])
 
 
 class Scope:
