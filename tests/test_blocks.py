@@ -106,3 +106,22 @@ def test_closest_pairs_of_short_and_long_lines(spark, monkeypatch, packed):
     for a, b in asked:
         d, i, j = min((math.dist(u, v), i, j) for (n, i), u in spots.items() if n == a for (m, j), v in spots.items() if m == b)
         assert got[a, b] == (i, j, pytest.approx(d))
+
+
+def test_ancestors_and_blocks_leave_one_table_each(spark, monkeypatch):
+    """Rounds of the ancestor lists and tables that blocks were made from are dropped; an item is sent to its block once."""
+    from arborlake.operators import trees
+    from arborlake.plans import cut
+
+    written, dropped = [], []
+    whole, drop = cut.cut, cut.discard
+    for module in (blocks, trees):
+        monkeypatch.setattr(module, "cut", lambda df, label="cut": written.append(label) or whole(df, label))
+        monkeypatch.setattr(module, "discard", lambda *t: dropped.extend(x for x in t if getattr(x, "cut_path", None)) or drop(*t))
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    rows = [("T", i, i // 2 or -1, float(i % 9), 0.3 * i, 0.0, i % 9 + 1.0, 0.3 * i, 0.5, 0.1) for i in range(1, 100)]
+    segs = spark.createDataFrame(rows, "tree string, id bigint, parent_id bigint, px double, py double, pz double, dx double, dy double, dz double, radius_mm double")
+    assert {r.id: r.up for r in trees.recent_ancestors(segs, 4).collect()}[99] == [99, 49, 24, 12, 6]
+    met = spatial.intersections(segs, 0.6)
+    assert met.count() > 0 and "CoGroup" not in met._jdf.queryExecution().executedPlan().toString()
+    assert sorted(written) == sorted(["ancestors"] * 7 + ["numbers", "items", "blocks"]) and len(dropped) == 6
